@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from cohortloom.llm.chat import OP7_SQL, op7_format_chat
 from cohortloom.llm.mixing import op1_mix_sources
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op7_format_chat": op7_format_chat,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_format_chat": OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
