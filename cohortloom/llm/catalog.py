@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from cohortloom.llm.chat import OP7_SQL, op7_format_chat
 from cohortloom.llm.mixing import op1_mix_sources
+from cohortloom.llm.quality import op3_quality
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality": op3_quality,
     "op7_format_chat": op7_format_chat,
 }
 ORACLE_SQL: dict[str, str] = {
