@@ -7,7 +7,7 @@ until all but a few entries are 0 or 1, so both totals of every source stay what
 landed by the subset whose word total is nearest.
 
 Distribution: rows are dealt to blocks of about BLOCK units inside each source, so a hot source is many tasks; a block
-leaves at most two undecided units, which meet in the next, 512 times smaller level until a source is one block.  Only
+leaves at most FEW undecided units, which meet in the next, 128 times smaller level until a source is one block.  Only
 (doc_id, size, source index) is shuffled, never the text.
 
 Odd rows: a null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows
@@ -27,6 +27,7 @@ from cohortloom.session import ship, sized_join, stage
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3  # a source's target is at most CAP times its size
 BLOCK = 1024
+FEW = 6  # units a block leaves undecided, at most
 HELD = 12  # units of all sizes kept out of a source's last flight, for the landing
 UNITS = "src long, block long, blocks long, doc_id long, occ int, size long, copies long, p double"
 
@@ -97,14 +98,12 @@ def _fly(seed: int, level: int):
         order = np.lexsort((occ, ids, _mixed(ids, seed), -size))
         rng = np.random.default_rng([seed, level, src, block])
         s, q = size[order], p[order]
+        free = np.flatnonzero((q > 0) & (q < 1))
+        held = np.unique(np.linspace(0, len(free) - 1, HELD if blocks == 1 else FEW - 2).astype(int)) if len(free) else free
+        fly = np.delete(free, held)
+        q[fly] = flight(s[fly], q[fly], rng)
         if blocks == 1:
-            free = np.flatnonzero((q > 0) & (q < 1))
-            held = np.unique(np.linspace(0, len(free) - 1, HELD).astype(int)) if len(free) else free
-            fly = np.delete(free, held)
-            q[fly] = flight(s[fly], q[fly], rng)
             q = land(s, q, rng)
-        else:
-            q = flight(s, q, rng)
         back = np.empty_like(q)
         back[order] = q
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(back))
@@ -156,7 +155,7 @@ def mix(units: DataFrame, seed: int = 7) -> DataFrame:
         done.append(flown.filter((F.col("p") == 0) | (F.col("p") == 1)))
         if most <= 1:
             break
-        half = BLOCK // 2
+        half = BLOCK // (FEW + 2)
         rows = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumns({"block": F.floor(F.col("block") / half), "blocks": F.ceil(F.col("blocks") / half)})
         most, level = -(-most // half), level + 1
     out = done[0]
