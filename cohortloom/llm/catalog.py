@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortloom.llm.chat import OP7_SQL, op7_format_chat
 from cohortloom.llm.language import op5_language
+from cohortloom.llm.minhash import OP4_SQL, op4_near_duplicates
 from cohortloom.llm.mixing import op1_mix_sources
 from cohortloom.llm.quality import op3_quality
 from cohortloom.llm.toxicity import op6_toxicity
@@ -11,10 +12,12 @@ from cohortloom.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality": op3_quality,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_format_chat": op7_format_chat,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": OP4_SQL,
     "op7_format_chat": OP7_SQL,
 }
