@@ -7,9 +7,9 @@ a common passage mostly don't, so lists stay short.  Overlapping sets are filter
 sketches and verified by exact Jaccard on their full sets.
 
 The aim is components, so a list is not expanded: each set is first verified against one pivot, the smallest id of its
-lists; then, in lists that still hold several components, the best estimated pair between two components is verified; at
-last every remaining pair of different components that passes the estimate.  A long list is worked off in blocks of BLOCK
-members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
+lists; then, in lists that still hold several components, each component's best estimated pair with another one, again
+and again while that finds links; at last every remaining pair of different components that passes the estimate.  A long
+list is worked off in blocks of BLOCK members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
 
 Distribution: one pass over the texts makes sketches (about 0.8 kB a document); lists are formed by a hash aggregate with
 partial sums and an equi-join (adaptive skew handling), full sets are fetched only for sets in candidate pairs.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from cohortloom.llm.shingles import components, digest, scrambled, shingle_set
 from cohortloom.session import ship, sized_join, stage
 
-K = 96
+SKETCH = 256  # retained values of a set
+K = 96  # of these, those that key inverted lists
 SMALL, MIDDLE = 32, 24  # sets up to SMALL key short runs, sets from MIDDLE on key long runs
 BLOCK = 256
 PERCENT = 85
@@ -55,12 +56,17 @@ def run_keys(sketch: np.ndarray, n: int, percent: int) -> np.ndarray:
 
 def union_estimate(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:
     """Jaccard of two sets from the part of their sketches up to where both are complete."""
-    top = min(int(s[-1]) if n > len(s) else 2**64 - 1 for s, n in ((x, nx), (y, ny)))
+    top = min(int(s[-1]) if n > len(s) else 2**32 for s, n in ((x, nx), (y, ny)))
     x, y = x[x <= top], y[y <= top]
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
+def retained(found: np.ndarray, k: int = SKETCH) -> np.ndarray:
+    """The k smallest hashes of a sorted set, by their upper halves."""
+    return (found[:k] >> np.uint64(32)).astype(np.uint32)
+
+
 def _sketches(k: int):
     def run(batches):
         for batch in batches:
@@ -69,7 +75,7 @@ def _sketches(k: int):
                 found = shingle_set(t)
                 n.append(len(found))
                 d.append(digest(found))
-                s.append(found[:k].tobytes())
+                s.append(retained(found, k).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "n", "digest", "sketch"])
 
     return run
@@ -80,7 +86,7 @@ def _keys(percent: int):
         for batch in batches:
             keys, which = [], []
             for rep, n, s in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "sketch"))):
-                keys.append(run_keys(np.frombuffer(s, dtype=np.uint64), n, percent))
+                keys.append(run_keys(np.frombuffer(s, dtype=np.uint32)[:K].astype(np.uint64), n, percent))
                 which.append(np.full(len(keys[-1]), rep, dtype=np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(which))], ["key", "rep"])
@@ -101,43 +107,69 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
 
 
-def _pairs(percent: int, best: bool):
-    """Rows sorted by (key, i, j) -> pairs of different components whose estimate passes; with best, one for two components."""
+def compared(sketches: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.ndarray, ok: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in left and right of the pairs among ok whose estimate passes, and the estimates.
+
+    Shared values of all pairs are counted at once, as a product of membership matrices.  Whole sets (up to SKETCH values)
+    pass at the likeness itself, larger ones 5.5 standard errors under it.
+    """
     t = percent / 100
-    cut = t - 5.5 * np.sqrt(t * (1 - t) / K)
+    lengths = np.array([len(s) for s in sketches])
+    value, seen = np.unique(np.concatenate(sketches), return_inverse=True)
+    common = np.bincount(seen) > 1
+    column = np.cumsum(common) - 1
+    use = common[seen]
+    grid = np.zeros((len(sketches), max(int(common.sum()), 1)), dtype=np.float32)
+    grid[np.repeat(np.arange(len(sketches)), lengths)[use], column[seen[use]]] = 1
+    both = grid[left] @ grid[right].T
+    nl, nr = n[left][:, None], n[right][None, :]
+    whole = (lengths == n)[left][:, None] & (lengths == n)[right][None, :]
+    like = both / (nl + nr - both)
+    ok = ok & np.where(whole, like >= t - 1e-4, both >= 0.5 * np.minimum(lengths[left][:, None], lengths[right][None, :]))
+    i, j = np.nonzero(ok)
+    e = like[i, j]
+    for k in np.flatnonzero(~whole[i, j]):
+        a, b = left[i[k]], right[j[k]]
+        e[k] = union_estimate(sketches[a], n[a], sketches[b], n[b])
+    keep = whole[i, j] | (e >= t - 5.5 * np.sqrt(t * (1 - t) / SKETCH))
+    return i[keep], j[keep], e[keep]
+
+
+def _pairs(percent: int, best: bool):
+    """Rows sorted by (key, i, j) -> pairs of different components that pass; with best, one for each component of a list."""
 
     def worked(rows):
-        comp, n, block = (np.array([r[c] for r in rows]) for c in ("comp", "n", "block"))
+        rep, comp, n, block = (np.array([r[c] for r in rows]) for c in ("rep", "comp", "n", "block"))
         i, j = rows[0]["i"], rows[0]["j"]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
         if i == j:
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
-        sketch = [np.frombuffer(r["sketch"], dtype=np.uint64) for r in rows]
-        top: dict = {}
-        for a, b in zip(*np.nonzero(ok)):
-            a, b = left[a], right[b]
-            e = union_estimate(sketch[a], n[a], sketch[b], n[b])
-            if e >= cut:
-                pair = tuple(sorted((rows[a]["rep"], rows[b]["rep"])))
-                if not best:
-                    yield pair
-                elif e > top.get(c := tuple(sorted((comp[a], comp[b]))), (0,))[0]:
-                    top[c] = (e, pair)
-        yield from (p for _, p in top.values())
+        if not ok.any():
+            return []
+        a, b, e = compared([np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows], n, left, right, ok, percent)
+        a, b = left[a], right[b]
+        if best and len(a):
+            own, other = np.r_[comp[a], comp[b]], np.r_[comp[b], comp[a]]
+            pair = np.r_[np.arange(len(a)), np.arange(len(a))]
+            order = np.lexsort((pair, other, -np.r_[e, e], own))
+            pick = np.unique(pair[order[np.r_[True, np.diff(own[order]) != 0]]])
+            a, b = a[pick], b[pick]
+        x, y = rep[a], rep[b]
+        return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
 
     def run(batches):
         rows, at, out = [], None, []
         for batch in batches:
             for r in batch.to_pylist():
                 if at != (k := (r["key"], r["i"], r["j"])):
-                    out += worked(rows) if rows else []
+                    out += worked(rows) if len(rows) > 1 else []
                     rows, at = [], k
                 rows.append(r)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
                 out = []
-        out += worked(rows) if rows else []
+        out += worked(rows) if len(rows) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
@@ -159,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    made = stage(docs.mapInArrow(_sketches(K), "doc_id long, n long, digest binary, sketch binary"))
+    made = stage(docs.mapInArrow(_sketches(SKETCH), "doc_id long, n long, digest binary, sketch binary"))
     firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m"))
     classes = stage(firsts.select(F.col("m.doc_id").alias("rep"), "digest", F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")))
     n, ids = classes.agg(F.count(F.lit(1)), F.count_distinct("rep")).first()
@@ -169,10 +201,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stage(postings.join(lists, "key"))
     first = stage(members.filter("rep <> pivot").groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
     links = verified(first, docs, linking, percent)
-    for best in (True, False):
-        labels = components(links)
-        told = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("comp"))
-        told = stage(told)
+    best, labels = True, components(links)
+    while True:
+        told = stage(members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("comp")))
         mixed = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         left = told.join(mixed, "key").join(linking.select("rep", "n", "sketch"), "rep")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -182,8 +213,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = stage(left.mapInArrow(_pairs(percent, best), "a long, b long").distinct())
         if pairs.isEmpty():
             break
-        links = stage(links.unionByName(verified(pairs, docs, linking, percent)).distinct())
-    labels = components(links)
+        more = verified(pairs, docs, linking, percent)
+        if not more.isEmpty():
+            links = stage(links.unionByName(more).distinct())
+            labels = components(links)
+        elif best:
+            best = False
+            continue
+        if not best:
+            break
     told = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = made.select("doc_id", "n", "digest").join(told, "digest", "left")
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
