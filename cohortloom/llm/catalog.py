@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortloom.llm.chat import OP7_SQL, op7_format_chat
+from cohortloom.llm.embeddings import OP10_SQL, op10_near_vectors
 from cohortloom.llm.language import op5_language
 from cohortloom.llm.minhash import OP4_SQL, op4_near_duplicates
 from cohortloom.llm.mixing import op1_mix_sources
@@ -16,8 +17,10 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_format_chat": op7_format_chat,
+    "op10_near_vectors": op10_near_vectors,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op7_format_chat": OP7_SQL,
+    "op10_near_vectors": OP10_SQL,
 }
