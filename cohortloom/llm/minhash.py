@@ -147,7 +147,19 @@ def _pairs(percent: int, best: bool):
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if not ok.any():
             return []
-        a, b, e = compared([np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows], n, left, right, ok, percent)
+        sketches = [np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows]
+        # a pair belongs to the smallest of its shared lists; earlier lists of all members at once
+        before = [k[: np.searchsorted(k, rows[0]["key"])] for k in (run_keys(s[:K].astype(np.uint64), m, percent) for s, m in zip(sketches, n.tolist()))]
+        key, seen = np.unique(np.concatenate(before), return_inverse=True)
+        common = np.bincount(seen, minlength=len(key)) > 1
+        if common.any():
+            use = common[seen]
+            grid = np.zeros((len(rows), int(common.sum())), dtype=np.float32)
+            grid[np.repeat(np.arange(len(rows)), [len(k) for k in before])[use], (np.cumsum(common) - 1)[seen[use]]] = 1
+            ok &= grid[left] @ grid[right].T == 0
+            if not ok.any():
+                return []
+        a, b, e = compared(sketches, n, left, right, ok, percent)
         a, b = left[a], right[b]
         if best and len(a):
             own, other = np.r_[comp[a], comp[b]], np.r_[comp[b], comp[a]]
