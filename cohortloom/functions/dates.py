@@ -29,9 +29,17 @@ def _int(x: Column) -> Column:
     return F.when(x != "", x).try_cast("int")
 
 
-def parts(x: Column) -> dict[str, Column]:
-    """What a cell holds: token of no date, era date, serial date, or three numbers."""
-    s = cleaned(x)
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def parts(x: Column) -> Column:
+    """struct of what a cell holds: token of no date, era date, serial date, or three numbers."""
+    return let(cleaned(x), lambda s: F.struct(*[v.alias(k) for k, v in _parts(s).items()]))
+
+
+def _parts(s: Column) -> dict[str, Column]:
     none = s.isNull() | F.lower(s).isin(NO_DATE)
     era_re = r"^(明治|大正|昭和|平成|令和|[MTSHRmtshr])\s*\.?(元|\d{1,2})\s*[^\d]\s*(\d{1,2})\s*[^\d]\s*(\d{1,2})"
     name, yy = F.upper(F.regexp_extract(s, era_re, 1)), F.regexp_extract(s, era_re, 2)
@@ -65,13 +73,14 @@ def read_dates(df: DataFrame, columns: list[str], order: str = "auto") -> list[D
     first >= 1000 throughout: ymd; third >= 1000 throughout: dmy if a first number is over 12, mdy if a second one is, else
     ambiguous; three-number cells of an ambiguous column stay NULL.
     """
-    p = {c: parts(F.col(f"`{c}`")) for c in columns}
+    p = {c: F.col(f"p{i}") for i, c in enumerate(columns)}
+    held = df.select(*[parts(F.col(f"`{c}`")).alias(f"p{i}") for i, c in enumerate(columns)])
     aggs = []
-    for i, (c, x) in enumerate(p.items()):
-        aggs += [F.count(F.lit(1)).alias(f"n{i}"), F.count_if(x["none"]).alias(f"z{i}"), F.count("a" if False else x["a"]).alias(f"t{i}"), F.bool_and(x["a"] >= 1000).alias(f"ymd{i}"), F.bool_and(x["c"] >= 1000).alias(f"last{i}"), F.bool_or(x["a"] > 12).alias(f"d1{i}"), F.bool_or(x["b"] > 12).alias(f"d2{i}"), F.bool_or(x["a"] >= 1000).alias(f"some{i}")]
-    r = df.agg(*aggs).first()
+    for i, x in enumerate(p.values()):
+        aggs += [F.count(F.lit(1)).alias(f"n{i}"), F.count_if(x["none"]).alias(f"z{i}"), F.count(x["a"]).alias(f"t{i}"), F.bool_and(x["a"] >= 1000).alias(f"ymd{i}"), F.bool_and(x["c"] >= 1000).alias(f"last{i}"), F.bool_or(x["a"] > 12).alias(f"d1{i}"), F.bool_or(x["b"] > 12).alias(f"d2{i}"), F.bool_or(x["a"] >= 1000).alias(f"some{i}")]
+    r = held.agg(*aggs).first()
     out = []
-    for i, (c, x) in enumerate(p.items()):
+    for i, c in enumerate(columns):
         if order != "auto":
             how = order
         elif not r[f"t{i}"]:
@@ -83,8 +92,8 @@ def read_dates(df: DataFrame, columns: list[str], order: str = "auto") -> list[D
         else:
             how = "ymd" if r[f"some{i}"] else "ambiguous"
         y, m, d = {"dmy": ("c", "b", "a"), "mdy": ("c", "a", "b")}.get(how, ("a", "b", "c"))
-        triple = F.lit(None).cast("date") if how.startswith("ambiguous") else year_month_day(x[y], x[m], x[d])
-        out.append(DateColumn(c, how, r[f"n{i}"], r[f"z{i}"], 0, 0, F.coalesce(x["era"], triple, x["serial"])))
+        triple = (lambda p: F.lit(None).cast("date")) if how.startswith("ambiguous") else (lambda p, y=y, m=m, d=d: year_month_day(p[y], p[m], p[d]))
+        out.append(DateColumn(c, how, r[f"n{i}"], r[f"z{i}"], 0, 0, let(parts(F.col(f"`{c}`")), lambda p, t=triple: F.coalesce(p["era"], t(p), p["serial"]))))
     counted = df.agg(*[F.count(o.expr).alias(f"p{i}") for i, o in enumerate(out)]).first()
     for i, o in enumerate(out):
         o.n_parsed, o.n_failed = counted[f"p{i}"], o.n_total - o.n_null - counted[f"p{i}"]

@@ -54,8 +54,8 @@ def smd_categorical(df: DataFrame, column: str, by: str, a, b) -> float | None:
 def eta_squared(df: DataFrame, column: str, by: str) -> DataFrame:
     """One row: eta_squared = between / total sum of squares, 0 without spread."""
     m = moments(df, column, by)
-    t = df.filter(F.col(by).isNotNull()).agg(F.count(column).alias("N"), F.avg(column).alias("M"), F.var_pop(column).alias("V"))
-    return m.join(F.broadcast(t), F.lit(True)).groupBy("N", "V").agg(F.sum(F.col("n") * (F.col("mean") - F.col("M")) * (F.col("mean") - F.col("M"))).alias("between")).select(F.coalesce(F.try_divide("between", F.col("N") * F.col("V")), F.lit(0.0)).alias("eta_squared"))
+    t = df.filter(F.col(by).isNotNull()).agg(F.count(column).alias("all_n"), F.avg(column).alias("all_mean"), F.var_pop(column).alias("all_var"))
+    return m.join(F.broadcast(t), F.lit(True)).groupBy("all_n", "all_var").agg(F.sum(F.col("n") * (F.col("mean") - F.col("all_mean")) * (F.col("mean") - F.col("all_mean"))).alias("between")).select(F.coalesce(F.try_divide("between", F.col("all_n") * F.col("all_var")), F.lit(0.0)).alias("eta_squared"))
 
 
 def rank_sums(df: DataFrame, column: str, by: str) -> DataFrame:
