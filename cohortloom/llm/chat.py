@@ -161,6 +161,8 @@ def parse(source: str) -> list[tuple]:
         pieces += [("text", text.rstrip() if m[1].endswith("-") else text), (m[1][:2], m[2].strip())]
         at, strip = m.end(), m[3].startswith("-")
     pieces.append(("text", source[at:].lstrip() if strip else source[at:]))
+    if any(mark in x for kind, x in pieces if kind == "text" for mark in ("{{", "{%", "{#")):
+        raise TemplateError("a tag isn't closed")
     stream = iter(pieces)
 
     def block(*ends: str) -> tuple[list[tuple], str]:

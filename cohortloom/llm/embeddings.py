@@ -1,13 +1,13 @@
 """Embedding near-duplicates with randomised-rotation binary codes and stored correction factors.
 
-A unit vector is rotated by one seeded random orthogonal matrix; the code is the sign of each coordinate, and the stored
+A unit vector is rotated by seeded random orthogonal matrices; the code of the first one is the sign of each coordinate, and the stored
 factor is the inner product f of the rotated vector with its code's unit vector.  For two vectors, the plain inner product
 of one with the other's code vector, divided by f, is an unbiased estimate of their cosine, with error of the order
 sqrt((1 - f^2) / f^2 / (d - 1)); with both sides as codes the factor is f1 * f2.  Only pairs whose upper confidence bound
 reaches the threshold are computed again, exactly, in double precision.
 
 Candidates: each of TABLES tables keys a vector by BITS sampled bits of its code; vectors at cosine 0.95 agree in a bit with
-probability 0.9, so a pair shares some key but for one in about ten thousand.  A pair is worked on only in the first table
+probability 0.9, so a pair shares some key but for one in some thousands.  A pair is worked on only in the first table
 it shares.  Equal vectors are one class from the start.  A bucket is worked off in blocks of BLOCK members, never as one
 group; inside a block codes are compared with popcounts, and only pairs that pass leave it.
 
@@ -28,27 +28,28 @@ from pyspark.sql import functions as F
 from cohortloom.llm.shingles import components
 from cohortloom.session import ship, stage
 
+ROTATIONS = 4  # the first one gives the estimates, all of them give bits to key by
 TABLES, BITS = 32, 14
 BLOCK = 512
 SURE = 3.0  # standard errors of the confidence bound
 COSINE = 0.95
 
 
-def rotation(d: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(4711 + d).standard_normal((d, d)))
+def rotation(d: int, k: int = 0) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng([4711, d, k]).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
 
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of unit vectors -> sign bits (bool) and correction factors."""
+    """Rows of unit vectors -> sign bits of all rotations (bool), and the first one's correction factors."""
     d = x.shape[1]
-    y = x @ rotation(d).T
-    return y > 0, np.abs(y).sum(1) / np.sqrt(d)
+    y = [x @ rotation(d, k).T for k in range(ROTATIONS)]
+    return np.hstack(y) > 0, np.abs(y[0]).sum(1) / np.sqrt(d)
 
 
 def sampled_bits(d: int) -> np.ndarray:
     rng = np.random.default_rng(99 + d)
-    return np.array([rng.permutation(d)[: min(BITS, d)] for _ in range(TABLES)])
+    return np.array([rng.permutation(ROTATIONS * d)[: min(BITS, ROTATIONS * d)] for _ in range(TABLES)])
 
 
 def bounds(agree: np.ndarray, d: int, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def _keyed(batches):
         d, code = np.array(batch.column("d").to_pylist()), batch.column("code").to_pylist()
         for size in np.unique(d):
             at = np.flatnonzero(d == size)
-            bit = np.unpackbits(np.frombuffer(b"".join(code[k] for k in at), dtype=np.uint8).reshape(len(at), -1), axis=1)[:, :size]
+            bit = np.unpackbits(np.frombuffer(b"".join(code[k] for k in at), dtype=np.uint8).reshape(len(at), -1), axis=1)[:, : ROTATIONS * size]
             for t, cols in enumerate(sampled_bits(int(size))):
                 keys.append((bit[:, cols] @ (1 << np.arange(len(cols)))) | t << 20 | int(size) << 28)
                 table.append(np.full(len(at), t))
@@ -104,8 +105,8 @@ def _keyed(batches):
 def _candidates(cosine: float):
     def worked(t, d, i, j, rep, block, code, f):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        bit = np.unpackbits(np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1), axis=1)[:, :d].astype(np.float32)
-        sign = 2 * bit - 1
+        bit = np.unpackbits(np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1), axis=1)[:, : ROTATIONS * d]
+        sign = 2 * bit[:, :d].astype(np.float32) - 1
         agree = (sign[left] @ sign[right].T + d) / 2
         e, error = bounds(agree, d, f[left][:, None], f[right][None, :])
         ok = e + SURE * error >= cosine

@@ -148,6 +148,7 @@ def mix(units: DataFrame, seed: int = 7) -> DataFrame:
     whole = F.when(F.col("capped"), F.lit(CAP)).when(F.col("source_size") > 0, F.floor(per)).otherwise(0).cast("long")
     plan = sources.select("src", "source", "source_size", "target", F.ceil(F.col("n_docs") / BLOCK).alias("blocks"), whole.alias("copies"), F.when(F.col("capped") | (F.col("source_size") == 0), 0.0).otherwise(per - F.floor(per)).alias("p"))
     rows = sized_join(units.select("doc_id", "occ", "source", "size"), plan.select("source", "src", "blocks", "copies", "p"), ["source"])
+    rows = rows.withColumns({"p": F.when(F.col("size") > 0, F.col("p")).otherwise(0.0), "copies": F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long"))})
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id"), F.col("occ"), F.lit(seed)), F.col("blocks")))
     rows, done, level, most = rows.select(*[x.split()[0] for x in UNITS.split(", ")]), [], 0, -(-n // BLOCK)
     while True:
