@@ -92,14 +92,23 @@ def read_dates(df: DataFrame, columns: list[str], order: str = "auto") -> list[D
         else:
             how = "ymd" if r[f"some{i}"] else "ambiguous"
         y, m, d = {"dmy": ("c", "b", "a"), "mdy": ("c", "a", "b")}.get(how, ("a", "b", "c"))
-        triple = (lambda p: F.lit(None).cast("date")) if how.startswith("ambiguous") else (lambda p, y=y, m=m, d=d: year_month_day(p[y], p[m], p[d]))
-        out.append(DateColumn(c, how, r[f"n{i}"], r[f"z{i}"], 0, 0, let(parts(F.col(f"`{c}`")), lambda p, t=triple: F.coalesce(p["era"], t(p), p["serial"]))))
+        out.append(DateColumn(c, how, r[f"n{i}"], r[f"z{i}"], 0, 0, let(parts(F.col(f"`{c}`")), _reader("" if how.startswith("ambiguous") else y + m + d))))
     counted = df.agg(*[F.count(o.expr).alias(f"p{i}") for i, o in enumerate(out)]).first()
     for i, o in enumerate(out):
         o.n_parsed, o.n_failed = counted[f"p{i}"], o.n_total - o.n_null - counted[f"p{i}"]
     return out
 
 
+def _reader(order: str):
+    """What reads the parts of a cell; order names the three numbers' places, empty for an ambiguous column."""
+
+    def read(p: Column) -> Column:
+        triple = year_month_day(*[p[k] for k in order]) if order else F.lit(None).cast("date")
+        return F.coalesce(p["era"], triple, p["serial"])
+
+    return read
+
+
 def to_hours(x: Column) -> Column:
     """A clock time in hours, 0 to under 48: H:MM, H時MM分, fractions of a day and plain hours."""
     s = F.trim(narrow(x.cast("string")))

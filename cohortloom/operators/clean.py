@@ -48,13 +48,7 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
                 hit.append(code)
                 report.actions.append({"column": c, "action": "missing code", "value": code, "count": n})
 
-        def cleaned(s, hit=hit, low=low, high=high, k=k):
-            v = s["value"]
-            v = F.when(~v.isin(hit), v) if hit else v
-            v = numeric.rescaled(v, low, high, UNIT_FACTORS[k]) if fix_units and k in UNIT_FACTORS else v
-            return numeric.plausible(v, low, high) if apply_plausible else v
-
-        out[c] = dates.let(read[c], cleaned)
+        out[c] = dates.let(read[c], _cleaner(k, hit, fix_units, apply_plausible))
         if r[f"out{i}"]:
             report.actions.append({"column": c, "action": "outside the possible range", "value": [low, high], "count": r[f"out{i}"]})
         for side, name in (("lo", "low"), ("hi", "high")):
@@ -64,6 +58,18 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
     return df.withColumns(out), report
 
 
+def _cleaner(key: str, codes: list[float], fix_units: bool, apply_plausible: bool):
+    _, low, high, _ = ITEMS[key]
+
+    def cleaned(s):
+        v = s["value"]
+        v = F.when(~v.isin(codes), v) if codes else v
+        v = numeric.rescaled(v, low, high, UNIT_FACTORS[key]) if fix_units and key in UNIT_FACTORS else v
+        return numeric.plausible(v, low, high) if apply_plausible else v
+
+    return cleaned
+
+
 def apply_ranges(df: DataFrame, ranges: dict) -> tuple[DataFrame, DataFrame, list[str]]:
     """Human ranges, ends included: (cleaned, violations (column, value), problems as messages)."""
     problems, out, bad = [], {}, None

@@ -52,6 +52,8 @@ def read_any(spark: SparkSession, path: str, encoding: str | None = None) -> Loa
         encoding = encoding or found
         if encoding != "utf-8-sig":
             notes.append(f"read as {encoding}")
+        if SPARK_NAMES.get(encoding, "UTF-8") not in ("UTF-8", "ISO-8859-1"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark refuses this encoding
         reader = spark.read.option("sep", sep).option("encoding", SPARK_NAMES.get(encoding, encoding)).option("enforceSchema", True)
         names = [c.strip().strip('"').lstrip("﻿") or f"column{i}" for i, c in enumerate(lines[skip].split(sep))] if lines else []
         seen: dict[str, int] = {}
