@@ -248,6 +248,8 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
             x, y = F.when(ok, F.col(a).cast("double")), F.when(ok, F.col(b).cast("double"))
             r = F.try_divide(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))
             out.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(ok).alias("n"), r.alias("r")))
+    if not out:
+        return df.sparkSession.createDataFrame([], "a string, b string, n long, r double")
     return df.agg(F.array(*out).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
