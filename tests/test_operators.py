@@ -180,7 +180,7 @@ def test_audit(spark):
     assert {("duplicate rows", "error"), ("duplicate ids", "error"), ("spelling", "warn"), ("leakage", "error"), ("groups", "warn")} <= checks
     swapped = df.withColumn("透析後BUN", F.col("透析前BUN") + 5)
     assert ("pre and post", "error") in {(f["check"], f["severity"]) for f in audit.pre_post(swapped)}
-    assert not [f for f in audit.audit(df.filter("施設 = 'A院'").select("仮名ID", "x"), "仮名ID") if f["severity"] == "error"]
+    assert not [f for f in audit.audit(df.filter(F.col("施設") == "A院").select("仮名ID", "x"), "仮名ID") if f["severity"] == "error"]
 
 
 def test_series(spark):
