@@ -255,7 +255,7 @@ def test_chat_round_trip(spark):
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return segmentation._sampler(segmentation.Vocabulary())
+    return segmentation.Vocabulary()
 
 
 def test_segmentations_are_distinct_exact_and_decode(vocabulary):
@@ -269,6 +269,25 @@ def test_segmentations_are_distinct_exact_and_decode(vocabulary):
         assert first[tuple(ids)] / 4000 == pytest.approx(math.exp(p), abs=0.03)
 
 
+def test_samples_do_not_depend_on_grouping(vocabulary):
+    texts = ["then we met", None, "", "日本 x\n\n  y", "then we met", "q" * 900]
+    together = segmentation.sample_texts(vocabulary, texts, [1, 2, 3, 4, 1, 6], 3)
+    for text, key, found in zip(texts, [1, 2, 3, 4, 1, 6], together):
+        alone = vocabulary.samples(text, key, 3)
+        assert [(a.tolist(), b, c) for a, b, c in alone] == [(a.tolist(), b, c) for a, b, c in found]
+
+
+def test_lattice_mass_matches_plain_recursion(vocabulary):
+    """Probabilities of sampled paths against a plain recursion over all pieces of a word."""
+    piece = {vocabulary.bytes[i].decode(): i for i in range(len(vocabulary.bytes)) if i not in vocabulary.byte_id and vocabulary.bytes[i]}
+    word = " thennow"
+    mass = [0.0] * len(word) + [1.0]
+    for a in range(len(word) - 1, -1, -1):
+        mass[a] = sum(math.exp(vocabulary.weight[piece[word[a:b]]]) * mass[b] for b in range(a + 1, len(word) + 1) if word[a:b] in piece)
+    for ids, p, _ in vocabulary.samples(word[1:], 5, 6):
+        assert p == pytest.approx(sum(vocabulary.weight[i] for i in ids) - math.log(mass[0]), abs=1e-8)
+
+
 def test_inclusion_scores_match_frequencies(vocabulary):
     """Horvitz-Thompson: sum of p / inclusion over a sample estimates 1 without bias."""
     totals = [sum(math.exp(p - q) for _, p, q in vocabulary.samples("thenab", k, 3)) for k in range(3000)]
