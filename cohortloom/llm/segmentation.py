@@ -37,7 +37,7 @@ from cohortloom.session import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 29
-GROUP = 3_000_000  # characters of texts worked on at once; a longer text is a group of its own
+GROUP = 700_000  # characters of texts worked on at once; a longer text is a group of its own
 BYTE_COST = 14.0  # of one byte piece, in nats
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _STOP = chr(0x10FFFF)  # between words; no piece has it
