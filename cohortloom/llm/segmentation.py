@@ -22,6 +22,7 @@ are ignored by `segment`.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import math
@@ -37,7 +38,7 @@ from cohortloom.session import ship
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 29
-GROUP = 700_000  # characters of texts worked on at once; a longer text is a group of its own
+GROUP = 40_000  # characters of texts worked on at once, so that arrays stay in a core's cache; a longer text is a group of its own
 BYTE_COST = 14.0  # of one byte piece, in nats
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _STOP = chr(0x10FFFF)  # between words; no piece has it
@@ -319,8 +320,17 @@ def _first(pair: tuple) -> float:
     return pair[0]
 
 
+def _keep_memory() -> None:
+    """Have the C library keep what arrays free for the next ones: fresh pages cost more than the work on them."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tune:
+        for what, size in ((-3, 1 << 25), (-1, 1 << 28), (-2, 1 << 25)):  # threshold of mapping, of trimming, padding
+            tune(what, size)
+
+
 def _groups(batch, k: int, v: Vocabulary, seed: int = SEED):
     """Rows of (doc_id, text) with their samples, in groups of about GROUP characters."""
+    _keep_memory()
     group, size = [], 0
     for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         n = len(row[1] or "")
