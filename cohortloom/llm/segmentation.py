@@ -310,7 +310,8 @@ def _emit(v, net, word, place, base, seeds, take, opened, queues, out, r, k):
             some = np.flatnonzero(np.isfinite(mass))
             noise = np.log(-np.log(_uniform(np.repeat(seeds[t], len(some)), at[lo + i + some] - base[t], 2 * r + 2)))
             value = -np.logaddexp(g, noise - mass[some])
-            best = sorted([*best, *zip(value.tolist(), (some + i).tolist())], key=_first, reverse=True)[:need]
+            top = np.argsort(-value, kind="stable")[:need]
+            best = sorted([*best, *zip(value[top].tolist(), (some[top] + i).tolist())], key=_first, reverse=True)[:need]
             i, n = j, 2 * n
         for value, i in best:
             heapq.heappush(queues[t], (-value, (r, i), r, int(at[lo + i]), own if own and i == skip else (int(edges[lo + i]),)))
