@@ -42,7 +42,7 @@ def runs(percent: int) -> tuple[int, int]:
 
 
 def run_keys(sketch: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """The inverted lists that a set of n shingles is in."""
+    """The inverted lists that a set of n shingles is in, sorted as the signed numbers they travel as."""
     out = []
     for size, use in zip(runs(percent), (n >= MIDDLE, n <= SMALL)):
         if use:
@@ -51,7 +51,7 @@ def run_keys(sketch: np.ndarray, n: int, percent: int) -> np.ndarray:
             for i in range(size):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + sketch[i : i + len(h)]
             out.append(scrambled(h))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out).view(np.int64))
 
 
 def union_estimate(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> float:

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,31 @@ def test_near_duplicates_against_brute_force(spark, words, percent):
     assert [got[i].component_id for i in range(len(texts))] == top
 
 
+def test_every_near_pair_is_compared_in_one_list():
+    # without a pivot: all pairs of a list that pass, each from one of its shared lists
+    rng, lists, sketches = np.random.default_rng(3), collections.defaultdict(list), []
+    for g in range(150):
+        n = int(rng.integers(8, 90))
+        base = rng.integers(0, 2**32, n, dtype=np.uint64)
+        for k in range(3):
+            s = base.copy()
+            s[: k * (n // 30)] = rng.integers(0, 2**32, k * (n // 30), dtype=np.uint64)
+            sketches.append(np.unique(s))
+    for rep, s in enumerate(sketches):
+        keys = minhash.run_keys(s[: minhash.K], len(s), 85)
+        assert (keys[1:] > keys[:-1]).all()
+        for key in keys.tolist():
+            lists[key].append({"key": key, "i": 0, "j": 0, "rep": rep, "comp": rep, "n": len(s), "block": 0, "sketch": s.astype(np.uint32).tobytes()})
+    rows = [r for _, members in sorted(lists.items()) if len(members) > 1 for r in members]
+    want = set()
+    for i, j in itertools.combinations(range(len(sketches)), 2):
+        both = len(np.intersect1d(sketches[i], sketches[j]))
+        if i // 3 == j // 3 and 100 * both >= 85 * (len(sketches[i]) + len(sketches[j]) - both):
+            want.add((i, j))
+    got = [(r["a"], r["b"]) for out in minhash._pairs(85, False)([pa.RecordBatch.from_pylist(rows)]) for r in out.to_pylist()]
+    assert len(want) > 200 and set(got) == want and len(got) == len(want), (len(set(got)), len(want))
+
+
 def test_near_duplicates_odd_rows(spark, words):
     df = documents(spark, odd_rows(words)).withColumn("rep", F.lit(1))
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
