@@ -6,8 +6,8 @@ stands within WINDOW words of e, and df(t) the documents with t, knowing t gives
 log2(co * N / (df(t) * df(e))) bits of pointwise information.  Terms seen with an entity in at least SUPPORT different
 contexts (so that copies of a text prove nothing) and at least BITS bits are generalised from GENERAL on, removed from REMOVE on.
 
-Distribution: one pass emits (entity, term, context) of documents with entities, counted with partial sums; one pass counts
-df of candidate terms only; one pass marks spans.  Term sets are sent to executors in slices of SLICE terms, one after
+Distribution: one pass emits (entity, term, context) of documents with entities, and each entity once for its df, counted with
+partial sums; one pass counts df of candidate terms only; one pass marks spans.  Term sets are sent to executors in slices of SLICE terms, one after
 another, so no broadcast grows with the corpus; terms and entities travel as 64-bit hashes.
 
 Odd rows: a null text counts as empty and stays null when sanitised; repeated rows are documents of their own; null doc_ids
@@ -96,13 +96,14 @@ def entity(kind: str, value: str) -> int:
 
 
 def contexts(text: str) -> list[tuple[int, int, int]]:
-    """(entity, term, context) of a text, once for each entity and term."""
+    """(entity, term, context) of a text, once for each entity and term; (entity, None, None) once for each entity."""
     spans = base_spans(text)
     if not spans:
         return []
-    out: dict[tuple[int, int], int] = {}
+    out: dict[tuple[int, int | None], int | None] = {}
     for kind, start, end in spans:
         e = entity(kind, text[start:end])
+        out[e, None] = None
         reach = 24 * WINDOW
         before = [w.lower() for w in _TERM.findall(text[max(0, start - reach) : start])][-WINDOW:]
         after = [w.lower() for w in _TERM.findall(text[end : end + reach])][:WINDOW]
@@ -146,12 +147,12 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     ship(spark)
     texts = docs.select("text")
     seen = texts.mapInArrow(_contexts, "e long, t long, c long").groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n"))
-    pairs = stage(seen.groupBy("e", "t").agg(F.sum("n").alias("co"), F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT))
+    counted = stage(seen.groupBy("e", "t").agg(F.sum("n").alias("co"), F.count(F.lit(1)).alias("support")).filter(F.col("t").isNull() | (F.col("support") >= SUPPORT)))
+    pairs, entities = counted.filter("t IS NOT NULL"), counted.filter("t IS NULL").select("e", F.col("co").alias("de"))
     df = spark.createDataFrame([], "t long, n long")
     for part in _slices(stage(pairs.select("t").distinct()), []):
         df = df.unionByName(texts.mapInArrow(_frequency(spark.sparkContext.broadcast(frozenset(part))), "t long, n long"))
     df = df.groupBy("t").agg(F.sum("n").alias("df"))
-    entities = pairs.groupBy("e").agg(F.max("co").alias("de"))  # no fewer documents have the entity
     total = docs.count()
     told = pairs.join(df, "t").join(entities, "e").withColumn("p", F.least(F.col("co") / F.col("df"), F.lit(1.0)))
     told = told.withColumn("bits", F.log2(F.col("p") * F.lit(float(max(total, 1))) / F.col("de")))

@@ -186,6 +186,13 @@ def test_revealing_terms(spark, words):
     assert clean[0].n_chars == len(clean[0].text)
 
 
+def test_entity_frequency_is_of_the_corpus(spark, words):
+    footer = "kindly send every question about this monthly letter straight from your own friendly office hot@mail.example.com"
+    rows = [(i, f"{' '.join(words(20, i))} {footer}", "s") for i in range(100)] + [(100 + i, " ".join(words(20, i)), "s") for i in range(200)]
+    rows += [(300 + i, f"{' '.join(words(9, 700 + i))} oddword hot@mail.example.com", "s") for i in range(4)] + [(400, "hot@mail.example.com", "s")]
+    assert pii.revealing_terms(documents(spark, rows)).filter(F.col("t") == pii._key("oddword")).count() == 0
+
+
 def test_pii_odd_rows(spark, words):
     df = documents(spark, odd_rows(words)).withColumn("t", F.lit(1))
     assert pii.find(df).count() == df.count() and pii.sanitise(df).columns == df.columns and pii.find(df.limit(0)).count() == 0
