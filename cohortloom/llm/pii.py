@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from cohortloom.session import ship, stage
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
-SUPPORT = 3
+SUPPORT = 2
 BITS = 4.0
 GENERAL, REMOVE = 0.5, 0.9
 SLICE = 200_000
@@ -43,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W\d_]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -100,13 +101,14 @@ def contexts(text: str) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
     if not spans:
         return []
+    words = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out: dict[tuple[int, int | None], int | None] = {}
     for kind, start, end in spans:
         e = entity(kind, text[start:end])
         out[e, None] = None
-        reach = 24 * WINDOW
-        before = [w.lower() for w in _TERM.findall(text[max(0, start - reach) : start])][-WINDOW:]
-        after = [w.lower() for w in _TERM.findall(text[end : end + reach])][:WINDOW]
+        i, j = bisect_right(ends, start), bisect_left(starts, end)
+        before, after = ([text[a:b].lower() for a, b in words[k]] for k in (slice(max(0, i - WINDOW), i), slice(j, j + WINDOW)))
         where = _key("\n".join([*before, "", *after]))
         for w in {*before, *after}:
             out.setdefault((e, _key(w)), where)

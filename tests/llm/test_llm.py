@@ -193,6 +193,17 @@ def test_entity_frequency_is_of_the_corpus(spark, words):
     assert pii.revealing_terms(documents(spark, rows)).filter(F.col("t") == pii._key("oddword")).count() == 0
 
 
+def test_terms_of_two_contexts_and_whole_words(spark, words):
+    rows = [(i, f"{' '.join(words(12, i))} zq blorptag ann@mail.example.com {' '.join(words(12, 40 + i))}", "s") for i in range(2)]
+    rows += [(10 + i, f"{' '.join(words(9, 5))} copytag bob@mail.example.com", "s") for i in range(2)]
+    rows += [(100 + i, " ".join(words(60, 100 + i)), "s") for i in range(200)]
+    got = {r.t for r in pii.revealing_terms(documents(spark, rows)).collect()}
+    assert {pii._key("zq"), pii._key("blorptag")} <= got and pii._key("copytag") not in got
+    long = [c * 50 for c in "bcdefghijk"]
+    text = f"{' '.join(long)} ann@mail.example.com {' '.join(long)}"
+    assert {t for _, t, _ in pii.contexts(text)} == {None, *map(pii._key, long)}
+
+
 def test_pii_odd_rows(spark, words):
     df = documents(spark, odd_rows(words)).withColumn("t", F.lit(1))
     assert pii.find(df).count() == df.count() and pii.sanitise(df).columns == df.columns and pii.find(df.limit(0)).count() == 0
