@@ -7,7 +7,8 @@ sqrt((1 - f^2) / f^2 / (d - 1)); with both sides as codes the factor is f1 * f2.
 reaches the threshold are computed again, exactly, in double precision.
 
 Candidates: each of TABLES tables keys a vector by BITS sampled bits of its code; vectors at cosine 0.95 agree in a bit with
-probability 0.9, so a pair shares some key but for one in some thousands.  A pair is worked on only in the first table
+probability 0.9, so a pair shares some key but for one in 3,500 if bits are independent; in few dimensions
+they are not and more pairs are missed (how many is not measured).  A pair is worked on only in the first table
 it shares.  Equal vectors are one class from the start.  A bucket is worked off in blocks of BLOCK members, never as one
 group; inside a block codes are compared with popcounts, and only pairs that pass leave it.
 
