@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+BATCH_BYTES = 4 << 20  # of an Arrow batch: whole texts are long, so batches are bounded by bytes and not by rows alone
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application."""
+    """Make this package importable in the Python workers of every executor, once per application; bound Arrow batches.
+
+    The bound on batches is set where the session still has Spark's own (64 MB), so a setting of the user's stays.
+    """
+    if spark.conf.get(_BATCH, "64m").rstrip("bB") in ("64m", str(64 << 20)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -29,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; unset, our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{os.getpid()}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -46,11 +57,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what came of them must be staged itself by now."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if "/staged/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 8 << 20, salt: int = 16) -> DataFrame:
     """Null-safe join of big with small on columns that both have.
 
     small is counted first (rows and bytes of its string columns); up to limit bytes it is broadcast, beyond that both
-    sides are shuffled with a salt on the key, so a hot key of big spreads over `salt` tasks.
+    sides are shuffled with a salt on the key, so a hot key of big spreads over `salt` tasks.  The salt is a hash of the
+    row, so a task that runs again deals its rows alike.
     """
     text = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in small.dtypes if t == "string"]
     n, *strings = small.agg(F.count(F.lit(1)), *text).first()
@@ -59,7 +81,7 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         right = F.broadcast(right)
         cond = [big[c].eqNullSafe(right[f"__r_{c}"]) for c in on]
     else:
-        big = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+        big = big.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in big.dtypes if "map<" not in t]), F.lit(salt)).cast("int"))
         right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         cond = [big[c].eqNullSafe(right[f"__r_{c}"]) for c in on] + [big["__salt"] == right["__r_salt"]]
     out = big.join(right, on=cond, how=how)
