@@ -8,15 +8,15 @@ sketches and verified by exact Jaccard on their full sets.
 
 The aim is components, so a list is not expanded: each set is first verified against one pivot, the smallest id of its
 lists; then, in lists that still hold several components, each component's best estimated pair with another one, again
-and again while that finds links; at last every remaining pair of different components that passes the estimate.  A long
+and again while most of them are links; at last every remaining pair of different components that passes the estimate.  A long
 list is worked off in blocks of BLOCK members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
 
 Distribution: one pass over the texts makes sketches (about 0.8 kB a document); lists are formed by a hash aggregate with
 partial sums and an equi-join (adaptive skew handling), full sets are fetched only for sets in candidate pairs.
 
 Odd rows: a null, empty or blank text has 0 shingles and is its own component; so is a row with a null doc_id (component
-null, kept); equal rows that repeat a doc_id are copies; where one doc_id has different texts, only the one with the smallest
-digest links to others; an empty table gives an empty result; extra columns are ignored.
+null, kept); equal rows that repeat a doc_id are copies; where one doc_id has different texts, each text links on its own
+and its row has that text's component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shingles import components, digest, scrambled, shingle_set
-from cohortloom.session import ship, sized_join, stage
+from cohortloom.session import release, ship, sized_join, stage
 
 SKETCH = 256  # retained values of a set
 K = 96  # of these, those that key inverted lists
 SMALL, MIDDLE = 32, 24  # sets up to SMALL key short runs, sets from MIDDLE on key long runs
-BLOCK = 256
+BLOCK = 1024
+COLUMNS = 2048  # shared values compared at once: the memory of a block
+PARTNERS = 64  # pairs of a class that one copy of its set serves
 PERCENT = 85
 
 
@@ -71,12 +73,12 @@ def _sketches(k: int):
     def run(batches):
         for batch in batches:
             n, d, s = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column("text").to_pylist():
                 found = shingle_set(t)
                 n.append(len(found))
                 d.append(digest(found))
                 s.append(retained(found, k).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "text_hash", "n", "digest", "sketch"])
 
     return run
 
@@ -96,43 +98,53 @@ def _keys(percent: int):
 
 def _sets(batches):
     for batch in batches:
-        ids, sets = [], []
-        for i, t, d in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "digest"))):
+        reps, chunks, sets = [], [], []
+        for t, d, r, c in zip(*(batch.column(c).to_pylist() for c in ("text", "digest", "rep", "chunks"))):
             found = shingle_set(t)
             if digest(found) == d:
-                ids.append(i)
+                reps.append(r)
+                chunks.append(c)
                 sets.append(found.view(np.int64))
-        if ids:
+        if reps:
             offsets = np.cumsum([0] + [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(chunks, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], ["rep", "chunks", "shingles"])
+
+
+def shared(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each sketch of left shares with each of right: products of membership matrices, COLUMNS values at once."""
+    value, seen = np.unique(np.concatenate(sketches), return_inverse=True)
+    common = np.bincount(seen) > 1
+    column = np.cumsum(common) - 1
+    row = np.repeat(np.arange(len(sketches), dtype=np.int32), [len(s) for s in sketches])[common[seen]]
+    column = column[seen[common[seen]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(common.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        grid = np.zeros((len(sketches), COLUMNS), dtype=np.float32)
+        grid[row[at], column[at] - lo] = 1
+        both += grid[left] @ grid[right].T
+    return both
 
 
 def compared(sketches: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.ndarray, ok: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in left and right of the pairs among ok whose estimate passes, and the estimates.
 
-    Shared values of all pairs are counted at once, as a product of membership matrices.  Whole sets (up to SKETCH values)
-    pass at the likeness itself, larger ones 5.5 standard errors under it.
+    The estimate is `union_estimate`, for all pairs at once: shared values stand in both sketches up to where both are
+    complete, so only the values of either up to there are left to count.  Whole sets (up to SKETCH values) pass at
+    the likeness itself, larger ones 5.5 standard errors under it.
     """
     t = percent / 100
     lengths = np.array([len(s) for s in sketches])
-    value, seen = np.unique(np.concatenate(sketches), return_inverse=True)
-    common = np.bincount(seen) > 1
-    column = np.cumsum(common) - 1
-    use = common[seen]
-    grid = np.zeros((len(sketches), max(int(common.sum()), 1)), dtype=np.float32)
-    grid[np.repeat(np.arange(len(sketches)), lengths)[use], column[seen[use]]] = 1
-    both = grid[left] @ grid[right].T
-    nl, nr = n[left][:, None], n[right][None, :]
-    whole = (lengths == n)[left][:, None] & (lengths == n)[right][None, :]
-    like = both / (nl + nr - both)
-    ok = ok & np.where(whole, like >= t - 1e-4, both >= 0.5 * np.minimum(lengths[left][:, None], lengths[right][None, :]))
-    i, j = np.nonzero(ok)
-    e = like[i, j]
-    for k in np.flatnonzero(~whole[i, j]):
-        a, b = left[i[k]], right[j[k]]
-        e[k] = union_estimate(sketches[a], n[a], sketches[b], n[b])
-    keep = whole[i, j] | (e >= t - 5.5 * np.sqrt(t * (1 - t) / SKETCH))
-    return i[keep], j[keep], e[keep]
+    whole = lengths == n
+    top = np.array([2**32 - 1 if w else s[-1] for w, s in zip(whole, sketches)], dtype=np.uint32)
+    upto = np.array([np.searchsorted(s, top, side="right") for s in sketches], dtype=np.int32)  # values of each up to each top
+    x, y = (np.minimum(lengths[p][:, None], upto[np.ix_(p, q)]) for p, q in ((left, right), (right, left)))
+    both = shared(sketches, left, right)
+    like = both / (x + y.T - both)
+    i, j = np.nonzero(ok & (like >= np.where(whole[left][:, None] & whole[right][None, :], t - 1e-4, t - 5.5 * np.sqrt(t * (1 - t) / SKETCH))))
+    return i, j, like[i, j]
 
 
 def _pairs(percent: int, best: bool):
@@ -147,19 +159,7 @@ def _pairs(percent: int, best: bool):
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if not ok.any():
             return []
-        sketches = [np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows]
-        # a pair belongs to the smallest of its shared lists; earlier lists of all members at once
-        before = [k[: np.searchsorted(k, rows[0]["key"])] for k in (run_keys(s[:K].astype(np.uint64), m, percent) for s, m in zip(sketches, n.tolist()))]
-        key, seen = np.unique(np.concatenate(before), return_inverse=True)
-        common = np.bincount(seen, minlength=len(key)) > 1
-        if common.any():
-            use = common[seen]
-            grid = np.zeros((len(rows), int(common.sum())), dtype=np.float32)
-            grid[np.repeat(np.arange(len(rows)), [len(k) for k in before])[use], (np.cumsum(common) - 1)[seen[use]]] = 1
-            ok &= grid[left] @ grid[right].T == 0
-            if not ok.any():
-                return []
-        a, b, e = compared(sketches, n, left, right, ok, percent)
+        a, b, e = compared([np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows], n, left, right, ok, percent)
         a, b = left[a], right[b]
         if best and len(a):
             own, other = np.r_[comp[a], comp[b]], np.r_[comp[b], comp[a]]
@@ -178,9 +178,9 @@ def _pairs(percent: int, best: bool):
                     out += worked(rows) if len(rows) > 1 else []
                     rows, at = [], k
                 rows.append(r)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-                out = []
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                    out = []
         out += worked(rows) if len(rows) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
@@ -189,55 +189,99 @@ def _pairs(percent: int, best: bool):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the likeness."""
-    ids = stage(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(classes.select("rep", "digest"), "rep"))
-    texts = sized_join(docs.select("doc_id", "text"), ids.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id"])
-    sets = texts.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    x, y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    """The pairs (a, b) of classes whose full sets reach the likeness.
+
+    A class in many pairs has its set copied once for every PARTNERS of them, and its pairs are dealt over the copies.
+    """
+    ends = pairs.select(F.col("a").alias("rep"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(pairs.select(F.col("b").alias("rep"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    ids = ends.groupBy("rep").agg(F.ceil(F.greatest(F.sum("x"), F.sum("y")) / PARTNERS).cast("int").alias("chunks"))
+    ids = stage(ids.join(classes.select("rep", F.col("low").alias("doc_id"), "digest"), "rep"))
+    texts = sized_join(docs, ids, ["doc_id"], limit=24 << 20)
+    sets = texts.mapInArrow(_sets, "rep long, chunks int, shingles array<long>").dropDuplicates(["rep"])
+    sets = sets.select("rep", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "shingles")
+    many = ids.filter("chunks > 1").select("rep", "chunks")  # few: a class with more than PARTNERS pairs
+    dealt = pairs
+    for end, other, part in (("a", "b", "pa"), ("b", "a", "pb")):
+        dealt = sized_join(dealt, many.select(F.col("rep").alias(end), F.col("chunks").alias(part)), [end], "left")
+        dealt = dealt.withColumn(part, F.coalesce(F.pmod(F.xxhash64(other), F.col(part)), F.lit(0)).cast("int"))
+    x, y = (sets.select(F.col("rep").alias(end), F.col("part").alias(part), F.col("shingles").alias(name)) for end, part, name in (("b", "pb", "x"), ("a", "pa", "y")))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    found = pairs.join(x, "b").join(y, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("all"))
-    return stage(found.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"))
+    found = dealt.join(x, ["b", "pb"]).join(y, ["a", "pa"]).select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("all"))
+    out = stage(found.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"))
+    release(ids)
+    return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
+def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, text_hash, label, component_id; one row for each row of docs.
+
+    label numbers the component (null for rows that link with nothing), component_id is the smallest doc_id in it and
+    text_hash tells rows of one doc_id apart.
+    """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    made = stage(docs.mapInArrow(_sketches(SKETCH), "doc_id long, n long, digest binary, sketch binary"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    made = stage(hashed.mapInArrow(_sketches(SKETCH), "doc_id long, text_hash long, n long, digest binary, sketch binary"))
     firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m"))
-    classes = stage(firsts.select(F.col("m.doc_id").alias("rep"), "digest", F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")))
-    n, ids = classes.agg(F.count(F.lit(1)), F.count_distinct("rep")).first()
-    linking = classes if n == ids else stage(classes.groupBy("rep").agg(F.min(F.struct("digest", "n", "sketch")).alias("m")).select("rep", "m.*"))
-    postings = linking.select("rep", "n", "sketch").mapInArrow(_keys(percent), "key long, rep long")
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
+    # classes are numbered, not named by a doc_id: one doc_id may have several texts
+    classes = stage(firsts.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("m.doc_id").alias("low"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")))
+    postings = classes.select("rep", "n", "sketch").mapInArrow(_keys(percent), "key long, rep long")
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g")).filter("size > 1")
+    # lists with the same members (by size, smallest one and 128 bits of their hashes) are worked off once
+    lists = lists.groupBy("size", "pivot", "h", "g").agg(F.min("key").alias("key")).select("key", "size", "pivot")
     members = stage(postings.join(lists, "key"))
     first = stage(members.filter("rep <> pivot").groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
-    links = verified(first, docs, linking, percent)
+    links = verified(first, docs, classes, percent)
     best, labels = True, components(links)
     while True:
         told = stage(members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("comp")))
         mixed = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        left = told.join(mixed, "key").join(linking.select("rep", "n", "sketch"), "rep")
+        left = told.join(mixed, "key").join(classes.select("rep", "n", "sketch"), "rep")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         left = left.select("key", "rep", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = stage(left.mapInArrow(_pairs(percent, best), "a long, b long").distinct())
-        if pairs.isEmpty():
+        release(told)
+        tried = pairs.count()
+        if not tried:
             break
-        more = verified(pairs, docs, linking, percent)
-        if not more.isEmpty():
+        more = verified(pairs, docs, classes, percent)
+        if found := more.count():
             links = stage(links.unionByName(more).distinct())
             labels = components(links)
-        elif best:
-            best = False
-            continue
         if not best:
             break
-    told = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = made.select("doc_id", "n", "digest").join(told, "digest", "left")
-    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        best = 2 * found > tried
+    release(members, first)
+    told = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", "low", F.coalesce("label", "rep").alias("label"))
+    lowest = told.groupBy("label").agg(F.min("low").alias("component_id"))
+    told = told.join(lowest, "label").select("digest", "label", "component_id")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    out = made.select("doc_id", "text_hash", "n", "digest").join(told, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "text_hash", F.when(~alone, F.col("label")).alias("label"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
+    return classified(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs with the smallest doc_id of each component (of several texts of that doc_id in it, the one with the
+    smallest hash); rows that link with nothing all stay.  Equal rows count as one; all columns stay."""
+    found = stage(classified(docs, percent))
+    n, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == ids:  # null doc_ids have no label
+        drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+        return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")
+    first = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select("m.*")
+    stay = first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    hashed = docs.withColumn("__text", F.xxhash64("text"))
+    some = hashed.join(stay, (hashed["doc_id"] == stay["__id"]) & (hashed["__text"] == stay["__hash"]), "left_semi").dropDuplicates(["doc_id", "__text"])
+    lone = found.filter("label IS NULL").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rest = hashed.join(lone, hashed["doc_id"].eqNullSafe(lone["__id"]) & (hashed["__text"] == lone["__hash"]), "left_semi")
+    return some.unionByName(rest).drop("__text")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

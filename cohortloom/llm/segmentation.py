@@ -325,7 +325,7 @@ def _keep_memory() -> None:
     """Have the C library keep what arrays free for the next ones: fresh pages cost more than the work on them."""
     tune = getattr(ctypes.CDLL(None), "mallopt", None)
     if tune:
-        for what, size in ((-3, 1 << 25), (-1, 1 << 28), (-2, 1 << 25)):  # threshold of mapping, of trimming, padding
+        for what, size in ((-3, 1 << 25), (-1, 1 << 26), (-2, 1 << 24)):  # threshold of mapping, of trimming, padding
             tune(what, size)
 
 

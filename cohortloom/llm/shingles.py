@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.session import stage
+from cohortloom.session import release, stage
 
 WORDS = 5
+SALT = 8
 _rng = np.random.default_rng(20240517)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,18 +64,27 @@ def components(links: DataFrame) -> DataFrame:
     def mark(df):
         return df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
 
+    def salted(many, one):
+        """many joined with the one row of its u; a hub's rows are dealt over SALT tasks."""
+        dealt = many.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+        return dealt.join(one.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["u", "s"]).drop("s")
+
     was = mark(edges)
     while was[0]:
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = stage(edges)
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        near = edges.join(least, "u")
+        edges = salted(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stage(edges)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = salted(large, least)
         edges = stage(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        release(before, large)
         now = mark(edges)
         if now == was:
             break
         was = now
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return stage(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops))
+    out = stage(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops))
+    release(edges)
+    return out

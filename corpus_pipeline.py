@@ -10,7 +10,6 @@ duplicate, and the mix does not take them (size 0).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortloom.llm import minhash, mixing, pii, quality, segmentation
 from cohortloom.session import stage
@@ -25,15 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, one."""
-    found = minhash.near_duplicates(docs, PERCENT)
-    drop = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
-    out = docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")
-    n, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n != ids:
-        named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = named.unionByName(out.filter("doc_id IS NULL"))
-    return out
+    """The document with the smallest id of each near-duplicate group."""
+    return minhash.one_of_each(docs, PERCENT)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

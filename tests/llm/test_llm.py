@@ -114,8 +114,8 @@ def test_near_duplicates_against_brute_force(spark, words, percent):
     assert [got[i].component_id for i in range(len(texts))] == top
 
 
-def test_every_near_pair_is_compared_in_one_list():
-    # without a pivot: all pairs of a list that pass, each from one of its shared lists
+def test_every_near_pair_is_compared():
+    # without a pivot: all pairs of a list that pass
     rng, lists, sketches = np.random.default_rng(3), collections.defaultdict(list), []
     for g in range(150):
         n = int(rng.integers(8, 90))
@@ -136,7 +136,7 @@ def test_every_near_pair_is_compared_in_one_list():
         if i // 3 == j // 3 and 100 * both >= 85 * (len(sketches[i]) + len(sketches[j]) - both):
             want.add((i, j))
     got = [(r["a"], r["b"]) for out in minhash._pairs(85, False)([pa.RecordBatch.from_pylist(rows)]) for r in out.to_pylist()]
-    assert len(want) > 200 and set(got) == want and len(got) == len(want), (len(set(got)), len(want))
+    assert len(want) > 200 and set(got) == want, (len(set(got)), len(want))
 
 
 def test_near_duplicates_odd_rows(spark, words):
@@ -146,6 +146,36 @@ def test_near_duplicates_odd_rows(spark, words):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_link_on_their_own(spark, words):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(5, " ".join(a), "s"), (5, " ".join(b), "s"), (2, " ".join([*a, "x"]), "s"), (3, " ".join([*b, "y"]), "s"), (5, " ".join(a), "t"), (4, None, "s"), (4, "", "s")]
+    df = documents(spark, rows)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(2, 2, True), (3, 3, True), (4, 4, True), (4, 4, True), (5, 2, False), (5, 2, False), (5, 3, False)]
+    assert sorted((r.doc_id, r.text) for r in minhash.one_of_each(df).filter("length(text) > 0").collect()) == [(2, rows[2][1]), (3, rows[3][1])]
+    alone = documents(spark, [(1, " ".join(a), "s"), (1, " ".join(b), "s"), (1, " ".join(b), "t"), (None, "", "s")])
+    assert sorted(str(r.text) for r in minhash.one_of_each(alone).collect()) == sorted([" ".join(a), " ".join(b), ""])
+
+
+def test_estimates_of_all_pairs_are_union_estimates():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**32, n, dtype=np.uint64)).astype(np.uint32) for n in (5, 200, 256, 300, 2000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 2**32, len(s) // 10, dtype=np.uint64).astype(np.uint32)]) for s in sets]
+    n, sketches = np.array([len(s) for s in sets]), [s[: minhash.SKETCH] for s in sets]
+    k = np.arange(len(sets))
+    i, j, e = minhash.compared(sketches, n, k, k, np.ones((len(k), len(k)), dtype=bool), 1)
+    want = {(a, b): minhash.union_estimate(sketches[a], n[a], sketches[b], n[b]) for a in k for b in k}
+    assert all(want[a, b] == pytest.approx(x, abs=1e-6) for a, b, x in zip(i, j, e)) and len(i) >= 20
+
+
+def test_shared_values_in_slices(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(0)
+    x = [np.unique(rng.integers(0, 200, 60)).astype(np.uint32) for _ in range(9)]
+    got = minhash.shared(x, np.arange(4), np.arange(4, 9))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in x[4:]] for a in x[:4]]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 40), (40, 70)], "a long, b long")
     got = dict(shingles.components(links).collect())
