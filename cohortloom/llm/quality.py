@@ -1,12 +1,15 @@
 """Quality classifier by compression: which labelled text shortens this text more?
 
 Two Zstandard dictionaries are built from pieces of good and of bad labelled texts.  A text is cut into blocks of BLOCK
-bytes, each block is compressed with either dictionary, and the sizes are summed over the whole text.  The normalised
-difference (bad - good) / (bad + good), with the better of the two rates bytes out / bytes in (junk that repeats itself
-shrinks under any dictionary), goes through a logistic calibration fitted on labelled rows the dictionaries haven't seen.
+bytes, each block is compressed with either dictionary, and the sizes are summed over the whole text.  The difference
+(bad - good), normalised by the text's bytes, is the only input of a logistic calibration fitted on labelled rows the
+dictionaries haven't seen.  (Normalised by the compressed sizes it ranks worse: junk that repeats itself shrinks under any
+dictionary, and what little is left of it weighs as much as a text.)
 
-Bounds: dictionaries and calibration use at most about MAX_ROWS labelled rows; the driver gets PIECE-sized pieces of a text
-and a few numbers for each calibration row.  Scoring is one pass without a shuffle.
+Bounds of the fit, all parameters: a sample of about ROWS labelled rows; three quarters of it are for the dictionaries, which
+take one piece of PIECE characters, whole, from each text in hash order until ROOM bytes are full (some 500 texts a label);
+one quarter is for the calibration.  The driver gets those pieces and three numbers for each calibration row.  Scoring is
+one pass over whole texts without a shuffle.
 
 Odd rows: a null or empty text has sizes 0 and gets the share of good rows as its score; a null doc_id is never held out or
 learnt from; repeated rows score alike; an empty table gives an empty result; with one class of labels or none the score
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 from cohortloom.llm.training import labelled, logistic, remainder, sigmoid
 from cohortloom.session import ship, stage
 
-BLOCK = 1024
+BLOCK = 512
 LEVEL = 6
 ROOM = 112 << 10  # bytes of a dictionary
-PIECE = 400  # characters of a text that a dictionary may take
-ROWS = 8000
+PIECE = 200  # characters that a dictionary takes of a text
+ROWS = 8000  # labelled rows of the fit
 CUT = 0.3
 
 
@@ -60,15 +63,13 @@ class Model:
     def scores(self, n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.fit is None:
             return np.full(len(n), self.prior)
-        mean, scale, w = self.fit
-        z = np.c_[(features(n, g, b) - mean) / scale, np.ones(len(n))] @ w
-        return np.where(n > 0, sigmoid(z), self.prior)
+        slope, intercept = self.fit
+        return np.where(n > 0, sigmoid(slope * difference(n, g, b) + intercept), self.prior)
 
 
-def features(n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (b - g) / np.maximum(b + g, 1)
-    m = np.clip(np.minimum(g, b) / np.maximum(n, 1), 1e-3, 2)
-    return np.c_[d, m, m * m, np.log(m)]
+def difference(n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The normalised difference of compressed sizes: positive where good texts shorten a text more."""
+    return (b - g) / np.maximum(n, 1)
 
 
 def _measured(model: Model):
@@ -86,6 +87,18 @@ def _measured(model: Model):
     return run
 
 
+def built(pieces) -> bytes:
+    """A dictionary's content: whole pieces, in order, as long as they fit."""
+    out, room = [], ROOM
+    for x in pieces:
+        x = x.encode("utf-8", "surrogatepass") + b"\n"
+        if len(x) > room:
+            break
+        out.append(x)
+        room -= len(x)
+    return b"".join(out)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Fit on rows whose crc32(doc_id) mod 5 isn't 0: three quarters make the dictionaries, one quarter the calibration."""
     sample = stage(labelled(docs, labels, "quality", max_rows=rows))
@@ -93,12 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1
     counts = dict(sample.groupBy("y").count().collect())
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    pieces = sample.filter(part != 0).select("doc_id", "y", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("x")).orderBy(F.xxhash64("doc_id"), "x").collect()
-    content = []
-    for y in (1, 0):
-        xs = [p.x.encode("utf-8", "surrogatepass") for p in pieces if p.y == y and p.x]
-        each = max(96, ROOM // max(len(xs), 1))
-        content.append(b"\n".join(x[:each] for x in xs)[:ROOM])
+    pieces = sample.filter((part != 0) & (F.length("text") > 0)).select("y", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("x"), F.xxhash64("doc_id").alias("h"))
+    content = [built(p.x for p in pieces.filter(F.col("y") == y).orderBy("h", "x").limit(rows).collect()) for y in (1, 0)]
     model = Model(*content, prior)
     if all(len(c) >= 8 for c in content) and all(counts.get(y) for y in (0, 1)):
         measured = _measured(model)
@@ -115,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             share = dict(labels.filter(F.col("quality").isin(0, 1) & (remainder("doc_id", 5) != 0)).groupBy(F.col("quality").cast("int").alias("y")).count().collect())
             model.prior = share[1] / (share[0] + share[1])
             weight = np.where(y == 1, model.prior / y.mean(), (1 - model.prior) / (1 - y.mean()))
-            model.fit = logistic(features(*got[:, 1:].T), y, weight)
+            mean, scale, w = logistic(difference(*got[:, 1:].T)[:, None], y, weight)
+            model.fit = float(w[0] / scale[0]), float(w[1] - w[0] * mean[0] / scale[0])
     return model
 
 
