@@ -1,25 +1,32 @@
 """Embedding near-duplicates with randomised-rotation binary codes and stored correction factors.
 
-A unit vector is rotated by seeded random orthogonal matrices; the code of the first one is the sign of each coordinate, and the stored
-factor is the inner product f of the rotated vector with its code's unit vector.  For two vectors, the plain inner product
-of one with the other's code vector, divided by f, is an unbiased estimate of their cosine, with error of the order
-sqrt((1 - f^2) / f^2 / (d - 1)); with both sides as codes the factor is f1 * f2.  Only pairs whose upper confidence bound
-reaches the threshold are computed again, exactly, in double precision.
-
-Candidates: each of TABLES tables keys a vector by BITS sampled bits of its code; vectors at cosine 0.95 agree in a bit with
-probability 0.9, so a pair shares some key but for one in 3,500 if bits are independent; in few dimensions
-they are not and more pairs are missed (how many is not measured).  A pair is worked on only in the first table
-it shares.  Equal vectors are one class from the start.  A bucket is worked off in blocks of BLOCK members, never as one
-group; inside a block codes are compared with popcounts, and only pairs that pass leave it.
+A unit vector x is rotated by m seeded random orthogonal matrices; its code s holds the sign of each coordinate of each rotation,
+and the stored correction factor is F = <s, rotated x>.  The other vector y of a pair stays as it is: with z = s rotated back
+and summed over the rotations, <z, y> / F is an unbiased estimate of the cosine.  Its error comes only from the part of y that
+is orthogonal to x, which a random rotation turns anywhere: at cosine c the standard error is sqrt(1 - c * c) * S with the
+second stored number S = sqrt(sum(1 - f_k ** 2) / (d - 1)) / sum(f_k), f_k being the factor of rotation k alone.  Only pairs
+whose estimate reaches the threshold less SURE standard errors at the threshold are computed again, exactly, in double precision.
+
+Candidates: a table keys a vector by some bits of its code; vectors at cosine 0.95 agree in a bit with probability 0.9.
+There are as many rotations as it takes that no bit serves two tables, so also in few dimensions; `tables` raises bits
+and tables with the number of vectors, so that buckets stay short and a pair at the threshold shares no key with probability MISS.
+A pair is worked on only in the first table it shares.
+
+Equal vectors are one class from the start.  A bucket is worked off in blocks of BLOCK members; a block gives one row for
+each member that has links: how many vectors it links to, and the smallest member it is connected to inside the
+block.  So a dense group of n vectors makes rows in proportion to n (and, in its buckets, to its blocks), not n * n pairs.
 
 Odd rows: a vector that is null, zero, empty or holds a null or non-finite component links with nothing; so does one of
 another length than its partner; a null vec_id has a null component and is kept; repeated rows are vectors of their own and
-count as links; an empty table gives an empty result; extra columns are ignored.
+count as links; where one vec_id has different vectors, each links on its own and its row has that vector's links; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,34 +36,58 @@ from pyspark.sql import functions as F
 from cohortloom.llm.shingles import components
 from cohortloom.session import ship, stage
 
-ROTATIONS = 4  # the first one gives the estimates, all of them give bits to key by
-TABLES, BITS = 32, 14
+AGREE = 0.9  # that two vectors agree in a bit, hardly ever less at the threshold 0.95
+MISS = 2e-4
+LEAST_BITS = 14
 BLOCK = 512
-SURE = 3.0  # standard errors of the confidence bound
+SURE = 5.0  # standard errors of the confidence bound
 COSINE = 0.95
 
 
-def rotation(d: int, k: int = 0) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng([4711, d, k]).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+def tables(n: int) -> tuple[int, int]:
+    """How many tables of how many bits for n vectors."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1))) - 2)
+    return math.ceil(math.log(MISS) / math.log1p(-(AGREE**bits))), bits
 
 
-def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of unit vectors -> sign bits of all rotations (bool), and the first one's correction factors."""
+@functools.cache
+def rotations(d: int, count: int) -> np.ndarray:
+    """count random orthogonal d x d matrices, one below the other."""
+    out = []
+    for k in range(count):
+        q, r = np.linalg.qr(np.random.default_rng([4711, d, k]).standard_normal((d, d)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.vstack(out)
+
+
+def turns(d: int, shape: tuple[int, int]) -> int:
+    return -(-shape[0] * shape[1] // d)
+
+
+@functools.cache
+def sampled_bits(d: int, shape: tuple[int, int]) -> np.ndarray:
+    """The bits of a code that key each table."""
+    return np.random.default_rng(99 + d).permutation(turns(d, shape) * d)[: shape[0] * shape[1]].reshape(shape)
+
+
+def coded(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of unit vectors -> sign bits of m rotations (bool), the correction factors and the errors S."""
     d = x.shape[1]
-    y = [x @ rotation(d, k).T for k in range(ROTATIONS)]
-    return np.hstack(y) > 0, np.abs(y[0]).sum(1) / np.sqrt(d)
+    y = x @ rotations(d, m).T
+    f = np.abs(y).reshape(len(x), m, d).sum(2) / math.sqrt(d)
+    return y > 0, f.sum(1) * math.sqrt(d), np.sqrt(np.maximum(1 - f * f, 0).sum(1) / max(d - 1, 1)) / f.sum(1)
 
 
-def sampled_bits(d: int) -> np.ndarray:
-    rng = np.random.default_rng(99 + d)
-    return np.array([rng.permutation(ROTATIONS * d)[: min(BITS, ROTATIONS * d)] for _ in range(TABLES)])
+def estimates(bit: np.ndarray, factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated cosines of each coded vector with each row of y."""
+    d = y.shape[1]
+    z = (2.0 * bit - 1) @ rotations(d, bit.shape[1] // d)
+    return (z / factor[:, None]) @ y.T
 
 
-def bounds(agree: np.ndarray, d: int, f1: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosine of pairs whose codes agree in so many bits, and its standard error."""
-    f = f1 * f2
-    return (2 * agree / d - 1) / f, np.sqrt(np.maximum(1 - f * f, 0) / (f * f) / max(d - 1, 1))
+def floor(error: np.ndarray, cosine: float) -> np.ndarray:
+    """What an estimate must reach for its pair to be computed again."""
+    return cosine - SURE * math.sqrt(1 - cosine * cosine) * error
 
 
 def unit(v) -> np.ndarray | None:
@@ -68,73 +99,93 @@ def unit(v) -> np.ndarray | None:
     return a / np.linalg.norm(a)
 
 
-def _codes(batches):
+def _classes(batches):
+    """Digest and unit vector of each row that can link."""
     for batch in batches:
         ids, n = batch.column(0), len(batch)
-        d, digest, code, f = [None] * n, [None] * n, [None] * n, [None] * n
-        by: dict[int, list] = {}
+        d, digest, vector = [None] * n, [None] * n, [None] * n
         for k, v in enumerate(batch.column(1)):
             if ids[k].is_valid and (a := unit(v)) is not None:
-                by.setdefault(len(a), []).append((k, a))
-                d[k], digest[k] = len(a), hashlib.blake2b(v.values.to_numpy(zero_copy_only=False).tobytes(), digest_size=16).digest()
-        for rows in by.values():
-            bit, factor = coded(np.array([a for _, a in rows]))
-            for (k, _), b, x in zip(rows, np.packbits(bit, axis=1), factor):
-                code[k], f[k] = b.tobytes(), float(x)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in ((d, pa.int32()), (digest, pa.binary()), (code, pa.binary()), (f, pa.float64())))], ["vec_id", "d", "digest", "code", "f"])
+                d[k], vector[k] = len(a), a.tobytes()
+                digest[k] = hashlib.blake2b(v.values.to_numpy(zero_copy_only=False).tobytes(), digest_size=16).digest()
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in ((d, pa.int32()), (digest, pa.binary()), (vector, pa.binary())))], ["vec_id", "d", "digest", "vector"])
 
 
-CODES = "vec_id long, d int, digest binary, code binary, f double"
+def _read(vectors: list[bytes], d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=np.float64).reshape(len(vectors), d)
 
 
-def _keyed(batches):
-    for batch in batches:
-        keys, table, place = [], [], []
-        d, code = np.array(batch.column("d").to_pylist()), batch.column("code").to_pylist()
-        for size in np.unique(d):
-            at = np.flatnonzero(d == size)
-            bit = np.unpackbits(np.frombuffer(b"".join(code[k] for k in at), dtype=np.uint8).reshape(len(at), -1), axis=1)[:, : ROTATIONS * size]
-            for t, cols in enumerate(sampled_bits(int(size))):
-                keys.append((bit[:, cols] @ (1 << np.arange(len(cols)))) | t << 20 | int(size) << 28)
-                table.append(np.full(len(at), t))
-                place.append(at)
-        if keys:
-            at = pa.array(np.concatenate(place))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(table).astype(np.int32)), *(batch.column(c).take(at) for c in ("rep", "d", "code", "f"))], ["key", "t", "rep", "d", "code", "f"])
-
-
-def _candidates(cosine: float):
-    def worked(t, d, i, j, rep, block, code, f):
+def _keyed(shape: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            d, vectors, reps = (batch.column(c) for c in ("d", "vector", "rep"))
+            d, vectors = d.to_numpy(), vectors.to_pylist()
+            for size in np.unique(d).tolist():
+                at = np.flatnonzero(d == size)
+                bit, _, _ = coded(_read([vectors[k] for k in at], size), turns(size, shape))
+                key = np.concatenate([bit[:, cols] @ (1 << np.arange(len(cols))) for cols in sampled_bits(size, shape)])
+                t = np.repeat(np.arange(shape[0], dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), size, np.int32)), pa.array(t), pa.array(key), reps.take(pa.array(np.tile(at, shape[0])))], ["d", "t", "key", "rep"])
+
+    return run
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the links a - b connect it to."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[a], top[b])
+        new = top.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == top).all():
+            return top
+        top = new
+
+
+def _linked(cosine: float, shape: tuple[int, int]):
+    """Rows sorted by (d, t, key, i, j) -> rep, linked, to: one row for each member of a block that has links."""
+
+    def worked(at, rep, block, size, x):
+        d, t, _, i, j = at
+        bit, factor, error = coded(x, turns(d, shape))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        bit = np.unpackbits(np.frombuffer(b"".join(code), dtype=np.uint8).reshape(len(code), -1), axis=1)[:, : ROTATIONS * d]
-        sign = 2 * bit[:, :d].astype(np.float32) - 1
-        agree = (sign[left] @ sign[right].T + d) / 2
-        e, error = bounds(agree, d, f[left][:, None], f[right][None, :])
-        ok = e + SURE * error >= cosine
+        ok = estimates(bit[left], factor[left], x[right]) >= floor(error[left], cosine)[:, None]
         if i == j:
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         a, b = np.nonzero(ok)
         a, b = left[a], right[b]
-        for cols in sampled_bits(d)[:t]:  # leave pairs that an earlier table has
+        for cols in sampled_bits(d, shape)[:t]:  # leave pairs that an earlier table has
             if not len(a):
                 break
             new = (bit[a][:, cols] != bit[b][:, cols]).any(1)
             a, b = a[new], b[new]
-        return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+        near = np.concatenate([(x[a[k : k + 4096]] * x[b[k : k + 4096]]).sum(1) >= cosine for k in range(0, len(a), 4096)]) if len(a) else np.zeros(0, dtype=bool)
+        checked = len(a)
+        a, b = a[near], b[near]
+        linked = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
+        used = np.flatnonzero(linked)
+        order = np.argsort(rep)  # the smallest place is the smallest rep
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        top = _least(len(rep), place[a], place[b])
+        return rep[used], linked[used].astype(np.int64), rep[order][top[place[used]]], checked
 
     def run(batches):
         rows, at = [], None
 
         def flush():
             if len(rows) > 1:
-                key, t, d, i, j = at
-                a, b = worked(t, d, i, j, *(np.array([r[c] for r in rows]) for c in ("rep", "block")), [r["code"] for r in rows], np.array([r["f"] for r in rows]))
-                for k in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["a", "b"])
+                got = worked(at, *(np.array([r[c] for r in rows]) for c in ("rep", "block", "size")), _read([r["vector"] for r in rows], at[0]))
+                if len(got[0]):
+                    checked = np.zeros(len(got[0]), dtype=np.int64)
+                    checked[0] = got[3]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*got[:3], checked)], ["rep", "linked", "to", "checked"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if at != (k := (r["key"], r["t"], r["d"], r["i"], r["j"])):
+                if at != (k := (r["d"], r["t"], r["key"], r["i"], r["j"])):
                     yield from flush()
                     rows, at = [], k
                 rows.append(r)
@@ -143,37 +194,38 @@ def _candidates(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, embedding) -> vec_id, n_links, component_id, kept; one row for each row of vectors."""
+def block_links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(rep, d, size, vector) -> rep, linked, to, checked; a staged table.  `checked` sums to the pairs computed exactly."""
+    ship(classes.sparkSession)
+    shape = tables(classes.count())
+    keyed = classes.select("d", "vector", "rep").mapInArrow(_keyed(shape), "d int, t int, key long, rep long")
+    sizes = keyed.groupBy("d", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = keyed.join(sizes, ["d", "t", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("t", "key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes, "rep")
+    order = ["d", "t", "key", "i", "j"]
+    return stage(rows.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_linked(cosine, shape), "rep long, linked long, to long, checked long"))
+
+
+def numbered(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, embedding) -> the rows with their digests, and the classes of equal vectors, numbered."""
     ship(vectors.sparkSession)
-    # the columns are renamed from the start, so extra columns can't clash
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    made = stage(vectors.mapInArrow(_codes, CODES))
-    classes = stage(made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("d").alias("d"), F.min("code").alias("code"), F.min("f").alias("f")))
-    keyed = classes.select("rep", "d", "code", "f").mapInArrow(_keyed, "key long, t int, rep long, d int, code binary, f double")
-    sizes = classes.select("rep", "d", "code", "f").mapInArrow(_keyed, "key long, t int, rep long, d int, code binary, f double").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "t", "rep", "d", "code", "f", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates(cosine), "a long, b long")
-    exact = vectors.join(classes.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    x, y = exact.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), exact.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    made = stage(vectors.mapInArrow(_classes, "vec_id long, d int, digest binary, vector binary"))
+    equal = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("size"), F.min("d").alias("d"), F.min("vector").alias("vector"))
+    return made, stage(equal.withColumn("rep", F.monotonically_increasing_id()))
 
-    def recomputed(batches):
-        for batch in batches:
-            a, b = (batch.column(c) for c in ("x", "y"))
-            keep = []
-            for u, v in zip(a, b):
-                u, v = unit(u), unit(v)
-                keep.append(len(u) == len(v) and float(u @ v) >= cosine)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(recomputed, "a long, b long"))
-    size = classes.select("rep", "size")
-    each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("linked"))
-    labels = components(links)
-    told = classes.select("digest", "rep", "size").join(each, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")
-    told = told.select("digest", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(vec_id, embedding) -> vec_id, n_links, component_id, kept; one row for each row of vectors."""
+    made, classes = numbered(vectors)
+    links = block_links(classes.select("rep", "d", "size", "vector"), cosine)
+    each = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    labels = components(links.filter("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    told = classes.select("digest", "rep", "low", "size").join(each, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    told = told.select("digest", "low", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("label", "rep").alias("label"))
+    lowest = told.groupBy("label").agg(F.min("low").alias("component_id"))
+    told = told.join(lowest, "label").select("digest", "n_links", "component_id")
     out = made.select("vec_id", "digest").join(told, "digest", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
