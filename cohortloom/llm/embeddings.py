@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shingles import components
+from cohortloom.llm.shingles import components, linked_rows
 from cohortloom.session import ship, stage
 
 AGREE = 0.9  # that two vectors agree in a bit, hardly ever less at the threshold 0.95
@@ -130,20 +130,6 @@ def _keyed(shape: tuple[int, int]):
     return run
 
 
-def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places the smallest one that the links a - b connect it to."""
-    top = np.arange(n)
-    while True:
-        low = np.minimum(top[a], top[b])
-        new = top.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == top).all():
-            return top
-        top = new
-
-
 def _linked(cosine: float, shape: tuple[int, int]):
     """Rows sorted by (d, t, key, i, j) -> rep, linked, to: one row for each member of a block that has links."""
 
@@ -163,14 +149,7 @@ def _linked(cosine: float, shape: tuple[int, int]):
             a, b = a[new], b[new]
         near = np.concatenate([(x[a[k : k + 4096]] * x[b[k : k + 4096]]).sum(1) >= cosine for k in range(0, len(a), 4096)]) if len(a) else np.zeros(0, dtype=bool)
         checked = len(a)
-        a, b = a[near], b[near]
-        linked = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
-        used = np.flatnonzero(linked)
-        order = np.argsort(rep)  # the smallest place is the smallest rep
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        top = _least(len(rep), place[a], place[b])
-        return rep[used], linked[used].astype(np.int64), rep[order][top[place[used]]], checked
+        return *linked_rows(rep, size, a[near], b[near]), checked
 
     def run(batches):
         rows, at = [], None

@@ -57,6 +57,28 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the links a - b connect it to."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[a], top[b])
+        new = top.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == top).all():
+            return top
+        top = new
+
+
+def linked_rows(rep: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links a - b between members of a block (sorted by rep) -> of each member with links: rep, how many rows it links to
+    by the sizes of its partners, and the smallest member it is connected to."""
+    linked = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
+    used = np.flatnonzero(linked)
+    return rep[used], linked[used].astype(np.int64), rep[_least(len(rep), a, b)[used]]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> node, label: the smallest node that links reach from it.  Large-star and small-star rounds, all distributed."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())

@@ -474,11 +474,69 @@ def test_fingerprints_against_brute_force(spark, words):
         assert r.fingerprint == fingerprint.fingerprint(t) and r.edited_fingerprint == fingerprint.fingerprint(edited)
         assert r.near_next == pytest.approx(fingerprint.likeness(fingerprint.read(r.fingerprint), fingerprint.read(fingerprint.fingerprint(following))))
     assert got[3].fingerprint == got[9].fingerprint
-    pairs = fingerprint.near_pairs(df.select("doc_id", "text").unionByName(spark.createDataFrame([(50, texts[3][:400] + "QQ" + texts[3][400:])], "doc_id long, text string")).join(spark.createDataFrame([(i, fingerprint.fingerprint(t)) for i, t in [*enumerate(clean), (50, clean[3][:400] + "QQ" + clean[3][400:])]], "doc_id long, fingerprint string"), "doc_id"))
-    assert (3, 50) in {(r.a, r.b) for r in pairs.collect()} or fingerprint.fingerprint(clean[3]) == fingerprint.fingerprint(clean[3][:400] + "QQ" + clean[3][400:])
     assert fingerprint.fingerprints(df.limit(0)).count() == 0 and fingerprint.fingerprints(df.limit(1)).count() == 1
 
 
+def plain_fingerprint(text):
+    """The walk character by character, and each slot's best place by a scan of all places."""
+    bit = np.random.default_rng(8086).random((fingerprint.CLASSES, fingerprint.PERIOD)) < 0.5
+    one = lambda x: int(fingerprint._hash(np.array([x % 2**64], dtype=np.uint64))[0])
+    written, j = [], 0
+    for at, c in enumerate(text):
+        while True:
+            written.append(at)
+            j += 1
+            if bit[one(ord(c)) % fingerprint.CLASSES, (j - 1) % fingerprint.PERIOD]:
+                break
+    best = {}
+    for place in range(len(written)):
+        h = one(place + 0x51ED270B)
+        slot, rank = h % fingerprint.SLOTS, h >> 7
+        if slot not in best or rank < best[slot][0]:
+            best[slot] = rank, place
+    out = []
+    for slot in range(fingerprint.SLOTS):
+        if slot in best:
+            at, h = written[best[slot][1]], 0
+            for i in range(3):
+                h = (h * 0x100000001B3 + (ord(text[at + i]) if at + i < len(text) else 0) + 1) % 2**64
+            out.append(f"{one(h) >> 56:02x}")
+        else:
+            out.append("..")
+    return "".join(out)
+
+
+def test_fingerprints_against_the_plain_walk(words):
+    for text in ("", "a", "äöü 日本", " ".join(words(30, 1)), " ".join(words(400, 2))):
+        assert fingerprint.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_near_fingerprints_against_brute_force(spark, words):
+    rng, texts = random.Random(8), []
+    for g in range(25):
+        base = list(" ".join(words(rng.choice([30, 120, 400]), g)))
+        for k in range(rng.choice([1, 3, 9])):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t))
+    texts += ["", None, texts[0], texts[0]]
+    prints = [fingerprint.fingerprint(t) for t in texts]
+    rows = [(i, p) for i, p in enumerate(prints)] + [(None, prints[0])]
+    got = {r.doc_id: r for r in fingerprint.with_near(spark.createDataFrame(rows, "doc_id long, fingerprint string").withColumn("rep", F.lit(1))).collect()}
+    near = fingerprint.likenesses(fingerprint.symbols(prints), fingerprint.symbols(prints))
+    x = fingerprint.symbols(prints)
+    assert near[3, 7] == pytest.approx(fingerprint.likeness(x[3], x[7])) and near[3, 4] == pytest.approx(fingerprint.likeness(x[3], x[4]))
+    top = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if texts[i] and texts[j] and near[i, j] >= fingerprint.CUT:
+            low = min(top[i], top[j])
+            top = [low if v in (top[i], top[j]) else v for v in top]
+    links = [sum(bool(texts[i] and texts[j] and i != j and near[i, j] >= fingerprint.CUT) for j in range(len(texts))) for i in range(len(texts))]
+    assert [got[i].near_links for i in range(len(texts))] == links and sum(links) > 50
+    assert [got[i].near_class for i in range(len(texts))] == top and got[None].near_class is None
+
+
 def test_edits_stay_near(words):
     t = " ".join(words(400, 8))
     near = lambda x: fingerprint.likeness(fingerprint.read(fingerprint.fingerprint(t)), fingerprint.read(fingerprint.fingerprint(x)))
