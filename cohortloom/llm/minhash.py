@@ -159,8 +159,17 @@ def _pairs(percent: int, best: bool):
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if not ok.any():
             return []
-        a, b, e = compared([np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows], n, left, right, ok, percent)
+        sketches = [np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows]
+        a, b, e = compared(sketches, n, left, right, ok, percent)
         a, b = left[a], right[b]
+        if len(a):
+            # a pair belongs to the smallest list it shares; of lists with the same members the smallest one is left, so it is there
+            used, at = np.unique(np.r_[a, b], return_inverse=True)
+            before = [k[: np.searchsorted(k, rows[0]["key"])] for k in (run_keys(sketches[m][:K].astype(np.uint64), int(n[m]), percent) for m in used)]
+            x, y = at[: len(a)], at[len(a) :]
+            p, q = np.unique(x), np.unique(y)
+            own = shared(before, p, q)[np.searchsorted(p, x), np.searchsorted(q, y)] == 0
+            a, b, e = a[own], b[own], e[own]
         if best and len(a):
             own, other = np.r_[comp[a], comp[b]], np.r_[comp[b], comp[a]]
             pair = np.r_[np.arange(len(a)), np.arange(len(a))]
@@ -243,8 +252,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = stage(left.mapInArrow(_pairs(percent, best), "a long, b long").distinct())
         release(told)
-        tried = pairs.count()
-        if not tried:
+        if pairs.isEmpty():
             break
         more = verified(pairs, docs, classes, percent)
         if found := more.count():
@@ -252,7 +260,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             labels = components(links)
         if not best:
             break
-        best = 2 * found > tried
+        best = found > 0
     release(members, first)
     told = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", "low", F.coalesce("label", "rep").alias("label"))
     lowest = told.groupBy("label").agg(F.min("low").alias("component_id"))
