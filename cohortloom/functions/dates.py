@@ -7,12 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.numeric import narrow
+from cohortloom.functions.numeric import groups, let, narrow
 
 # fixed values: first year of each era, and spellings of "no date"
 ERAS = {"明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019, "M": 1868, "T": 1912, "S": 1926, "H": 1989, "R": 2019}
 NO_DATE = ["", "-", "ー", "―", "‐", ".", "・", "なし", "無", "無し", "未実施", "未測定", "不明", "na", "n/a", "nan", "none", "null", "nat", "#n/a", "#value!", "9999", "99999999", "0", "00000000"]
-TRIPLE = r"^\D*?(\d{1,4})\s*[^\d\s]\s*(\d{1,2})\s*[^\d\s]\s*(\d{1,4})(?!\d)"
+# three numbers with anything but digits between them; what follows (a clock time) is ignored
+TRIPLE = r"^\D*?(\d{1,4})\D+(\d{1,2})\D+(\d{1,4})(?!\d).*$"
+EIGHT = r"^(\d{4})(\d{2})(\d{2})$"
+ERA = r"^(明治|大正|昭和|平成|令和|[MTSHRmtshr])\s*\.?(元|\d{1,2})\D+(\d{1,2})\D+(\d{1,2}).*$"
+YEAR_MONTH = r"^(\d{4})\D+(\d{1,2})\D*$"
 
 
 def cleaned(x: Column) -> Column:
@@ -29,29 +33,21 @@ def _int(x: Column) -> Column:
     return F.when(x != "", x).try_cast("int")
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x computed once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def parts(x: Column) -> Column:
-    """struct of what a cell holds: token of no date, era date, serial date, or three numbers."""
-    return let(cleaned(x), lambda s: F.struct(*[v.alias(k) for k, v in _parts(s).items()]))
+    """struct of what a cell holds: token of no date, era date, serial date, or three numbers.  One expression per notation."""
+    return let(cleaned(x), lambda s: let(F.struct(s.alias("s"), groups(s, ERA, 4).alias("era"), F.coalesce(groups(s, EIGHT, 3), groups(s, TRIPLE, 3)).alias("three"), groups(s, YEAR_MONTH, 2).alias("ym")), _parts))
 
 
-def _parts(s: Column) -> dict[str, Column]:
+def _parts(g: Column) -> Column:
+    s, e, t = g["s"], g["era"], g["three"]
     none = s.isNull() | F.lower(s).isin(NO_DATE)
-    era_re = r"^(明治|大正|昭和|平成|令和|[MTSHRmtshr])\s*\.?(元|\d{1,2})\s*[^\d]\s*(\d{1,2})\s*[^\d]\s*(\d{1,2})"
-    name, yy = F.upper(F.regexp_extract(s, era_re, 1)), F.regexp_extract(s, era_re, 2)
     base = F.create_map(*[F.lit(v) for kv in ERAS.items() for v in kv])
-    era = F.when(name != "", year_month_day(F.try_element_at(base, name) + F.when(yy == "元", 1).otherwise(_int(yy)) - 1, _int(F.regexp_extract(s, era_re, 3)), _int(F.regexp_extract(s, era_re, 4))))
-    eight = r"^(\d{4})(\d{2})(\d{2})$"
-    is8 = s.rlike(eight)
-    a, b, c = (_int(F.when(is8, F.regexp_extract(s, eight, k)).otherwise(F.regexp_extract(s, TRIPLE, k))) for k in (1, 2, 3))
+    era = F.when(e.isNotNull(), year_month_day(F.try_element_at(base, F.upper(e[1])) + F.when(e[2] == "元", 1).otherwise(_int(e[2])) - 1, _int(e[3]), _int(e[4])))
     v = F.when(s.rlike(r"^\d{5}(\.\d+)?$"), s).try_cast("double")
     serial = F.when((v >= 25569) & (v <= 73051), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(v).cast("int")))
-    triple = ~none & era.isNull() & a.isNotNull() & b.isNotNull() & c.isNotNull()
-    return {"none": none, "era": F.when(~none, era), "serial": F.when(~none, serial), "a": F.when(triple, a), "b": F.when(triple, b), "c": F.when(triple, c)}
+    triple = ~none & e.isNull() & t.isNotNull()
+    month = F.when(t.isNull() & e.isNull() & g["ym"].isNotNull(), year_month_day(_int(g["ym"][1]), _int(g["ym"][2]), F.lit(1)))
+    return F.struct(none.alias("none"), F.when(~none, era).alias("era"), F.when(~none, serial).alias("serial"), F.when(~none, month).alias("month"), *[F.when(triple, _int(t[k])).alias(c) for k, c in enumerate("abc", 1)])
 
 
 @dataclass
@@ -66,18 +62,27 @@ class DateColumn:
     n_failed: int
     expr: Column = field(repr=False)
 
+    def failures(self, df: DataFrame, most: int = 50) -> DataFrame:
+        """value, n: cells that hold something but no date, most frequent first."""
+        x = F.col(f"`{self.column}`")
+        return df.filter(self.expr.isNull() & ~parts(x)["none"]).groupBy(x.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(most)
+
+
+ORDERS = {"ymd": "abc", "dmy": "cba", "mdy": "cab"}  # places of year, month and day
+
 
-def read_dates(df: DataFrame, columns: list[str], order: str = "auto") -> list[DateColumn]:
+def read_dates(df: DataFrame, columns: list[str], order: str = "auto", allow_year_month: bool = False) -> list[DateColumn]:
     """Decide the order of each column from one aggregate over all columns, then give the expressions that read them.
 
     first >= 1000 throughout: ymd; third >= 1000 throughout: dmy if a first number is over 12, mdy if a second one is, else
-    ambiguous; three-number cells of an ambiguous column stay NULL.
+    ambiguous; three-number cells of an ambiguous column stay NULL.  The same aggregate counts what each order would read.
     """
     p = {c: F.col(f"p{i}") for i, c in enumerate(columns)}
     held = df.select(*[parts(F.col(f"`{c}`")).alias(f"p{i}") for i, c in enumerate(columns)])
     aggs = []
     for i, x in enumerate(p.values()):
         aggs += [F.count(F.lit(1)).alias(f"n{i}"), F.count_if(x["none"]).alias(f"z{i}"), F.count(x["a"]).alias(f"t{i}"), F.bool_and(x["a"] >= 1000).alias(f"ymd{i}"), F.bool_and(x["c"] >= 1000).alias(f"last{i}"), F.bool_or(x["a"] > 12).alias(f"d1{i}"), F.bool_or(x["b"] > 12).alias(f"d2{i}"), F.bool_or(x["a"] >= 1000).alias(f"some{i}")]
+        aggs += [F.count(_reader(places, allow_year_month)(x)).alias(f"r{places}{i}") for places in ("", *ORDERS.values())]
     r = held.agg(*aggs).first()
     out = []
     for i, c in enumerate(columns):
@@ -91,31 +96,33 @@ def read_dates(df: DataFrame, columns: list[str], order: str = "auto") -> list[D
             how = "dmy" if r[f"d1{i}"] else "mdy" if r[f"d2{i}"] else "ambiguous_dmy_mdy"
         else:
             how = "ymd" if r[f"some{i}"] else "ambiguous"
-        y, m, d = {"dmy": ("c", "b", "a"), "mdy": ("c", "a", "b")}.get(how, ("a", "b", "c"))
-        out.append(DateColumn(c, how, r[f"n{i}"], r[f"z{i}"], 0, 0, let(parts(F.col(f"`{c}`")), _reader("" if how.startswith("ambiguous") else y + m + d))))
-    counted = df.agg(*[F.count(o.expr).alias(f"p{i}") for i, o in enumerate(out)]).first()
-    for i, o in enumerate(out):
-        o.n_parsed, o.n_failed = counted[f"p{i}"], o.n_total - o.n_null - counted[f"p{i}"]
+        places = ORDERS.get(how, "")
+        n, none, read = r[f"n{i}"], r[f"z{i}"], r[f"r{places}{i}"]
+        out.append(DateColumn(c, how, n, none, read, n - none - read, let(parts(F.col(f"`{c}`")), _reader(places, allow_year_month))))
     return out
 
 
-def _reader(order: str):
+def _reader(order: str, allow_year_month: bool = False):
     """What reads the parts of a cell; order names the three numbers' places, empty for an ambiguous column."""
 
     def read(p: Column) -> Column:
         triple = year_month_day(*[p[k] for k in order]) if order else F.lit(None).cast("date")
-        return F.coalesce(p["era"], triple, p["serial"])
+        return F.coalesce(p["era"], triple, p["serial"], *([p["month"]] if allow_year_month else []))
 
     return read
 
 
 def to_hours(x: Column) -> Column:
     """A clock time in hours, 0 to under 48: H:MM, H時MM分, fractions of a day and plain hours."""
-    s = F.trim(narrow(x.cast("string")))
-    at = r"^(\d{1,2})\s*(?::|時)\s*(\d{1,2})?\s*分?(?::\d{1,2})?$"
-    h, m = _int(F.regexp_extract(s, at, 1)), F.coalesce(_int(F.regexp_extract(s, at, 2)), F.lit(0))
+    return let(F.trim(narrow(x.cast("string"))), lambda s: let(F.struct(groups(s, CLOCK, 2).alias("g"), s.try_cast("double").alias("v")), _hours))
+
+
+CLOCK = r"^(\d{1,2})\s*(?::|時)\s*(\d{1,2})?\s*分?(?::\d{1,2})?$"
+
+
+def _hours(p: Column) -> Column:
+    h, m, v = _int(p["g"][1]), F.coalesce(_int(p["g"][2]), F.lit(0)), p["v"]
     clock = F.when((h < 48) & (m < 60), h + m / F.lit(60.0))
-    v = s.try_cast("double")
     return F.coalesce(clock, F.when((v >= 0) & (v < 1), v * 24).when((v >= 1) & (v < 24), v))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: full-width forms and their ASCII counterparts come from a rule, the rest is listed
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　≦≧"
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ≤≥"
-BLANKS = ["", "-", "ー", "―", ".", "・"]
+# characters whose compatibility form is one other character (full-width ASCII, half-width kana, circled digits ...), by rule
+_ONE = [(chr(c), n) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and not 0x2E80 <= c < 0x3000 and not 0xF900 <= c < 0xFB00 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)]
+WIDE = "".join(a for a, _ in _ONE) + "≦≧"
+NARROW = "".join(b for _, b in _ONE) + "≤≥"
+# kana that take a voice mark, with what comes of both; the marks are what their half-width forms become
+_VOICED = [(chr(c) + m, n) for m in "\u3099\u309a" for c in range(0x30A6, 0x30FE) if len(n := unicodedata.normalize("NFKC", chr(c) + m)) == 1]
 NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -18,8 +22,26 @@ def no_nan(x: Column) -> Column:
 
 
 def narrow(x: Column) -> Column:
-    """Full-width ASCII to ASCII; the JVM-side part of compatibility normalisation."""
-    return F.translate(x, WIDE, NARROW)
+    """The compatibility form of each character, and kana joined with their voice marks; all on the JVM.
+
+    Characters that fall apart into several (such as squared units) stay as they are.
+    """
+    s = F.translate(x, WIDE, NARROW)
+    joined = s
+    for pair, one in _VOICED:
+        joined = F.replace(joined, F.lit(pair), F.lit(one))
+    return F.when(s.rlike("[\u3099\u309a]"), joined).otherwise(s)
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def groups(x: Column, pattern: str, n: int) -> Column:
+    """Array of the n groups of a pattern that matches the whole cell, found by one regular expression; NULL without a match."""
+    marked = F.regexp_replace(x, pattern, "".join(f"\u0001${k}" for k in range(1, n + 1)))
+    return F.when(marked.startswith("\u0001"), F.split(marked, "\u0001"))
 
 
 def folded(x: Column) -> Column:
@@ -36,16 +58,31 @@ def censored(x: Column, policy: str = "half") -> Column:
     """struct(value, low, high) of a written number: '<0.1' is low, '>500' is high; policy half, lod or null for low ones."""
     if policy not in ("half", "lod", "null"):
         raise ValueError(f"policy {policy!r}")
-    s = F.trim(F.regexp_replace(narrow(x.cast("string")), ",", ""))
-    s = F.when(~s.isin(BLANKS), s)
-    pattern = rf"^(<|>|≤|≥|以下|以上|未満)?\s*{NUMBER}\s*(.*)$"
-    sign, value, tail = (F.regexp_extract(s, pattern, k) for k in (1, 2, 3))
-    value = no_nan(F.when(value != "", value).try_cast("double"))
-    value = F.when(~tail.rlike(r"^\.|\d"), value)
-    mark = F.when(sign != "", sign).otherwise(F.regexp_extract(tail, "(以下|以上|未満)", 1))
-    low, high = mark.isin("<", "未満", "≤", "以下"), mark.isin(">", "以上", "≥")
+    return let(groups(F.trim(F.replace(narrow(x.cast("string")), F.lit(","), F.lit(""))), _WRITTEN, 3), lambda g: let(_measured(g), lambda m: _by_policy(m, policy)))
+
+
+_WRITTEN = rf"^(<|>|≤|≥|以下|以上|未満)?\s*{NUMBER}\s*(.*)$"
+
+
+UNIT_LENGTH = 12  # characters that may follow a number before the cell counts as text
+
+
+def numberlike(x: Column) -> Column:
+    """Does the cell hold a number, with no more than a unit behind it?"""
+    return let(groups(F.trim(F.replace(narrow(x.cast("string")), F.lit(","), F.lit(""))), _WRITTEN, 3), lambda g: F.coalesce(_measured(g)["value"].isNotNull() & (F.length(g[3]) <= UNIT_LENGTH), F.lit(False)))
+
+
+def _measured(g: Column) -> Column:
+    """struct(value, mark) of the groups of a written number; the mark stands before or after it."""
+    value = F.when(~g[3].rlike(r"^\.|\d"), no_nan(F.when(g[2] != "", g[2]).try_cast("double")))
+    return F.struct(value.alias("value"), F.when(g[1] != "", g[1]).otherwise(F.regexp_extract(g[3], "(以下|以上|未満)", 1)).alias("mark"))
+
+
+def _by_policy(m: Column, policy: str) -> Column:
+    value, low, high = m["value"], m["mark"].isin("<", "未満", "≤", "以下"), m["mark"].isin(">", "以上", "≥")
     kept = {"half": value / 2, "lod": value, "null": F.lit(None).cast("double")}[policy]
-    return F.struct(F.when(low, kept).otherwise(value).alias("value"), (low & value.isNotNull()).cast("int").alias("low"), (high & value.isNotNull()).cast("int").alias("high"))
+    known = value.isNotNull()
+    return F.struct(F.when(low, kept).otherwise(value).alias("value"), F.coalesce((low & known).cast("int"), F.lit(0)).alias("low"), F.coalesce((high & known).cast("int"), F.lit(0)).alias("high"))
 
 
 def rescaled(x: Column, low: float | None, high: float | None, factors: list[float]) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.dates import read_dates
 from cohortloom.functions.numeric import folded
 from cohortloom.operators.compare import mann_whitney, pearson
+from cohortloom.operators.places import quantiles
 from cohortloom.operators.profile import column_profile, long_form
-from cohortloom.plans.dictionary import DECREASES, INCREASES, item_of, timing
+from cohortloom.plans.dictionary import DECREASES, INCREASES, Timings, item_of, timing
 
 SEVERITY = {"error": 0, "warn": 1, "info": 2}
 
@@ -39,8 +41,10 @@ def missing(df: DataFrame) -> list[dict]:
 
 
 def outcome(df: DataFrame, y: str) -> list[dict]:
-    counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}
-    lost, n = counts.pop(None, 0), df.count()
+    # at most eleven values come to the driver: with more of them y is no class
+    counts = {r[0]: r[1] for r in df.filter(F.col(y).isNotNull()).groupBy(y).count().limit(11).collect()}
+    n, kept = df.agg(F.count(F.lit(1)), F.count(F.col(y))).first()
+    lost = n - kept
     out = [finding("outcome", "error" if lost >= 0.2 * n else "warn", f"{lost} rows without an outcome", lost)] if lost else []
     if len(counts) <= 1:
         out.append(finding("outcome", "error", "one value or none"))
@@ -121,7 +125,7 @@ def survival_dates(df: DataFrame, start: str, event: str, censor: str) -> list[d
 def method_step(df: DataFrame, day: str, value: str, change: str) -> list[dict]:
     """A step of a measurement at a dated change of method: at least 20 values each side, ratio of medians off by 15 %, p < .001."""
     rows = df.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).withColumn("__side", (F.col(day) >= F.lit(change).cast("date")).cast("int"))
-    m = {r[0]: (r[1], r[2]) for r in rows.groupBy("__side").agg(F.count(value), F.median(value)).collect()}
+    m = {r["__side"]: (r.n, r.q[0]) for r in quantiles(rows, value, [0.5], ["__side"]).collect()}
     if len(m) < 2 or min(m[0][0], m[1][0]) < 20 or not m[0][1]:
         return [finding("method change", "info", f"{value}: too few values around {change}")]
     ratio, got = m[1][1] / m[0][1], mann_whitney(rows, value, "__side", 0, 1)
@@ -130,10 +134,55 @@ def method_step(df: DataFrame, day: str, value: str, change: str) -> list[dict]:
     return [finding("method change", "info", f"{value}: no step at {change}")]
 
 
-def audit(df: DataFrame, entity: str | None = None, y: str | None = None, by: str | None = None) -> list[dict]:
-    """All checks that apply, worst first."""
+def id_candidates(df: DataFrame) -> list[dict]:
+    """Columns that could name rows where no id is given: whole numbers or text, at least 20 values, all different, no dictionary item."""
+    kinds = dict(df.dtypes)
+    able = [c for c in df.columns if kinds[c] in ("string", "int", "bigint", "smallint", "tinyint") and not item_of(c)]
+    if not able:
+        return []
+    found = [r["column"] for r in column_profile(df, able).collect() if r["n_distinct"] >= 20 and (r["n_distinct"] == r["n"] - r["n_null"])]
+    return [finding("id candidates", "warn", f"{c} is different in every row") for c in sorted(found)]
+
+
+def date_checks(df: DataFrame, columns: list[str], as_of: str) -> list[dict]:
+    """Ambiguous order, cells that are no date, dates after as_of and before 1900."""
+    out = []
+    read = read_dates(df, columns) if columns else []
+    limits = [x for d in read for x in (F.count_if(d.expr > F.lit(as_of).cast("date")), F.count_if(d.expr < F.lit("1900-01-01").cast("date")))]
+    late = df.agg(*limits).first() if limits else []
+    for i, d in enumerate(read):
+        if d.order.startswith("ambiguous"):
+            out.append(finding("dates", "error", f"{d.column}: the order of day and month is {d.order}"))
+        elif d.n_failed:
+            out.append(finding("dates", "warn", f"{d.column}: {d.n_failed} cells are no date", d.n_failed))
+        if late[2 * i]:
+            out.append(finding("dates", "error", f"{d.column}: {late[2 * i]} dates are after {as_of}", late[2 * i]))
+        if late[2 * i + 1]:
+            out.append(finding("dates", "warn", f"{d.column}: {late[2 * i + 1]} dates are before 1900", late[2 * i + 1]))
+    return out
+
+
+def timings(df: DataFrame) -> list[dict]:
+    """Columns that should say before or after the session and don't, and items with one side only."""
+    t = Timings.infer(df.columns)
+    return [finding("timing", "warn", f"{c} does not say its timing") for c in t.unknown()] + [finding("timing", "info", f"{k} has one side of the session only") for k in t.one_sided()]
+
+
+def audit(df: DataFrame, entity: str | None = None, y: str | None = None, by: str | None = None, days: list[str] = [], survival: tuple[str, str, str] | None = None, changes: dict[str, tuple[str, str]] = {}, as_of: str | None = None) -> list[dict]:  # noqa: B006
+    """All checks that apply, worst first.
+
+    days are columns of dates, held against as_of; survival names start, event and censor date; changes are measurements with
+    (column of days, date of the change).
+    """
     numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float") and c not in (entity, y)]
     out = duplicates(df, entity) + missing(df) + collinear(df, numbers) + pre_post(df) + cross_items(df)
+    out += timings(df) + ([] if entity else id_candidates(df))
+    if days and as_of:
+        out += date_checks(df, days, as_of)
+    if survival:
+        out += survival_dates(df, *survival)
+    for value, (day, change) in changes.items():
+        out += method_step(df, day, value, change)
     if y:
         out += outcome(df, y) + (leakage(df, numbers, y) if dict(df.dtypes)[y] != "string" else [])
     if by:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dates, numeric
-from cohortloom.plans.dictionary import ITEMS, MISSING_CODES, UNIT_FACTORS, item_of
+from cohortloom.operators.places import quantiles_of, value_at
+from cohortloom.session import sized_join
+from cohortloom.plans.dictionary import ITEMS, MISSING_CODES, TEXT_MISSING, UNIT_FACTORS, folded_name, item_of
 
 
 @dataclass
@@ -29,26 +31,32 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
     if not match:
         return df, report
     read = {c: numeric.censored(F.col(f"`{c}`"), policy) for c in match}
-    held = df.select(*[x.alias(f"s{i}") for i, x in enumerate(read.values())])
+    held = df.select(*[x.alias(f"s{i}") for i, x in enumerate(read.values())], *[says_missing(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(match)])
     aggs = []
     for i, (c, k) in enumerate(match.items()):
         _, low, high, _ = ITEMS[k]
         v = F.col(f"s{i}.value")
+        aggs.append(F.count_if(f"m{i}").alias(f"m{i}"))
         aggs += [F.sum(f"s{i}.low").alias(f"lo{i}"), F.sum(f"s{i}.high").alias(f"hi{i}"), F.count_if(~numeric.between(v, low, high)).alias(f"out{i}")]
         for j, code in enumerate(MISSING_CODES):
-            aggs += [F.count_if(v == code).alias(f"c{i}_{j}"), F.percentile(F.when(v != code, v), F.lit(0.99)).alias(f"q{i}_{j}")]
+            aggs.append(F.count_if(v == code).alias(f"c{i}_{j}"))
     r = held.agg(*aggs).first()
+    # only a code that occurs often enough inside the possible range is held against the 99 % point of the other values
+    asked = {f"{i}_{j}": F.when(F.col(f"s{i}.value") != code, F.col(f"s{i}.value")) for i, k in enumerate(match.values()) for j, code in enumerate(MISSING_CODES) if code >= 999 and r[f"c{i}_{j}"] >= 3}
+    most = {c: value_at(q[0]) for c, (_, q) in quantiles_of(held, asked, [0.99]).items()}
     out = {}
     for i, (c, k) in enumerate(match.items()):
         unit, low, high, _ = ITEMS[k]
         hit = []
+        if r[f"m{i}"]:
+            report.actions.append({"column": c, "action": "says missing", "value": None, "count": r[f"m{i}"]})
         for j, code in enumerate(MISSING_CODES):
-            n, q = r[f"c{i}_{j}"], r[f"q{i}_{j}"]
+            n, q = r[f"c{i}_{j}"], most.get(f"{i}_{j}")
             if n and (code > high or (code < low and code < 0) or (n >= 3 and code >= 999 and q is not None and q < code)):
                 hit.append(code)
                 report.actions.append({"column": c, "action": "missing code", "value": code, "count": n})
 
-        out[c] = dates.let(read[c], _cleaner(k, hit, fix_units, apply_plausible))
+        out[c] = numeric.let(read[c], _cleaner(k, hit, fix_units, apply_plausible))
         if r[f"out{i}"]:
             report.actions.append({"column": c, "action": "outside the possible range", "value": [low, high], "count": r[f"out{i}"]})
         for side, name in (("lo", "low"), ("hi", "high")):
@@ -58,6 +66,28 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
     return df.withColumns(out), report
 
 
+def says_missing(x) -> Column:
+    """Does a cell say in words that there is no value?  False for NULL."""
+    return F.coalesce(numeric.folded(x).isin([folded_name(t) for t in TEXT_MISSING]), F.lit(False))
+
+
+def two_scales(df: DataFrame, column: str, rows: int = 30, decades: float = 0.7) -> dict | None:
+    """low, high: the ends of a gap of at least `decades` powers of ten inside the positive values, a sign of mixed units.
+
+    None for fewer than `rows` values or a range under 0.8 decades; the widest gap of a histogram of six bins a decade.
+    """
+    x = F.log10(F.when(F.col(f"`{column}`").try_cast("double") > 0, F.col(f"`{column}`").try_cast("double")))
+    n, lo, hi = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if n < rows or hi - lo < 0.8:
+        return None
+    bins = max(8, int(6 * (hi - lo)))
+    width = (hi - lo) / bins
+    full = sorted(r.b for r in df.filter(x.isNotNull()).select(F.least(F.floor((x - lo) / width), F.lit(bins - 1)).alias("b")).distinct().collect())
+    gaps = [(b - a - 1, a) for a, b in zip(full, full[1:])]
+    size, a = max(gaps, default=(0, 0))
+    return {"low": 10 ** (lo + (a + 1) * width), "high": 10 ** (lo + (a + 1 + size) * width)} if size * width >= decades else None
+
+
 def _cleaner(key: str, codes: list[float], fix_units: bool, apply_plausible: bool):
     _, low, high, _ = ITEMS[key]
 
@@ -70,8 +100,8 @@ def _cleaner(key: str, codes: list[float], fix_units: bool, apply_plausible: boo
     return cleaned
 
 
-def apply_ranges(df: DataFrame, ranges: dict) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Human ranges, ends included: (cleaned, violations (column, value), problems as messages)."""
+def apply_ranges(df: DataFrame, ranges: dict, row: str | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Human ranges, ends included: (cleaned, violations (column, row as text, value), problems as messages)."""
     problems, out, bad = [], {}, None
     for c, spec in ranges.items():
         try:
@@ -85,10 +115,10 @@ def apply_ranges(df: DataFrame, ranges: dict) -> tuple[DataFrame, DataFrame, lis
         x = F.col(f"`{c}`").try_cast("double")
         wrong = F.coalesce(~numeric.between(x, low, high), F.lit(False))
         out[c] = F.when(~wrong, F.col(f"`{c}`"))
-        rows = df.filter(wrong).select(F.lit(c).alias("column"), x.alias("value"))
+        rows = df.filter(wrong).select(F.lit(c).alias("column"), (F.col(f"`{row}`").cast("string") if row else F.lit(None).cast("string")).alias("row"), x.alias("value"))
         bad = rows if bad is None else bad.unionByName(rows)
     if bad is None:
-        bad = df.sparkSession.createDataFrame([], "column string, value double")
+        bad = df.sparkSession.createDataFrame([], "column string, row string, value double")
     return df.withColumns(out), bad, problems
 
 
@@ -111,3 +141,57 @@ def mark_exclusions(df: DataFrame, reasons: dict) -> DataFrame:
     """df with exclude (0/1) and exclude_reason, the named conditions that hold joined by a slash; no row is removed."""
     why = F.concat_ws("／", F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in reasons.items()])))
     return df.withColumns({"exclude": (why != "").cast("int"), "exclude_reason": why})
+
+
+def excluded_cases(df: DataFrame, marks: list[str]) -> DataFrame:
+    """The marked rows, with the columns that name and date them and the reason."""
+    return df.filter("exclude = 1").select(*marks, "exclude_reason")
+
+
+def reasons_by_id(df: DataFrame, told: DataFrame, entity: str) -> DataFrame:
+    """df with the reasons that a list of (entity, reason) gives for its row's entity, sorted and joined; NULL where it gives none."""
+    one = told.groupBy(F.col(entity).alias("__e")).agg(F.concat_ws("／", F.sort_array(F.collect_set("reason"))).alias("reason"))
+    return sized_join(df, one.withColumnRenamed("__e", entity), [entity], "left")
+
+
+def without_missing_outcome(df: DataFrame, y: str) -> tuple[DataFrame, dict]:
+    """(rows with an outcome, counts of all, kept and dropped rows)."""
+    if y not in df.columns:
+        raise ValueError(f"no column {y}")
+    n, kept = df.agg(F.count(F.lit(1)), F.count(F.col(f"`{y}`"))).first()
+    return df.filter(F.col(f"`{y}`").isNotNull()), {"rows": n, "kept": kept, "dropped": n - kept}
+
+
+def model_frame(df: DataFrame, y: str, numbers: list[str], binary: dict[str, tuple[list[str], list[str]]] = {}, ordered: dict[str, list[str]] = {}, nominal: list[str] = [], most: int = 50) -> DataFrame:  # noqa: B006
+    """Rows with an outcome as numbers: binaries 0/1, ordinals by place, nominal levels as dummies without the first one.
+
+    NULL stays NULL; nothing is split, scaled or filled.  A nominal column of over `most` levels is refused.
+    """
+    out = [F.col(f"`{c}`").cast("double").alias(c) for c in numbers]
+    out += [numeric.binary(F.col(f"`{c}`"), *m).alias(c) for c, m in binary.items()] + [numeric.ordinal(F.col(f"`{c}`"), v).alias(c) for c, v in ordered.items()]
+    for c in nominal:
+        x = F.col(f"`{c}`").cast("string")
+        levels = [r.v for r in df.select(x.alias("v")).filter("v IS NOT NULL").distinct().orderBy("v").limit(most + 1).collect()]
+        if len(levels) > most:
+            raise ValueError(f"{c} has over {most} levels")
+        out += [(x == v).cast("int").alias(f"{c}={v}") for v in levels[1:]]
+    return df.filter(F.col(f"`{y}`").isNotNull()).select(F.col(f"`{y}`").alias(y), *out)
+
+
+def encode_binaries(df: DataFrame, maps: dict[str, tuple[list[str], list[str]]]) -> tuple[DataFrame, list[dict]]:
+    """df with binary columns as 0/1 in place, and how many cells of each fit neither side."""
+    unread = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & numeric.binary(F.col(f"`{c}`"), *m).isNull()) for c, m in maps.items()]).first() if maps else []
+    told = [{"column": c, "ones": "/".join(one), "zeros": "/".join(zero), "unread": n} for (c, (one, zero)), n in zip(maps.items(), unread)]
+    return df.select(*[numeric.binary(F.col(f"`{c}`"), *maps[c]).alias(c) if c in maps else F.col(f"`{c}`") for c in df.columns]), told
+
+
+def without_outcome(df: DataFrame, row: str, reasons: dict) -> DataFrame:
+    """row, reason: rows that books with an outcome leave out, and why (named conditions, joined)."""
+    marked = mark_exclusions(df, reasons)
+    return marked.filter("exclude = 1").select(row, F.col("exclude_reason").alias("reason"))
+
+
+def removal_ledger(rows: list[tuple[str, str, int, str, str, str]]) -> list[dict]:
+    """(kind, target, count, action, reason, stage) in order: deleted rows first, then by count."""
+    out = [dict(zip(("kind", "target", "count", "action", "reason", "stage"), r)) for r in rows if r[2]]
+    return sorted(out, key=lambda r: (not (r["kind"] == "row" and r["action"] == "deleted"), -r["count"], r["target"]))

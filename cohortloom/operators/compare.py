@@ -8,9 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
+from cohortloom.operators.places import quantiles
 from cohortloom.operators.profile import average_ranks
 
 
+MOST_CELLS = 10_000  # of a table of counts that comes to the driver
+
+
+def few(counts: DataFrame, what: str) -> list:
+    """The rows of a small table; a larger one is refused."""
+    rows = counts.limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"{what} has over {MOST_CELLS} levels")
+    return rows
+
+
 def moments(df: DataFrame, column: str, by: str) -> DataFrame:
     """by, n, mean, var (sample)."""
     return df.filter(F.col(column).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.var_samp(column).alias("var"))
@@ -36,11 +48,19 @@ def smd(df: DataFrame, column: str, by: str, a, b) -> float | None:
     return (x["mean"] - y["mean"]) / math.sqrt(s)
 
 
+def max_pairwise_smd(df: DataFrame, column: str, by: str) -> dict | None:
+    """The pair of groups (in order) whose standardised difference is largest in size, with its sign; one aggregate."""
+    m = sorted((r for r in moments(df, column, by).collect() if r["var"] is not None), key=lambda r: str(r[by]))
+    pairs = [(x, y, (x["var"] + y["var"]) / 2) for i, x in enumerate(m) for y in m[i + 1 :]]
+    found = [{"a": x[by], "b": y[by], "smd": (x["mean"] - y["mean"]) / math.sqrt(v)} for x, y, v in pairs if v > 0]
+    return max(found, key=lambda r: abs(r["smd"]), default=None)
+
+
 def smd_categorical(df: DataFrame, column: str, by: str, a, b) -> float | None:
     """Multi-level standardised difference; the last level in order is left out, nulls count in the denominators."""
     import numpy as np
 
-    rows = df.filter(F.col(by).isin(a, b)).groupBy(by, column).count().collect()
+    rows = few(df.filter(F.col(by).isin(a, b)).groupBy(by, column).count(), column)
     levels = sorted({r[column] for r in rows if r[column] is not None}, key=str)[:-1]
     n = {g: sum(r["count"] for r in rows if r[by] == g) for g in (a, b)}
     if not levels or not all(n.values()):
@@ -222,7 +242,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def categorical_test(df: DataFrame, a: str, b: str) -> dict | None:
     """Chi-square (Yates for 2 x 2); Fisher's exact test for a 2 x 2 table where over 20 % of expected counts are under 5."""
-    cells = {(r.a, r.b): r.n for r in crosstab(df, a, b).collect()}
+    cells = {(r.a, r.b): r.n for r in few(crosstab(df, a, b), f"{a} by {b}")}
     rows, cols = sorted({x for x, _ in cells}), sorted({y for _, y in cells})
     if len(rows) < 2 or len(cols) < 2:
         return None
@@ -280,13 +300,26 @@ def attainment(df: DataFrame, column: str, low: float | None, high: float | None
     return g.select(F.when(F.col("total") == 1, F.lit("(all)")).otherwise(F.coalesce("g", F.lit("(null)"))).alias("level"), "n", "achieved", F.try_divide("achieved", "n").alias("rate"), "at_low", "at_high")
 
 
-def compare_groups(df: DataFrame, by: str, columns: list[str], numeric: set[str], correction: str = "bh") -> list[dict]:
-    """One row for each column: test, p, q and effect, chosen by type, normality and number of groups."""
-    levels = sorted((r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().collect()), key=str)
+def compare_groups(df: DataFrame, by: str, columns: list[str], numeric: set[str], correction: str = "bh", paired_by: str | None = None, posthoc: bool = False, alpha: float = 0.05) -> list[dict]:
+    """One row for each column: test, p, q and effect, chosen by type, normality, number of groups and pairing.
+
+    With paired_by, two groups are compared on the differences of entities in both; without any such entity they are
+    compared as if unpaired.  With posthoc, columns of several groups that differ get their pairs (Tukey or Dunn).
+    """
+    levels = sorted((r[0] for r in few(df.select(by).filter(F.col(by).isNotNull()).distinct(), by)), key=str)
     out = []
     for c in columns:
-        row = {"column": c, "n_missing": df.filter(F.col(c).isNull()).count()}
-        if c in numeric:
+        row = {"column": c, "n_missing": df.filter(F.col(c).isNull()).count(), "smd": None}
+        pairs = None
+        if c in numeric and paired_by and len(levels) == 2:
+            from cohortloom.operators.series import paired
+
+            pairs = paired(df, by, paired_by, c, *levels, [paired_by, c])
+        if c in numeric and pairs is not None and not pairs.isEmpty():
+            normal = normality(pairs.select((F.col("a") - F.col("b")).alias("d")), "d")["normal"]
+            got = paired_t(pairs) if normal else wilcoxon(pairs)
+            row |= {"test": "paired_t" if normal else "wilcoxon", "effect": None, "smd": smd(df, c, by, *levels)}
+        elif c in numeric:
             normal = all(normality(df.filter(F.col(by) == g), c)["normal"] for g in levels)
             if len(levels) == 2:
                 a, b = levels
@@ -294,7 +327,9 @@ def compare_groups(df: DataFrame, by: str, columns: list[str], numeric: set[str]
                 row |= {"test": "welch" if normal else "mann_whitney", "effect": hedges_g(df, c, by, a, b) if normal else (got or {}).get("delta"), "smd": smd(df, c, by, a, b)}
             else:
                 got = anova(df, c, by) if normal else kruskal(df, c, by)
-                row |= {"test": "anova" if normal else "kruskal", "effect": eta_squared(df, c, by).first()[0] if normal else (got or {}).get("epsilon_squared")}
+                row |= {"test": "anova" if normal else "kruskal", "effect": eta_squared(df, c, by).first()[0] if normal else (got or {}).get("epsilon_squared"), "smd": (max_pairwise_smd(df, c, by) or {}).get("smd")}
+                if posthoc and got and got["p"] < alpha:
+                    row["posthoc"] = tukey(df, c, by) if normal else dunn(df, c, by)
         else:
             got = categorical_test(df, c, by)
             row |= {"test": (got or {}).get("test"), "effect": chi_square(df, c, by).first()["v"]}
@@ -306,7 +341,7 @@ def compare_groups(df: DataFrame, by: str, columns: list[str], numeric: set[str]
 
 def table_one(df: DataFrame, columns: list[str], numeric: set[str], by: str | None = None, max_levels: int = 20) -> list[dict]:
     """Rows of a publication table: mean (SD) or median [Q1, Q3]; n (%) of each level, folded beyond max_levels."""
-    groups = [None] + (sorted((r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().collect()), key=str) if by else [])
+    groups = [None] + (sorted((r[0] for r in few(df.select(by).filter(F.col(by).isNotNull()).distinct(), by)), key=str) if by else [])
     part = lambda g: df if g is None else df.filter(F.col(by) == g)
     name = lambda g: "Overall" if g is None else str(g)
     out = [{"row": "n"} | {name(g): str(part(g).count()) for g in groups}]
@@ -315,7 +350,8 @@ def table_one(df: DataFrame, columns: list[str], numeric: set[str], by: str | No
             mean = normality(df, c)["normal"]
             cells = {}
             for g in groups:
-                m, s, q = part(g).agg(F.avg(c), F.stddev_samp(c), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()
+                m, s = part(g).agg(F.avg(c), F.stddev_samp(c)).first()
+                q = None if m is None or mean else quantiles(part(g), F.col(c).cast("double"), [0.25, 0.5, 0.75]).first().q
                 cells[name(g)] = "" if m is None else f"{m:.1f} ({s or 0:.1f})" if mean else f"{q[1]:.1f} [{q[0]:.1f}, {q[2]:.1f}]"
             out.append({"row": f"{c}, {'mean (SD)' if mean else 'median [IQR]'}"} | cells)
         else:
@@ -327,3 +363,63 @@ def table_one(df: DataFrame, columns: list[str], numeric: set[str], by: str | No
             for level in sorted((r[0] for r in found), key=str):
                 out.append({"row": f"{c} = {level}"} | {g: f"{n.get(level, 0)} ({100 * n.get(level, 0) / max(sum(n.values()), 1):.1f}%)" for g, n in tall.items()})
     return out
+
+
+def association(df: DataFrame, numbers: list[str], levels: list[str]) -> list[dict]:
+    """a, b, kind, value of all pairs: size of the rank correlation, share of variance between levels, or Cramer's V."""
+    out = []
+    for i, a in enumerate(numbers):
+        out += [{"a": a, "b": b, "kind": "rho", "value": r if (r := spearman(df, a, b).first()["rho"]) is None else abs(r)} for b in numbers[i + 1 :]]
+        out += [{"a": a, "b": g, "kind": "eta_squared", "value": eta_squared(df.filter(F.col(a).isNotNull()), a, g).first()[0]} for g in levels]
+    return out + [{"a": a, "b": b, "kind": "v", "value": chi_square(df, a, b).first()["v"]} for i, a in enumerate(levels) for b in levels[i + 1 :]]
+
+
+def percent(k: int, n: int) -> str:
+    """A share for print: two significant digits under 10 %, else one decimal."""
+    v = 100.0 * k / n if n else 0.0
+    return f"{v:.2g}" if v < 10 else f"{v:.1f}"
+
+
+def publication_table(df: DataFrame, columns: list[str], numeric: set[str], by: str | None = None, max_levels: int = 10) -> list[dict]:
+    """Rows for print: mean ± SD [min, max] or n (%), for all rows, or for each group without an overall column.
+
+    Numbers show no decimals if all are whole, two if their median size is under 1, else one; beyond max_levels the rarer
+    levels are one row.
+    """
+    groups = {"all": df} if by is None else {str(g): df.filter(F.col(by) == g) for g in sorted((r[0] for r in few(df.select(by).filter(F.col(by).isNotNull()).distinct(), by)), key=str)}
+    out = []
+    for c in columns:
+        if c in numeric:
+            x = F.col(c).cast("double")
+            found = quantiles(df, F.abs(x), [0.5]).first()
+            whole = not df.filter(x != F.floor(x)).limit(1).count()
+            d = 0 if whole else 2 if found and found.q[0] < 1 else 1
+            row = {"row": c}
+            for g, rows in groups.items():
+                mean, sd, lo, hi = rows.agg(F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
+                row[g] = "" if mean is None else f"{mean:.{d}f} ± {sd or 0:.{d}f} [{lo:.{d}f}, {hi:.{d}f}]"
+            out.append(row)
+            continue
+        counts = {g: {str(r[0]): r[1] for r in few(rows.filter(F.col(c).isNotNull()).groupBy(c).count(), c)} for g, rows in groups.items()}
+        total: dict[str, int] = {}
+        for n in counts.values():
+            for level, k in n.items():
+                total[level] = total.get(level, 0) + k
+        often = sorted(total, key=lambda v: (-total[v], v))[: max_levels if len(total) <= max_levels else max_levels - 1]
+        cell = lambda n, k: f"{k} ({percent(k, sum(n.values()))}%)"
+        out += [{"row": f"{c} = {level}"} | {g: cell(n, n.get(level, 0)) for g, n in counts.items()} for level in sorted(often)]
+        if len(often) < len(total):
+            out.append({"row": f"{c}: other"} | {g: cell(n, sum(k for v, k in n.items() if v not in often)) for g, n in counts.items()})
+    return out
+
+
+def achievement(df: DataFrame, by: str | None = None) -> DataFrame:
+    """item and the columns of `attainment`, for every dictionary item with a target that some column holds; the first column counts."""
+    from cohortloom.plans.dictionary import TARGETS, Timings
+
+    t, out = Timings.infer(df.columns), None
+    for item, (low, low_closed, high, high_closed) in TARGETS.items():
+        if columns := t.get(item):
+            part = attainment(df.withColumn("__x", F.col(f"`{columns[0]}`").try_cast("double")), "__x", low, high, by, low_closed, high_closed).select(F.lit(item).alias("item"), "*")
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame([], "item string, level string, n long, achieved long, rate double, at_low long, at_high long")

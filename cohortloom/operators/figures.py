@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.places import quantiles
+
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
     """g, bin (0-based), low, high, n; bins of equal width over the range of all rows, the last one closed."""
@@ -31,14 +33,21 @@ def fold_levels(df: DataFrame, column: str, cap: int, other: str = "その他")
     return df.withColumn(column, F.when(F.col(column).isNotNull(), F.when(F.col(column).cast("string").isin(kept), F.col(column).cast("string")).otherwise(other)))
 
 
+ROWS_FOR_BINS = 36
+
+
 def running_median(df: DataFrame, x: str, y: str, bins: int = 12, least: int = 3) -> DataFrame:
-    """bin, x, y medians and n inside quantile bins of x, both ends included; bins of fewer than `least` rows are left out."""
+    """bin, x, y medians and n inside quantile bins of x, both ends included; bins of fewer than `least` rows are
+    left out, and all of them where there are fewer than ROWS_FOR_BINS rows."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = rows.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0]
-    if not edges:
+    found = quantiles(rows, F.col(x).cast("double"), [k / bins for k in range(bins + 1)]).first()
+    edges = found.q if found else []
+    if not edges or found.n < ROWS_FOR_BINS:
         return rows.limit(0).select(F.lit(0).alias("bin"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("n"))
     member = F.array_compact(F.array(*[F.when(F.col(x).between(a, b), F.lit(k)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]))
-    return rows.withColumn("bin", F.explode(member)).groupBy("bin").agg(F.median(x).alias("x"), F.median(y).alias("y"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    told = rows.select(F.explode(member).alias("bin"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    mx, my = (quantiles(told, c, [0.5], ["bin"]).select("bin", F.col("q")[0].alias(c), "n") for c in ("x", "y"))
+    return mx.join(my.drop("n"), "bin").select("bin", "x", "y", "n").filter(F.col("n") >= least)
 
 
 def nullity_correlation(df: DataFrame, columns: list[str]) -> DataFrame:

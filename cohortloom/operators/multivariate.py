@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
 from cohortloom.operators.compare import categorical_test, mann_whitney
+from cohortloom.operators.places import quantiles_of, value_at
 
 
 def covariance(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -37,7 +38,8 @@ def mahalanobis(df: DataFrame, columns: list[str], alpha: float = 0.001) -> Data
 
 def principal_components(df: DataFrame, columns: list[str], most: int = 10) -> dict:
     """Components of the correlation matrix after median imputation: explained shares and loadings."""
-    medians = df.agg(*[F.median(c) for c in columns]).first()
+    at = quantiles_of(df, {c: F.col(f"`{c}`") for c in columns}, [0.5])
+    medians = [value_at(at[c][1][0]) if c in at else None for c in columns]
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(columns, medians)])
     _, _, cov = covariance(filled, columns)
     s = np.sqrt(np.diag(cov))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortloom.functions.numeric import binary, ordinal
-from cohortloom.operators.profile import iqr_limits, mad_limits, quantile_limits
+from cohortloom.operators.places import cumulated, quantiles_of, value_at
+from cohortloom.operators.profile import beside
+
+MOST_LEVELS = 10_000  # of a category
 
 
 class LeakageError(RuntimeError):
@@ -26,13 +29,15 @@ class SplitFrame:
 
 
 def split_random(df: DataFrame, row: str, test: float = 0.25, stratify: str | None = None, seed: int = 0) -> DataFrame:
-    """df with _split: in each stratum the round(n * test) rows that come first by a seeded hash of their id are test."""
-    keys = [stratify] if stratify else []
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    order = w.orderBy(F.xxhash64(F.lit(seed), F.col(row)), row)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    out = df.join(F.broadcast(n), keys) if keys else df.join(F.broadcast(n), F.lit(True))
-    return out.withColumn("_split", F.when(F.row_number().over(order) <= F.round(F.col("__n") * test), "test").otherwise("train")).drop("__n")
+    """df with _split: in each stratum the round(n * test) rows that come first by a seeded hash of their id are test.
+
+    The last hash that is still test is found by counting, stratum by stratum; rows that repeat an id stay together.
+    """
+    keys, h = [stratify] if stratify else [], F.xxhash64(F.lit(seed), F.col(row))
+    taken = F.round(F.col("n") * test)
+    last = cumulated(df, h, keys).groupBy(*keys).agg(F.max(F.when(F.col("upto") - F.col("ties") < taken, F.col("value"))).alias("__last"))
+    out = beside(df, last, keys, "left")
+    return out.withColumn("_split", F.when(h <= F.col("__last"), "test").otherwise("train")).drop("__last")
 
 
 def split_group(df: DataFrame, group: str, test: float = 0.25, seed: int = 0) -> DataFrame:
@@ -43,13 +48,22 @@ def split_group(df: DataFrame, group: str, test: float = 0.25, seed: int = 0) ->
 
 def split_time(df: DataFrame, time: str, row: str, test: float = 0.25) -> DataFrame:
     """df with _split: the last round(n * test) rows by time are test, at least one; rows without a time count as last."""
-    n = df.count()
-    late = max(1, int(round(n * test)))
-    # rank on distinct times; only the rows of the time that the border falls into are ordered by id
-    times = df.groupBy(time).agg(F.count(F.lit(1)).alias("__c")).withColumn("__after", F.sum("__c").over(W.orderBy(F.col(time).desc_nulls_first()))).withColumn("__after", F.col("__after") - F.col("__c"))
-    out = df.join(times, df[time].eqNullSafe(times[time])).drop(times[time])
-    within = F.row_number().over(W.partitionBy(time).orderBy(F.desc(row)))
-    return out.withColumn("_split", F.when(F.col("__after") + within <= late, "test").otherwise("train")).drop("__after", "__c")
+    # the border is found by counting times, and inside the border's time by counting ids; nothing is sorted as a whole
+    kind = dict(df.dtypes)[time]
+    at = F.unix_date(time).cast("long") if kind == "date" else F.unix_micros(F.col(time).cast("timestamp")) if kind.startswith("timestamp") else F.col(time).cast("double")
+    early = F.coalesce(-at, F.lit(-(2**62)).cast(("double" if kind not in ("date",) and not kind.startswith("timestamp") else "long")))
+    late = F.greatest(F.lit(1), F.round(F.col("n") * test))
+    border = cumulated(df, early).filter(F.col("upto") - F.col("ties") < late).orderBy(F.desc("upto")).limit(1).select("value", (late - F.col("upto") + F.col("ties")).alias("rest")).first()
+    if border is None:
+        return df.withColumn("_split", F.lit("train"))
+    inside = df.filter(early == F.lit(border.value))
+    if dict(df.dtypes)[row] in ("tinyint", "smallint", "int", "bigint", "double", "float"):
+        last = cumulated(inside, -F.col(row)).filter(F.col("upto") - F.col("ties") < border.rest).agg(F.max("value")).first()[0]
+        first = -F.col(row) <= F.lit(last)
+    else:
+        last = inside.select(row).orderBy(F.desc(row)).limit(int(border.rest)).agg(F.min(row)).first()[0]
+        first = F.col(row) >= F.lit(last)
+    return df.withColumn("_split", F.when((early < F.lit(border.value)) | ((early == F.lit(border.value)) & first), "test").otherwise("train"))
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -112,7 +126,8 @@ class Preparation:
     fitted: dict | None = None
 
     def fit(self, frame: SplitFrame) -> Preparation:
-        """Two aggregates for the numeric columns, one count of levels for each other kind; never on test or streaming rows."""
+        """Two jobs for all numeric columns (three for the MAD), one count of levels for each other column; never on test
+        or streaming rows.  A column of over MOST_LEVELS levels is refused."""
         if frame.kind != "train":
             raise LeakageError(f"fit on {frame.kind} rows")
         if frame.df.isStreaming:
@@ -122,25 +137,35 @@ class Preparation:
             raise ValueError(f"no columns {sorted(lost)}")
         out: dict = {"numeric": {}, "mode": {}, "levels": {}, "policy": p}
         o = p["outlier"]
-        limits = {}
-        for c in self.numeric:
-            how = {"iqr": lambda c=c: iqr_limits(df, c, fold=o["fold"]), "mad": lambda c=c: mad_limits(df, c, z=o["z"]), "quantile": lambda c=c: quantile_limits(df, c, low=o["low"], high=o["high"])}.get(o["method"])
-            limits[c] = tuple(how().first()) if how else (float("-inf"), float("inf"))
-        if self.numeric:
-            aggs = []
-            for c in self.numeric:
-                x = clip(F.col(c).cast("double"), *limits[c])
-                aggs += [F.median(x), F.avg(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))), F.min(x), F.max(x), F.count(x), F.count_if(F.col(c) != x)]
-            first = df.agg(*aggs).first()
-            fill = {c: (first[7 * i] if p["missing"]["numeric"] == "median" else first[7 * i + 1]) for i, c in enumerate(self.numeric)}
-            filled = [F.coalesce(clip(F.col(c).cast("double"), *limits[c]), F.lit(fill[c]).cast("double")) for c in self.numeric]
-            second = df.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first()
-            for i, c in enumerate(self.numeric):
-                q, lo, hi, n, clipped = first[7 * i + 2 : 7 * i + 7]
-                centre, width = {"standard": (second[2 * i], second[2 * i + 1]), "robust": (first[7 * i], q[1] - q[0] if q else 0), "minmax": (lo, (hi or 0) - (lo or 0)), "none": (0.0, 1.0)}[p["scale"]]
-                out["numeric"][c] = {"low": limits[c][0], "high": limits[c][1], "fill": fill[c], "centre": centre or 0.0, "width": width or 1.0, "clipped": clipped / n if n else 0.0}
+        # one job for the places of all numeric columns (a second one for the MAD), one for their moments
+        x = {c: F.col(c).cast("double") for c in self.numeric}
+        at = quantiles_of(df, x, [0.25, 0.5, 0.75, o["low"], o["high"]])
+        limits = {c: (float("-inf"), float("inf")) for c in x}
+        far = quantiles_of(df, {c: F.abs(x[c] - F.lit(value_at(at[c][1][1]))) for c in at}, [0.5]) if o["method"] == "mad" else {}
+        for c, (n, q) in at.items():
+            a, m, b, low, high = map(value_at, q)
+            d = 1.4826 * o["z"] * value_at(far[c][1][0]) if far else 0.0
+            found = {"iqr": (a - o["fold"] * (b - a), b + o["fold"] * (b - a), b - a), "mad": (m - d, m + d, d), "quantile": (low, high, 1.0)}.get(o["method"])
+            if found and n >= 4 and found[2] > 0:
+                limits[c] = found[:2]
+        aggs = [f for c in x for f in moments_of(clip(x[c], *limits[c]), x[c])]
+        first = df.agg(F.count(F.lit(1)), *aggs).first() if aggs else [0]
+        for i, c in enumerate(self.numeric):
+            n, mean, var, lo, hi, clipped = first[1 + 6 * i : 7 + 6 * i]
+            # clipping keeps the order, so quantiles of clipped values come from clipped neighbours
+            q = [value_at(Row(low=held(v.low, *limits[c]), high=held(v.high, *limits[c]), part=v.part)) for v in at[c][1][:3]] if c in at else [None] * 3
+            fill = q[1] if p["missing"]["numeric"] == "median" else mean
+            total, lost = first[0], first[0] - n
+            centre, width = 0.0, 1.0
+            if n:
+                both = (n * mean + lost * fill) / total
+                spread = (n * (var + (mean - both) ** 2) + lost * (fill - both) ** 2) / total
+                centre, width = {"standard": (both, math.sqrt(max(spread, 0.0))), "robust": (q[1], q[2] - q[0]), "minmax": (lo, hi - lo), "none": (0.0, 1.0)}[p["scale"]]
+            out["numeric"][c] = {"low": limits[c][0], "high": limits[c][1], "fill": fill, "centre": centre or 0.0, "width": width or 1.0, "clipped": clipped / n if n else 0.0}
         for c in [*self.ordinal, *self.binary, *self.nominal]:
-            counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").collect()
+            counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(MOST_LEVELS + 1).collect()
+            if len(counts) > MOST_LEVELS:
+                raise ValueError(f"{c} has over {MOST_LEVELS} levels")
             out["mode"][c] = counts[0].v if counts else None
             if c in self.nominal:
                 total = sum(r["count"] for r in counts) or 1
@@ -179,6 +204,11 @@ class Preparation:
         rows = [{"column": c, "rate": r[2 * i + 1] / r[2 * i] if r[2 * i] else 0.0, "train": v["clipped"]} for i, (c, v) in enumerate(s.items())]
         return sorted((x for x in rows if x["rate"] > 0), key=lambda x: -x["rate"])
 
+    def reference_levels(self) -> list[dict]:
+        """column, reference: the level that stands for 0 of a binary column, or that one-hot coding leaves out."""
+        out = [{"column": c, "reference": (zeros[0] if zeros else None)} for c, (_, zeros) in self.binary.items()]
+        return out + [{"column": c, "reference": self.fitted["levels"][c]["kept"][0] if self.fitted["levels"][c]["kept"] else None} for c in self.nominal]
+
     def to_json(self) -> str:
         return json.dumps(self.__dict__, ensure_ascii=False)
 
@@ -187,11 +217,26 @@ class Preparation:
         return cls(**json.loads(text))
 
 
+def held(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+def moments_of(x: Column, raw: Column) -> list[Column]:
+    """count, mean, variance, least and greatest of clipped values, and how many were clipped."""
+    return [F.count(x), F.avg(x), F.var_pop(x), F.min(x), F.max(x), F.count_if(raw != x)]
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     """Limits that let NULL pass."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
+def row_overlap(fitted: DataFrame, df: DataFrame, row: str) -> dict:
+    """overlap, n: rows of df that the preparation was fitted on; all or none is fine, a part of them is a warning."""
+    overlap, n = df.join(fitted.select(row).distinct(), row, "left_semi").count(), df.count()
+    return {"overlap": overlap, "n": n, "warning": f"{overlap} of {n} rows were fitted on" if 0 < overlap < n else None}
+
+
 def leak_check(df: DataFrame, row: str, features: list[str], outcome: str, entity: str | None = None) -> list[dict]:
     """What could leak, with its count: each row should be 0."""
     both = df.groupBy(row).agg(F.count_distinct("_split").alias("s")).filter("s > 1").count()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NUMBERLIKE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*[^\d]{0,12}$"
+from cohortloom.operators.places import cumulated, quantiles
+from cohortloom.session import sized_join
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,51 +56,71 @@ def _limited(q: Column, low: Column, high: Column, spread: Column, n: Column) ->
 
 def iqr_limits(df: DataFrame, column: str, by: list[str] = [], fold: float = 1.5) -> DataFrame:  # noqa: B006
     """by..., low, high: quartiles -+ fold * IQR; infinite for fewer than 4 values or no spread."""
-    g = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(column).alias("n"))
+    g = quantiles(df, F.col(column).cast("double"), [0.25, 0.75], by)
     spread = F.col("q")[1] - F.col("q")[0]
     return g.select(*by, *_limited(F.col("q"), F.col("q")[0] - spread * fold, F.col("q")[1] + spread * fold, spread, F.col("n")))
 
 
 def quantile_limits(df: DataFrame, column: str, by: list[str] = [], low: float = 0.01, high: float = 0.99) -> DataFrame:  # noqa: B006
-    g = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q"), F.count(column).alias("n"))
+    g = quantiles(df, F.col(column).cast("double"), [low, high], by)
     return g.select(*by, *_limited(F.col("q"), F.col("q")[0], F.col("q")[1], F.lit(1.0), F.col("n")))
 
 
 def mad_limits(df: DataFrame, column: str, by: list[str] = [], z: float = 3.0) -> DataFrame:  # noqa: B006
     """by..., low, high: median -+ z * 1.4826 * MAD; the medians are joined back to the rows for the second pass."""
-    m = df.groupBy(*by).agg(F.median(column).alias("__m"), F.count(column).alias("__n"))
-    rows = df.select(*by, F.col(column).alias("__x"))
-    rows = rows.join(F.broadcast(m), by) if by else rows.join(F.broadcast(m), F.lit(True))
-    g = rows.groupBy(*by, "__m", "__n").agg(F.median(F.abs(F.col("__x") - F.col("__m"))).alias("__d"))
+    rows = df.select(*by, F.col(column).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    m = quantiles(rows, "__x", [0.5], by).select(*by, F.col("q")[0].alias("__m"), F.col("n").alias("__n"))
+    far = beside(rows, m, by).withColumn("__far", F.abs(F.col("__x") - F.col("__m")))
+    g = quantiles(far, "__far", [0.5], by).select(*by, F.col("q")[0].alias("__d"))
+    g = beside(g, m, by)
     s = F.col("__d") * 1.4826 * z
     return g.select(*by, *_limited(F.col("__d"), F.col("__m") - s, F.col("__m") + s, F.col("__d"), F.col("__n")))
 
 
+def beside(df: DataFrame, told: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of the one row of its group; told is counted before it is broadcast.  Without groups it is one row."""
+    return sized_join(df, told, by, how) if by else df.join(F.broadcast(told), F.lit(True), how)
+
+
 def flag_outliers(df: DataFrame, column: str, limits: DataFrame, by: list[str] = [], action: str = "flag") -> DataFrame:  # noqa: B006
-    """flag adds <column>__outlier; nan sets NULL; winsorize clips (only without groups); drop removes the rows."""
-    out = df.join(F.broadcast(limits), by, "left") if by else df.join(F.broadcast(limits), F.lit(True))
-    x = F.col(column)
-    odd = F.coalesce((x < F.col("low")) | (x > F.col("high")), F.lit(False))
+    """flag adds <column>__outlier; nan sets NULL; winsorize clips to the limits of the row's group; drop removes the rows.
+
+    Rows of a group without limits stay as they are.
+    """
+    told = limits.select(*by, F.col("low").alias("__low"), F.col("high").alias("__high"))
+    out = beside(df, told, by, "left")
+    x = F.col(f"`{column}`")
+    odd = F.coalesce((x < F.col("__low")) | (x > F.col("__high")), F.lit(False))
     if action == "flag":
         out = out.withColumn(f"{column}__outlier", odd.cast("int"))
     elif action == "nan":
         out = out.withColumn(column, F.when(~odd, x))
     elif action == "winsorize":
-        out = out if by else out.withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.col("low")), F.col("high"))))
+        out = out.withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.coalesce("__low", x)), F.coalesce("__high", x))))
     elif action == "drop":
         out = out.filter(~odd)
     else:
         raise ValueError(f"no action {action!r}")
-    return out.drop("low", "high")
+    return out.drop("__low", "__high")
+
+
+def detect(df: DataFrame, columns: list[str], method: str = "iqr", by: list[str] = [], **options) -> DataFrame:  # noqa: B006
+    """df with a flag for each column, and n_outliers, how many of a row's values are out; limits by iqr, mad or quantile."""
+    make = {"iqr": iqr_limits, "mad": mad_limits, "quantile": quantile_limits}[method]
+    out = df
+    for c in columns:
+        out = flag_outliers(out, c, make(df, c, by, **options), by)
+    return out.withColumn("n_outliers", sum((F.col(f"`{c}__outlier`") for c in columns), F.lit(0)))
 
 
 def robust_z(df: DataFrame, column: str) -> DataFrame:
     """df with robust_z: by the MAD, by the mean absolute deviation where that is 0; NULL if both are or n < 4."""
-    m, n = df.agg(F.median(column), F.count(column)).first()
-    if m is None or n < 4:
+    found = quantiles(df, F.col(column).cast("double"), [0.5]).first()
+    if found is None or found.n < 4:
         return df.withColumn("robust_z", F.lit(None).cast("double"))
-    d = F.abs(F.col(column) - F.lit(m))
-    mad, mean = df.agg(F.median(d), F.avg(d)).first()
+    m = found.q[0]
+    d = F.abs(F.col(column).cast("double") - F.lit(m))
+    mad, mean = quantiles(df, d, [0.5]).first().q[0], df.agg(F.avg(d)).first()[0]
     scale = 1.4826 * mad if mad > 0 else 1.2533 * mean
     return df.withColumn("robust_z", (F.col(column) - F.lit(m)) / F.lit(scale) if scale > 0 else F.lit(None).cast("double"))
 
@@ -126,7 +147,6 @@ def entry_suspects(df: DataFrame, column: str, row: str, z: float = 10.0, ratio:
 
 
 def average_ranks(df: DataFrame, column: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """by..., value, ties, rank: average ranks on the table of distinct values, so no row-level global sort is needed."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.withColumn("rank", F.sum("ties").over(w) - (F.col("ties") - 1) / 2)
+    """by..., value, ties, rank: average ranks on the table of distinct values, summed range by range."""
+    ranked = cumulated(df, F.col(column).cast("double"), by)
+    return ranked.select(*by, "value", "ties", (F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
+from cohortloom.operators.places import quantiles
+from cohortloom.session import release, stage
 
 UNIT_DAYS = {"days": 1.0, "weeks": 7.0, "months": 30.4375, "years": 365.25}
 
@@ -38,6 +40,44 @@ def build_survival(df: DataFrame, start: Column, event_date: Column, censor_date
     return out
 
 
+def _checked(df: DataFrame, reason: Column, length: Column, event: Column, unit: str, zero: str, max_years: float) -> DataFrame:
+    days = length * UNIT_DAYS[unit]
+    reason = reason.when(days > max_years * 365.25, "too long").when(~event.isin(0, 1), "event is not 0 or 1").when(event.isNull(), "no event")
+    if zero == "drop":
+        reason = reason.when(days == 0, "zero days")
+    value = F.when(days == 0, 0.5 / UNIT_DAYS[unit]).otherwise(length) if zero == "half" else length
+    out = df.withColumns({"reason": reason, "duration": F.when(reason.isNull(), value.cast("double")), "event": F.when(reason.isNull(), event.cast("int"))})
+    if zero == "raise" and out.filter("duration = 0").limit(1).count():
+        raise ValueError("rows of zero duration")
+    return out
+
+
+def from_durations(df: DataFrame, duration: Column, event: Column, unit: str = "days", zero: str = "half", max_years: float = 60.0) -> DataFrame:
+    """df with duration, event and reason, from a length and a 0/1 event; rules as in `build_survival`."""
+    x = duration.cast("double")
+    return _checked(df, F.when(x.isNull(), "no duration").when(x < 0, "reversed"), x, event, unit, zero, max_years)
+
+
+def from_dates(df: DataFrame, start: Column, end: Column, event: Column, as_of: Column, unit: str = "days", zero: str = "half", inclusive: bool = False, max_years: float = 60.0) -> DataFrame:
+    """df with duration, event and reason, from a start, an end and a 0/1 event; rules as in `build_survival`."""
+    reason = F.when(start.isNull(), "no start date").when(end.isNull(), "no end date").when(end < start, "reversed").when(end > as_of, "in the future")
+    return _checked(df, reason, (F.datediff(end, start) + (1 if inclusive else 0)) / UNIT_DAYS[unit], event, unit, zero, max_years)
+
+
+def summary(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """One row: n, events, rate, median time to the event and of follow-up, shortest and longest time."""
+    ok = df.filter(F.col(duration).isNotNull() & F.col(event).isNotNull())
+    one = ok.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("events"), F.avg(F.col(event).cast("double")).alias("rate"), F.min(duration).alias("shortest"), F.max(duration).alias("longest"))
+    return one.join(F.broadcast(km_median(ok, duration, event).select("median", "follow_up")), F.lit(True), "left")
+
+
+def km_at(df: DataFrame, duration: str, event: str, times: list[float], by: str | None = None) -> DataFrame:
+    """g, at, survival: 1 before the first time, NULL after the last one of the group."""
+    c = km(df, duration, event, by)
+    s = [F.struct(F.lit(float(x)).alias("at"), F.when(F.max("t") >= x, F.coalesce(F.min(F.when(F.col("t") <= x, F.col("survival"))), F.lit(1.0))).alias("survival")) for x in times]
+    return c.groupBy("g").agg(F.array(*s).alias("x")).select("g", F.explode("x").alias("x")).select("g", "x.*")
+
+
 def event_table(df: DataFrame, duration: str, event: str, by: str | None = None) -> DataFrame:
     """g, t, d (events), c (all that leave at t), at_risk."""
     g = F.col(by) if by else F.lit("all")
@@ -79,12 +119,18 @@ def at_ticks(df: DataFrame, duration: str, event: str, ticks: list[float], by: s
 
 
 def rmst(df: DataFrame, duration: str, event: str, by: str | None = None, tau: float | None = None) -> DataFrame:
-    """g, rmst: area under the curve up to tau, the largest time of all where none is given."""
+    """g, rmst: area under the curve up to tau, the largest time of all where none is given.
+
+    The curve is 1 from 0 to a group's first time, or to tau if that comes first; a group whose curve ends before tau keeps
+    its last value.
+    """
     if tau is None:
         tau = df.agg(F.max(duration)).first()[0]
-    c = km(df, duration, event, by).filter(F.col("t") <= tau)
-    c = c.withColumn("next", F.coalesce(F.lead("t").over(W.partitionBy("g").orderBy("t")), F.lit(float(tau))))
-    return c.groupBy("g").agg((F.min("t") + F.sum(F.col("survival") * (F.col("next") - F.col("t")))).alias("rmst"))
+    c = km(df, duration, event, by)
+    c = c.withColumn("next", F.lead("t").over(W.partitionBy("g").orderBy("t")))
+    end = F.least(F.coalesce("next", F.lit(float(tau))), F.lit(float(tau)))
+    area = F.when(F.col("t") < tau, F.col("survival") * (end - F.col("t"))).otherwise(0.0)
+    return c.groupBy("g").agg((F.least(F.min("t"), F.lit(float(tau))) + F.sum(area)).alias("rmst"))
 
 
 def logrank_parts(df: DataFrame, duration: str, event: str, by: str) -> DataFrame:
@@ -118,6 +164,31 @@ def logrank(df: DataFrame, duration: str, event: str, by: str) -> dict:
     return {"levels": levels, "observed": o, "expected": e, "chi2": chi2, "df": k, "p": dist.chi2_sf(chi2, k) if k else 1.0}
 
 
+def logrank_pairwise(df: DataFrame, duration: str, event: str, by: str, correction: str = "holm") -> list[dict]:
+    """a, b, chi2, p, q of every pair of groups, from one table of events that is staged once."""
+    g = F.col(by).cast("string")
+    rows = stage(df.filter(F.col(duration).isNotNull() & F.col(event).isNotNull() & g.isNotNull()).groupBy(g.alias("g"), F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("c")))
+    levels = sorted(r.g for r in rows.select("g").distinct().limit(51).collect())
+    if len(levels) > 50:
+        raise ValueError(f"{by} has over 50 groups")
+    out = []
+    for i, a in enumerate(levels):
+        for b in levels[i + 1 :]:
+            # at each time of the pair: deaths, and numbers at risk from sums backwards over distinct times
+            t = rows.filter(F.col("g").isin(a, b)).groupBy("t").agg(*[F.coalesce(F.sum(F.when(F.col("g") == x, F.col("c") * (F.col("e") if died else 1))), F.lit(0)).alias(n) for x, n, died in ((a, "da", True), (b, "db", True), (a, "ca", False), (b, "cb", False))])
+            w = W.orderBy(F.desc("t"))
+            t = t.withColumns({"na": F.sum("ca").over(w).cast("double"), "nb": F.sum("cb").over(w).cast("double")}).filter("da + db > 0")
+            n, d = F.col("na") + F.col("nb"), F.col("da") + F.col("db")
+            v = F.when(n > 1, d * F.col("na") / n * (F.col("nb") / n) * (n - d) / (n - 1)).otherwise(0.0)
+            o, var = t.agg(F.sum(F.col("da") - d * F.col("na") / n), F.sum(v)).first()
+            chi2 = o * o / var if var else None
+            out.append({"a": a, "b": b, "chi2": chi2, "p": dist.chi2_sf(chi2, 1) if chi2 is not None else None})
+    release(rows)
+    for row, q in zip(out, dist.adjusted([r["p"] for r in out], correction)):
+        row["q"] = q
+    return out
+
+
 def logrank_trend(df: DataFrame, duration: str, event: str, by: str, scores: dict) -> dict:
     """chi2 of a trend over scored groups, with the hypergeometric variance."""
     parts = logrank_parts(df, duration, event, by)
@@ -163,7 +234,7 @@ def cox(df: DataFrame, duration: str, event: str, covariates: list[str], penaliz
             break
     se = np.sqrt(np.diag(np.linalg.inv(h)))
     table = [{"covariate": c, "coef": b, "hr": math.exp(b), "se": s, "p": dist.two_sided(b / s), "low": math.exp(b - 1.959963985 * s), "high": math.exp(b + 1.959963985 * s)} for c, b, s in zip(covariates, beta.tolist(), se.tolist())]
-    return {"n": n, "events": events, "loglik": loglik, "table": table, "few_events": events < 10 * k}
+    return {"n": n, "events": events, "loglik": loglik, "score": float(np.abs(u).max()), "table": table, "few_events": events < 10 * k}
 
 
 def binary_at(duration: Column, event: Column, tau: float) -> Column:
@@ -173,11 +244,14 @@ def binary_at(duration: Column, event: Column, tau: float) -> Column:
 
 def choose_horizon(df: DataFrame, duration: str, event: str, grid: float, most_undetermined: float = 0.2) -> dict | None:
     """tau among 5-95 % quantiles rounded to the grid, up to the median follow-up: most in the smaller class, then most determined, then early."""
-    q = df.agg(F.percentile(duration, F.array(*[F.lit(x / 100) for x in range(5, 100, 5)]))).first()[0]
+    found = quantiles(df, F.col(duration).cast("double"), [x / 100 for x in range(5, 100, 5)] + [0.5]).first()
+    if found is None:
+        return None
+    *q, middle = found.q
     upper = km_median(df, duration, event).first()["follow_up"]
     taus = sorted({round(x / grid) * grid for x in q if round(x / grid) > 0 and (upper is None or round(x / grid) * grid <= upper)})
     if not taus:
-        taus = [df.agg(F.median(duration)).first()[0]]
+        taus = [middle]
     n = df.count()
     b = [binary_at(F.col(duration), F.col(event), t) for t in taus]
     got = df.agg(*[x for c in b for x in (F.count_if(c == 1), F.count_if(c == 0))]).first()

@@ -197,11 +197,6 @@ def _paired(read):
 # ---- rows, spellings ---------------------------------------------------------------------------------------------------
 
 
-@query("duplicate_texts", "SELECT md5(coalesce(text, '')) AS h, (count(*) - 1)::BIGINT AS extra FROM documents GROUP BY 1 HAVING count(*) > 1")
-def _duplicates(read):
-    return read("documents").groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0")
-
-
 @query("censored_numbers", """
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
   round(CASE WHEN l_linenumber = 1 THEN l_quantity / 2 WHEN l_linenumber = 4 THEN NULL ELSE l_quantity END, 6) AS value,
@@ -329,11 +324,6 @@ def _time_split(read):
     return prepare.split_time(read("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "_split")
 
 
-@query("group_split_overlap", "SELECT 0::BIGINT AS overlap")
-def _group_split(read):
-    return prepare.entity_overlap(prepare.split_group(read("orders"), "o_custkey"), "o_custkey").agg(F.count(F.lit(1)).alias("overlap"))
-
-
 @query("smd_balance", "SELECT 'l_quantity' AS \"column\", round((avg(l_quantity) FILTER (s) - avg(l_quantity) FILTER (NOT s)) / sqrt((var_samp(l_quantity) FILTER (s) + var_samp(l_quantity) FILTER (NOT s)) / 2), 6) AS smd FROM (SELECT *, l_linestatus = 'O' AS s FROM lineitem)")
 def _balance(read):
     return rounded(prepare.balance(read("lineitem").withColumn("_split", F.when(F.col("l_linestatus") == "O", "train").otherwise("test")), ["l_quantity"]))
@@ -350,8 +340,13 @@ def _prepared(read):
     return rounded(p.transform(df, ["event_id"]), 5)
 
 
-@query("one_hot_rare", "SELECT o_orderkey, (o_orderstatus = 'P')::BIGINT AS \"o_orderstatus=P\", (o_orderstatus NOT IN ('O', 'P'))::BIGINT AS \"o_orderstatus=(rare)\" FROM orders")
+@query("one_hot_rare", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_shipmode = 'FOB')::BIGINT AS \"mode=FOB\", (l_shipmode NOT IN ('AIR', 'FOB'))::BIGINT AS \"mode=(rare)\" FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 'AIR' WHEN l_linenumber <= 4 THEN 'FOB' ELSE 'SHIP' || l_quantity::INT END AS l_shipmode FROM lineitem)")
 def _one_hot(read):
-    df = read("orders")
-    p = prepare.Preparation(nominal=["o_orderstatus"], policy={"encode": {"min_frequency": 0.33}})
-    return rounded(p.fit(prepare.SplitFrame(df, "train")).transform(df, ["o_orderkey"]))
+    # two levels with a quarter of the rows and more each at every scale, and fifty rare ones
+    n = F.col("l_linenumber")
+    df = read("lineitem").withColumn("mode", F.when(n <= 2, "AIR").when(n <= 4, "FOB").otherwise(F.concat(F.lit("SHIP"), F.col("l_quantity").cast("int").cast("string"))))
+    p = prepare.Preparation(nominal=["mode"], policy={"encode": {"min_frequency": 0.1}})
+    return rounded(p.fit(prepare.SplitFrame(df, "train")).transform(df, ["l_orderkey", "l_linenumber"]))
+
+
+from cohortloom.plans import catalog_cells, catalog_checks, catalog_groups  # noqa: E402, F401 (they register more queries)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.numeric import blank
+from cohortloom.sources.sheets import read_sheet
 
 ENCODINGS = ["utf-8-sig", "cp932", "utf-8", "euc-jp", "latin-1"]
 SPARK_NAMES = {"utf-8-sig": "UTF-8", "cp932": "windows-31j", "utf-8": "UTF-8", "euc-jp": "EUC-JP", "latin-1": "ISO-8859-1"}
@@ -34,40 +37,65 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     raise ValueError(f"{path}: no known encoding")
 
 
-def header_row(lines: list[str], sep: str) -> int:
-    """The first of ten lines with at least max(2, half the columns) filled cells, else the first."""
-    rows = [[c.strip() for c in x.split(sep)] for x in lines[:10]]
-    width = max(map(len, rows), default=0)
-    return next((i for i, r in enumerate(rows) if sum(map(bool, r)) >= max(2, 0.5 * width)), 0)
+def header_row(rows: list[list[str]]) -> int:
+    """The first of ten rows with at least max(2, half the columns) filled cells, else the first."""
+    width = max(map(len, rows[:10]), default=0)
+    return next((i for i, r in enumerate(rows[:10]) if sum(bool(c.strip()) for c in r) >= max(2, 0.5 * width)), 0)
 
 
-def read_any(spark: SparkSession, path: str, encoding: str | None = None) -> Loaded:
-    """csv, txt, tsv, parquet, json, jsonl, orc; other extensions are refused with what to do instead."""
+def column_names(cells: list[str]) -> tuple[list[str], list[str]]:
+    """(names, notes): blank names are numbered, repeated ones get a suffix."""
+    names, notes, seen = [], [], {}
+    for i, c in enumerate(cells):
+        c = c.strip().lstrip("\ufeff") or f"column{i}"
+        seen[c] = seen.get(c, 0) + 1
+        if seen[c] > 1:
+            notes.append(f"column {c} occurs twice")
+        names.append(c if seen[c] == 1 else f"{c}.{seen[c] - 1}")
+    return names, notes
+
+
+def after_lines(df: DataFrame, n: int) -> DataFrame:
+    """The rows of one text file but its first n lines, by their place: rows of the split at offset 0 are numbered as they are read."""
+    placed = df.withColumns({"__at": F.monotonically_increasing_id(), "__from": F.col("_metadata.file_block_start")})
+    first = placed.filter("__from = 0").agg(F.min("__at")).first()[0]
+    return placed.filter((F.col("__from") != 0) | (F.col("__at") >= F.lit(first) + n)).drop("__at", "__from") if first is not None else df
+
+
+def read_any(spark: SparkSession, path: str, sheet: int = 0, header: int | str = "auto", encoding: str | None = None) -> Loaded:
+    """csv, txt, tsv, xlsx, parquet, json, jsonl, orc; other extensions are refused with what to do instead.
+
+    Title lines above the header are skipped by their place, never by what they hold.  Empty columns and the blank rows
+    at the end are left out; blank rows in between stay and are counted in the notes.
+    """
     notes: list[str] = []
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "txt", "tsv"):
         sep = "\t" if kind == "tsv" else ","
         found, lines = sniff(spark, path)
-        skip = header_row(lines, sep)
+        rows = list(csv.reader(lines, delimiter=sep))
+        skip = header_row(rows) if header == "auto" else int(header)
         encoding = encoding or found
         if encoding != "utf-8-sig":
             notes.append(f"read as {encoding}")
         if SPARK_NAMES.get(encoding, "UTF-8") not in ("UTF-8", "ISO-8859-1"):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark refuses this encoding
-        reader = spark.read.option("sep", sep).option("encoding", SPARK_NAMES.get(encoding, encoding)).option("enforceSchema", True)
-        names = [c.strip().strip('"').lstrip("﻿") or f"column{i}" for i, c in enumerate(lines[skip].split(sep))] if lines else []
-        seen: dict[str, int] = {}
-        for i, c in enumerate(names):
-            seen[c] = seen.get(c, 0) + 1
-            if seen[c] > 1:
-                notes.append(f"column {c} occurs twice")
-                names[i] = f"{c}.{seen[c] - 1}"
-        schema = ", ".join(f"`{c}` string" for c in names)
-        df = reader.schema(schema).option("header", skip == 0).csv(path)
+        names, more = column_names(rows[skip]) if rows else ([], [])
+        notes += more
+        quoted = [c.replace("`", "``") for c in names]
+        reader = spark.read.option("sep", sep).option("encoding", SPARK_NAMES.get(encoding, encoding)).option("enforceSchema", True).option("escape", '"')
+        df = reader.schema(", ".join(f"`{c}` string" for c in quoted)).csv(path)
         if skip:
             notes.append(f"the header is in line {skip + 1}")
-            titles = spark.createDataFrame([(x.split(sep)[0],) for x in lines[: skip + 1]], "t string")
-            df = df.join(F.broadcast(titles), F.coalesce(df[names[0]], F.lit("")) == titles["t"], "left_anti")
+        # Spark leaves out blank lines, so they don't count as rows
+        df = after_lines(df, sum(bool(x.strip()) for x in lines[: skip + 1]))
+    elif kind in ("xlsx", "xlsm"):
+        cells = read_sheet(spark, path, sheet)
+        skip = header_row(cells) if header == "auto" else int(header)
+        names, more = column_names(cells[skip]) if cells else ([], [])
+        notes += more
+        rows = [[*r[: len(names)], *[""] * (len(names) - len(r))] for r in cells[skip + 1 :]]
+        df = spark.createDataFrame([[c if c != "" else None for c in r] for r in rows], StructType([StructField(c, StringType()) for c in names]))
     elif kind == "parquet":
         df = spark.read.parquet(path)
     elif kind in ("json", "jsonl"):
@@ -77,21 +105,33 @@ def read_any(spark: SparkSession, path: str, encoding: str | None = None) -> Loa
     else:
         raise ValueError(f"{path}: export {kind} files as CSV or Parquet first")
     df = df.withColumns({c: F.when(~F.isnan(c), F.col(f"`{c}`")) for c, t in df.dtypes if t in ("double", "float")})
-    counts = df.agg(*[F.count(F.when(~blank(F.col(f"`{c}`")), 1)) for c, t in df.dtypes]).first() if df.columns else []
-    empty = [c for c, n in zip(df.columns, counts) if not n]
+    df = df.withColumn("_row_id", F.monotonically_increasing_id())
+    columns = [c for c in df.columns if c != "_row_id"]
+    if not columns:
+        return Loaded(df, notes)
+    counts = df.agg(*[F.count(F.when(~blank(F.col(f"`{c}`")), 1)) for c in columns], F.count_if(all_blank(df))).first()
+    empty = [c for c, n in zip(columns, counts) if not n]
     if empty:
         notes.append(f"empty columns left out: {', '.join(empty)}")
-    return Loaded(df.drop(*empty).withColumn("_row_id", F.monotonically_increasing_id()), notes)
+    if counts[-1]:
+        df = drop_trailing_blank(df)
+        if inside := df.filter(all_blank(df)).count():
+            notes.append(f"{inside} blank rows between filled ones")
+    return Loaded(df.drop(*empty), notes)
 
 
-def drop_trailing_blank(df: DataFrame, row: str = "_row_id") -> DataFrame:
-    """Blank rows after the last filled one go; those in between stay."""
-    filled = F.lit(False)
+def all_blank(df: DataFrame, row: str = "_row_id"):
+    out = F.lit(True)
     for c in df.columns:
         if c != row:
-            filled = filled | ~blank(F.col(f"`{c}`"))
-    last = df.agg(F.max(F.when(filled, F.col(row)))).first()[0]
-    return df.filter(F.col(row) <= F.lit(last))
+            out = out & blank(F.col(f"`{c}`"))
+    return out
+
+
+def drop_trailing_blank(df: DataFrame, row: str = "_row_id") -> DataFrame:
+    """Blank rows after the last filled one go; those in between stay."""
+    last = df.agg(F.max(F.when(~all_blank(df, row), F.col(row)))).first()[0]
+    return df.filter(F.col(row) <= F.lit(-1 if last is None else last))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -96,5 +96,5 @@ def test_names_and_timing():
     assert dictionary.timing("透析前BUN") == ("pre", "bun") and dictionary.timing("BUN_post")[0] == "post" and dictionary.timing("年齢")[0] == "unknown"
     assert dictionary.item_of("透析後 BUN") == "BUN" and dictionary.item_of("intact PTH") == "iPTH" and dictionary.item_of("備考") is None
     r = {x["index"]: x for x in dictionary.requirements(["透析前BUN", "BUN", "Ca", "Alb"])}
-    assert r["cCa"]["ready"] and r["URR"]["missing"] == ["BUN:post: timing unknown"]
+    assert r["補正Ca"]["ready"] and r["URR"]["missing"] == ["BUN:post: timing unknown"]
     assert all(lo < hi for _, lo, hi, _ in dictionary.ITEMS.values())
