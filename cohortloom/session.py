@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -37,6 +38,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def lean(run):
+    """A function of Arrow batches that gives its memory back when a partition is done.
+
+    Python workers are kept and used again, so what one task needed at its peak would else stay beside the next one.
+    """
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            batches = None
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; unset, our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
