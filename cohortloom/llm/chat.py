@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import ship
+from cohortloom.session import lean, ship
 
 TEMPLATE = "{% for m in messages %}<s>{{ m.role | escape }}[INST]{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}[/INST]</s>{% endfor %}"
 
@@ -415,7 +415,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         if ids:
             yield full()
 
-    return rows.mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(lean(run), "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "</s>[INST] ok [/INST]"

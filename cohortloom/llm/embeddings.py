@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shingles import components, linked_rows
-from cohortloom.session import ship, stage
+from cohortloom.session import lean, ship, stage
 
 AGREE = 0.9  # that two vectors agree in a bit, hardly ever less at the threshold 0.95
 MISS = 2e-4
@@ -177,20 +177,20 @@ def block_links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(rep, d, size, vector) -> rep, linked, to, checked; a staged table.  `checked` sums to the pairs computed exactly."""
     ship(classes.sparkSession)
     shape = tables(classes.count())
-    keyed = classes.select("d", "vector", "rep").mapInArrow(_keyed(shape), "d int, t int, key long, rep long")
+    keyed = classes.select("d", "vector", "rep").mapInArrow(lean(_keyed(shape)), "d int, t int, key long, rep long")
     sizes = keyed.groupBy("d", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = keyed.join(sizes, ["d", "t", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("t", "key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes, "rep")
     order = ["d", "t", "key", "i", "j"]
-    return stage(rows.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(_linked(cosine, shape), "rep long, linked long, to long, checked long"))
+    return stage(rows.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(lean(_linked(cosine, shape)), "rep long, linked long, to long, checked long"))
 
 
 def numbered(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, embedding) -> the rows with their digests, and the classes of equal vectors, numbered."""
     ship(vectors.sparkSession)
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    made = stage(vectors.mapInArrow(_classes, "vec_id long, d int, digest binary, vector binary"))
+    made = stage(vectors.mapInArrow(lean(_classes), "vec_id long, d int, digest binary, vector binary"))
     equal = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("size"), F.min("d").alias("d"), F.min("vector").alias("vector"))
     return made, stage(equal.withColumn("rep", F.monotonically_increasing_id()))
 

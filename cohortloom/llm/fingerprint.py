@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shingles import components, linked_rows
-from cohortloom.session import ship, sized_join, stage
+from cohortloom.session import lean, ship, sized_join, stage
 
 SLOTS = 128
 CLASSES, PERIOD = 64, 4096
@@ -214,9 +214,9 @@ def _packed(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> the fingerprint of each text and of its edit by the next document, and their likenesses."""
     ship(docs.sparkSession)
-    packed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_packed, "doc_id long, h long, packed binary")
+    packed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(_packed), "doc_id long, h long, packed binary")
     ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h", "packed").select("doc_id", "packed")
-    made = stage(ordered.mapInArrow(_stream, f"{COLUMNS}, part int, pid int, text string"))
+    made = stage(ordered.mapInArrow(lean(_stream), f"{COLUMNS}, part int, pid int, text string"))
     ends = made.filter("part IS NOT NULL").select("doc_id", "part", "pid", "text")
     # two rows a partition, without texts: which partition comes next; after the last one the first
     order = ends.filter("part = 0").select("pid")
@@ -224,7 +224,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     following = order.select("pid", F.coalesce(F.lead("pid").over(W.orderBy("pid")), F.min("pid").over(every)).alias("then"))
     heads = ends.filter("part = 0").select(F.col("pid").alias("then"), F.col("text").alias("following"))
     tails = ends.filter("part = 1").join(following, "pid").join(heads, "then").select("doc_id", "text", "following")
-    return made.filter("part IS NULL").select(*NAMES).unionByName(tails.mapInArrow(_finish, COLUMNS))
+    return made.filter("part IS NULL").select(*NAMES).unionByName(tails.mapInArrow(lean(_finish), COLUMNS))
 
 
 def symbols(shown: list[str]) -> np.ndarray:
@@ -318,13 +318,13 @@ def near_classes(prints: DataFrame, cut: float = CUT) -> DataFrame:
     some = prints.filter(F.col("doc_id").isNotNull() & (F.col("fingerprint") != EMPTY * SLOTS))
     equal = some.groupBy(a.alias("a"), b.alias("b")).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size"), F.min("fingerprint").alias("fingerprint"))
     classes = stage(equal.withColumn("rep", F.monotonically_increasing_id()))
-    banded = classes.select("rep", "fingerprint").mapInArrow(_banded, "key long, rep long")
+    banded = classes.select("rep", "fingerprint").mapInArrow(lean(_banded), "key long, rep long")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = banded.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(classes.select("rep", "size", "fingerprint"), "rep")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    links = stage(rows.mapInArrow(_band_links(cut), "rep long, linked long, to long"))
+    links = stage(rows.mapInArrow(lean(_band_links(cut)), "rep long, linked long, to long"))
     each = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     labels = components(links.filter("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     told = classes.select("a", "b", "rep", "low", "size").join(each, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

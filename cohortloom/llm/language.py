@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.training import remainder, sampled
-from cohortloom.session import ship
+from cohortloom.session import lean, ship
 
 BITS = 15
 ROWS = 4000
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shingles import components, digest, scrambled, shingle_set
-from cohortloom.session import release, ship, sized_join, stage
+from cohortloom.session import lean, release, ship, sized_join, stage
 
 SKETCH = 256  # retained values of a set
 K = 96  # of these, those that key inverted lists
 SMALL, MIDDLE = 32, 24  # sets up to SMALL key short runs, sets from MIDDLE on key long runs
-BLOCK = 1024
+BLOCK = 512
 COLUMNS = 2048  # shared values compared at once: the memory of a block
 PARTNERS = 64  # pairs of a class that one copy of its set serves
 PERCENT = 85
@@ -139,10 +139,14 @@ def compared(sketches: list[np.ndarray], n: np.ndarray, left: np.ndarray, right:
     lengths = np.array([len(s) for s in sketches])
     whole = lengths == n
     top = np.array([2**32 - 1 if w else s[-1] for w, s in zip(whole, sketches)], dtype=np.uint32)
-    upto = np.array([np.searchsorted(s, top, side="right") for s in sketches], dtype=np.int32)  # values of each up to each top
+    upto = np.empty((len(sketches), len(sketches)), dtype=np.int16)  # values of each up to each top
+    for k, s in enumerate(sketches):
+        upto[k] = np.searchsorted(s, top, side="right")
+    lengths = lengths.astype(np.int16)
     x, y = (np.minimum(lengths[p][:, None], upto[np.ix_(p, q)]) for p, q in ((left, right), (right, left)))
     both = shared(sketches, left, right)
-    like = both / (x + y.T - both)
+    both /= x + y.T - both
+    like = both
     i, j = np.nonzero(ok & (like >= np.where(whole[left][:, None] & whole[right][None, :], t - 1e-4, t - 5.5 * np.sqrt(t * (1 - t) / SKETCH))))
     return i, j, like[i, j]
 
@@ -158,7 +162,7 @@ def _pairs(percent: int, best: bool):
         if i == j:
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if not ok.any():
-            return []
+            return None
         sketches = [np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows]
         a, b, e = compared(sketches, n, left, right, ok, percent)
         a, b = left[a], right[b]
@@ -177,22 +181,24 @@ def _pairs(percent: int, best: bool):
             pick = np.unique(pair[order[np.r_[True, np.diff(own[order]) != 0]]])
             a, b = a[pick], b[pick]
         x, y = rep[a], rep[b]
-        return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches):
-        rows, at, out = [], None, []
+        rows, at = [], None
+
+        def flush():
+            found = worked(rows) if len(rows) > 1 else None
+            if found and len(found[0]):
+                for k in range(0, len(found[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["a", "b"])
+
         for batch in batches:
             for r in batch.to_pylist():
                 if at != (k := (r["key"], r["i"], r["j"])):
-                    out += worked(rows) if len(rows) > 1 else []
+                    yield from flush()
                     rows, at = [], k
                 rows.append(r)
-                if len(out) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-                    out = []
-        out += worked(rows) if len(rows) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+        yield from flush()
 
     return run
 
@@ -206,7 +212,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
     ids = ends.groupBy("rep").agg(F.ceil(F.greatest(F.sum("x"), F.sum("y")) / PARTNERS).cast("int").alias("chunks"))
     ids = stage(ids.join(classes.select("rep", F.col("low").alias("doc_id"), "digest"), "rep"))
     texts = sized_join(docs, ids, ["doc_id"], limit=24 << 20)
-    sets = texts.mapInArrow(_sets, "rep long, chunks int, shingles array<long>").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(lean(_sets), "rep long, chunks int, shingles array<long>").dropDuplicates(["rep"])
     sets = sets.select("rep", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "shingles")
     many = ids.filter("chunks > 1").select("rep", "chunks")  # few: a class with more than PARTNERS pairs
     dealt = pairs
@@ -230,11 +236,11 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    made = stage(hashed.mapInArrow(_sketches(SKETCH), "doc_id long, text_hash long, n long, digest binary, sketch binary"))
+    made = stage(hashed.mapInArrow(lean(_sketches(SKETCH)), "doc_id long, text_hash long, n long, digest binary, sketch binary"))
     firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m"))
     # classes are numbered, not named by a doc_id: one doc_id may have several texts
     classes = stage(firsts.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("m.doc_id").alias("low"), F.col("m.n").alias("n"), F.col("m.sketch").alias("sketch")))
-    postings = classes.select("rep", "n", "sketch").mapInArrow(_keys(percent), "key long, rep long")
+    postings = classes.select("rep", "n", "sketch").mapInArrow(lean(_keys(percent)), "key long, rep long")
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g")).filter("size > 1")
     # lists with the same members (by size, smallest one and 128 bits of their hashes) are worked off once
     lists = lists.groupBy("size", "pivot", "h", "g").agg(F.min("key").alias("key")).select("key", "size", "pivot")
@@ -250,7 +256,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         left = left.select("key", "rep", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = stage(left.mapInArrow(_pairs(percent, best), "a long, b long").distinct())
+        pairs = stage(left.mapInArrow(lean(_pairs(percent, best)), "a long, b long").distinct())
         release(told)
         if pairs.isEmpty():
             break

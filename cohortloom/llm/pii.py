@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import release, ship, stage
+from cohortloom.session import lean, release, ship, stage
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -189,7 +189,7 @@ def _bloom(batches):
 
 def bloom(terms: DataFrame) -> np.ndarray:
     """The filter of a column of term hashes: 4 MB however many there are (a full one lets everything through)."""
-    rows = terms.mapInArrow(_bloom, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = terms.mapInArrow(lean(_bloom), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros((1 << BLOOM_BITS) // 64, dtype=np.int64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return words.view(np.uint8)
@@ -225,12 +225,12 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("text")
-    seen = texts.mapInArrow(_contexts, "e long, t long, c long").groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n"))
+    seen = texts.mapInArrow(lean(_contexts), "e long, t long, c long").groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n"))
     enough = F.when(F.col("e").isin(*KIND_CLASS.values()), KIND_SUPPORT).otherwise(SUPPORT)
     counted = stage(seen.groupBy("e", "t").agg(F.sum("n").alias("co"), F.count(F.lit(1)).alias("support")).filter(F.col("t").isNull() | (F.col("support") >= enough)))
     pairs, entities = counted.filter("t IS NOT NULL"), counted.filter("t IS NULL").select("e", F.col("co").alias("de"))
     shared = spark.sparkContext.broadcast(bloom(pairs.select("t")))
-    df = texts.mapInArrow(_frequency(shared), "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
+    df = texts.mapInArrow(lean(_frequency(shared)), "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
     prior = PRIOR * F.col("de") / F.lit(float(max(docs.count(), 1)))
     told = pairs.join(df, "t").join(entities, "e").withColumn("p", F.least((F.col("co") + prior) / (F.col("df") + PRIOR), F.lit(1.0)))
     told = told.withColumn("bits", F.log2(F.col("p") * PRIOR / prior))
@@ -308,7 +308,7 @@ def with_terms(docs: DataFrame) -> tuple[DataFrame, object]:
     out = docs.withColumn("__terms", F.lit(None).cast(TERMS))
     *first, last = slices(revealing_terms(docs))
     for part in first:
-        out = out.mapInArrow(_marked(part), out.schema)
+        out = out.mapInArrow(lean(_marked(part)), out.schema)
     return out, last
 
 
@@ -339,7 +339,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     counts = [f"n_{k}" for k in KINDS]
     names = ["doc_id", *counts, "base_sha256", "spans", "n_secret", "n_term", "n_private"]
-    return marked.mapInArrow(run, ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in names))
+    return marked.mapInArrow(lean(run), ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in names))
 
 
 def sanitised(text: str, found: list, terms: list) -> str:
@@ -364,7 +364,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out = batch.select(columns)
             yield out.set_column(columns.index("text"), out.schema.field("text"), pa.array(texts, out.schema.field("text").type))
 
-    out = marked.mapInArrow(run, schema)
+    out = marked.mapInArrow(lean(run), schema)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

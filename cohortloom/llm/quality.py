@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.training import labelled, logistic, remainder, sigmoid
-from cohortloom.session import ship, stage
+from cohortloom.session import lean, ship, stage
 
 BLOCK = 512
 LEVEL = 6
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             for ids, n, g, b, batch in measured(batches):
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(n), pa.array(g), pa.array(b)], ["y", "n", "g", "b"])
 
-        got = np.array(sample.filter(part == 0).mapInArrow(run, "y int, n double, g double, b double").collect(), dtype=float).reshape(-1, 4)
+        got = np.array(sample.filter(part == 0).mapInArrow(lean(run), "y int, n double, g double, b double").collect(), dtype=float).reshape(-1, 4)
         got = got[got[:, 1] > 0]
         y = got[:, 0]
         if 0 < y.sum() < len(y):
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for ids, n, g, b, batch in _measured(model)(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(model.scores(n, g, b))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -154,7 +154,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
         for _, n, g, b, batch in _measured(model)(batches):
             yield batch.filter(pa.array(model.scores(n, g, b) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.session import ship
+from cohortloom.session import lean, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -362,7 +362,7 @@ def segment(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, seed: int = S
                     rows, size = [], 0
             yield _rows(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sample int, ids array<int>, log_prob double, log_inclusion double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, sample int, ids array<int>, log_prob double, log_inclusion double")
 
 
 def _rows(rows):
@@ -386,7 +386,7 @@ def decode(segmented: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if x is None else shared.value.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return segmented.mapInArrow(run, columns).withColumnRenamed("ids", "text")
+    return segmented.mapInArrow(lean(run), columns).withColumnRenamed("ids", "text")
 
 
 def op8_segment(spark: SparkSession, sf_dir: str, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
@@ -408,4 +408,4 @@ def op8_segment(spark: SparkSession, sf_dir: str, k: int = SAMPLES, model: str =
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], ["doc_id", "sample", "n_pieces", "ids_sha256", "log_prob", "log_inclusion", "round_trip"])
 
-    return docs.mapInArrow(run, "doc_id long, sample int, n_pieces long, ids_sha256 string, log_prob double, log_inclusion double, round_trip boolean")
+    return docs.mapInArrow(lean(run), "doc_id long, sample int, n_pieces long, ids_sha256 string, log_prob double, log_inclusion double, round_trip boolean")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.training import labelled, remainder, sigmoid
-from cohortloom.session import ship
+from cohortloom.session import lean, ship
 
 GRAMS = (4, 7)
 BITS = 20
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = [lowered(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(texts))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def locate(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
@@ -187,7 +187,7 @@ def locate(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
                         out.append((ids[first + d], int(start), text[start : min(ends, default=len(text))].strip(), p))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["doc_id", "start", "sentence", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, sentence string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, start long, sentence string, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
