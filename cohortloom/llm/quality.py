@@ -2,14 +2,15 @@
 
 Two Zstandard dictionaries are built from pieces of good and of bad labelled texts.  A text is cut into blocks of BLOCK
 bytes, each block is compressed with either dictionary, and the sizes are summed over the whole text.  The difference
-(bad - good), normalised by the text's bytes, is the only input of a logistic calibration fitted on labelled rows the
-dictionaries haven't seen.  (Normalised by the compressed sizes it ranks worse: junk that repeats itself shrinks under any
+(bad - good), normalised by the text's bytes, is the only input of an isotonic calibration fitted on labelled rows the
+dictionaries haven't seen: shares of good rows that never fall as the difference grows, joined by straight lines.  (Normalised by the compressed sizes it ranks worse: junk that repeats itself shrinks under any
 dictionary, and what little is left of it weighs as much as a text.)
 
-Bounds of the fit, all parameters: a sample of about ROWS labelled rows; three quarters of it are for the dictionaries, which
-take one piece of PIECE characters, whole, from each text in hash order until ROOM bytes are full (some 500 texts a label);
-one quarter is for the calibration.  The driver gets those pieces and three numbers for each calibration row.  Scoring is
-one pass over whole texts without a shuffle.
+Bounds of the fit, all parameters: a sample of about ROWS labelled rows.  The dictionaries take one piece of PIECE characters,
+whole, from each of its texts in hash order until ROOM bytes are full (some 500 texts a label), both of them equally
+long, so that neither shortens texts just by holding more.  For the calibration the sample is cut in FOLDS, and each part
+is measured by dictionaries made of the other ones.  The driver gets those pieces and four numbers for each row of the
+sample.  Scoring is one pass over whole texts without a shuffle.
 
 Odd rows: a null or empty text has sizes 0 and gets the share of good rows as its score; a null doc_id is never held out or
 learnt from; repeated rows score alike; an empty table gives an empty result; with one class of labels or none the score
@@ -24,14 +25,15 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.training import labelled, logistic, remainder, sigmoid
+from cohortloom.llm.training import labelled, remainder
 from cohortloom.session import lean, ship, stage
 
-BLOCK = 512
-LEVEL = 6
+BLOCK = 256
+LEVEL = 9
 ROOM = 112 << 10  # bytes of a dictionary
 PIECE = 200  # characters that a dictionary takes of a text
 ROWS = 8000  # labelled rows of the fit
+FOLDS = 4
 CUT = 0.3
 
 
@@ -63,8 +65,7 @@ class Model:
     def scores(self, n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.fit is None:
             return np.full(len(n), self.prior)
-        slope, intercept = self.fit
-        return np.where(n > 0, sigmoid(slope * difference(n, g, b) + intercept), self.prior)
+        return np.where(n > 0, np.interp(difference(n, g, b), *self.fit), self.prior)
 
 
 def difference(n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,6 +73,18 @@ def difference(n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b - g) / np.maximum(n, 1)
 
 
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: the weighted mean x and the share of y of each pool, both growing."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # weight, weight * x, weight * y
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([w, w * a, w * b])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    return np.array([p[1] / p[0] for p in pools]), np.array([p[2] / p[0] for p in pools])
+
+
 def _measured(model: Model):
     def run(batches):
         for batch in batches:
@@ -87,9 +100,9 @@ def _measured(model: Model):
     return run
 
 
-def built(pieces) -> bytes:
+def built(pieces, room: int = ROOM) -> bytes:
     """A dictionary's content: whole pieces, in order, as long as they fit."""
-    out, room = [], ROOM
+    out = []
     for x in pieces:
         x = x.encode("utf-8", "surrogatepass") + b"\n"
         if len(x) > room:
@@ -99,33 +112,48 @@ def built(pieces) -> bytes:
     return b"".join(out)
 
 
+def contents(pieces: list[tuple[int, str]]) -> list[bytes]:
+    """The dictionaries of good and of bad pieces (label, piece), equally long up to one piece."""
+    found = [[x for label, x in pieces if label == y] for y in (1, 0)]
+    room = min(ROOM, *(len(built(x)) for x in found))
+    return [built(x, room) for x in found]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """Fit on rows whose crc32(doc_id) mod 5 isn't 0: three quarters make the dictionaries, one quarter the calibration."""
-    sample = stage(labelled(docs, labels, "quality", max_rows=rows))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4))
+    """Fit on rows whose crc32(doc_id) mod 5 isn't 0: dictionaries of all pieces, a calibration from folds."""
+    spark = docs.sparkSession
+    ship(spark)
+    sample = stage(labelled(docs, labels, "quality", max_rows=rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int")))
     at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1) + 1
     counts = dict(sample.groupBy("y").count().collect())
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    pieces = sample.filter((part != 0) & (F.length("text") > 0)).select("y", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("x"), F.xxhash64("doc_id").alias("h"))
-    content = [built(p.x for p in pieces.filter(F.col("y") == y).orderBy("h", "x").limit(rows).collect()) for y in (1, 0)]
-    model = Model(*content, prior)
-    if all(len(c) >= 8 for c in content) and all(counts.get(y) for y in (0, 1)):
-        measured = _measured(model)
+    found = sample.filter(F.length("text") > 0).select("y", "fold", F.substring("text", at.cast("int"), F.lit(PIECE)).alias("x"), F.xxhash64("doc_id").alias("h")).orderBy("h", "x").collect()
+    model = Model(*contents([(p.y, p.x) for p in found]), prior)
+    parts = [Model(*contents([(p.y, p.x) for p in found if p.fold != k]), prior) for k in range(FOLDS)]
+    if all(len(c) >= 8 for m in (model, *parts) for c in (m.good, m.bad)) and all(counts.get(y) for y in (0, 1)):
+        shared = spark.sparkContext.broadcast(parts)
 
         def run(batches):
-            for ids, n, g, b, batch in measured(batches):
-                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(n), pa.array(g), pa.array(b)], ["y", "n", "g", "b"])
-
-        got = np.array(sample.filter(part == 0).mapInArrow(lean(run), "y int, n double, g double, b double").collect(), dtype=float).reshape(-1, 4)
-        got = got[got[:, 1] > 0]
+            models = shared.value
+            for batch in batches:
+                y, n, g, b = [], [], [], []
+                for label, fold, text in zip(*(batch.column(c).to_pylist() for c in ("y", "fold", "text"))):
+                    if x := (text or "").encode("utf-8", "surrogatepass"):
+                        good, bad = models[fold].sizes(x)
+                        y.append(label)
+                        n.append(float(len(x)))
+                        g.append(float(good))
+                        b.append(float(bad))
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), *(pa.array(v, pa.float64()) for v in (n, g, b))], ["y", "n", "g", "b"])
+
+        got = np.array(sample.mapInArrow(lean(run), "y int, n double, g double, b double").collect(), dtype=float).reshape(-1, 4)
         y = got[:, 0]
         if 0 < y.sum() < len(y):
             # the sample has equal room for both labels: weigh it back to their shares among all labels
             share = dict(labels.filter(F.col("quality").isin(0, 1) & (remainder("doc_id", 5) != 0)).groupBy(F.col("quality").cast("int").alias("y")).count().collect())
             model.prior = share[1] / (share[0] + share[1])
             weight = np.where(y == 1, model.prior / y.mean(), (1 - model.prior) / (1 - y.mean()))
-            mean, scale, w = logistic(difference(*got[:, 1:].T)[:, None], y, weight)
-            model.fit = float(w[0] / scale[0]), float(w[1] - w[0] * mean[0] / scale[0])
+            model.fit = isotonic(difference(*got[:, 1:].T), y, weight)
     return model
 
 

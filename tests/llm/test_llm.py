@@ -354,12 +354,28 @@ def test_quality_scores_against_plain_compression(spark, words):
     docs, labels = labelled_corpus(spark, words)
     model = quality.train(docs, labels)
     coder = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for c in (model.good, model.bad)]
-    slope, intercept = model.fit
+    at, share = model.fit
     for r in docs.join(quality.score(docs, model), "doc_id").limit(60).collect():
         x = r.text.encode()
         g, b = (sum(len(c.compress(x[i : i + quality.BLOCK])) for i in range(0, len(x), quality.BLOCK)) for c in coder)
-        assert r.score == pytest.approx(1 / (1 + math.exp(-(slope * (b - g) / len(x) + intercept))), abs=1e-12)
-    assert slope > 0 and quality.built(["a" * 100] * 5000).count(b"\n") == quality.ROOM // 101 and quality.built([]) == b""
+        d = (b - g) / len(x)
+        k = sum(v <= d for v in at)
+        want = share[0] if k == 0 else share[-1] if k == len(at) else share[k - 1] + (share[k] - share[k - 1]) * (d - at[k - 1]) / (at[k] - at[k - 1])
+        assert r.score == pytest.approx(want, abs=1e-12)
+    assert (np.diff(at) > 0).all() and (np.diff(share) > 0).all() and len(model.good) == pytest.approx(len(model.bad), rel=0.02)
+    assert quality.built(["a" * 100] * 5000).count(b"\n") == quality.ROOM // 101 and quality.built([]) == b""
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=12).round(1)
+    y, w = (rng.random(12) < 0.5).astype(float), rng.random(12) + 0.1
+    at, share = quality.isotonic(x, y, w)
+    order = np.argsort(x, kind="stable")
+    # the fitted share of each row is the largest, over starts, of the smallest mean over ends
+    mean = lambda i, j: (w[order][i:j] * y[order][i:j]).sum() / w[order][i:j].sum()
+    fit = [max(min(mean(i, j) for j in range(k + 1, 13)) for i in range(k + 1)) for k in range(12)]
+    assert sorted({round(float(v), 9) for v in fit}) == [round(float(v), 9) for v in share] and (np.diff(at) > 0).all()
 
 
 def test_language_held_out(spark):
