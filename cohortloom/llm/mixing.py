@@ -3,8 +3,9 @@
 Every document of a source is wanted r = target / size of the source times: floor(r) whole copies, and one more with
 probability p = r - floor(r).  Which documents get the extra copy is decided by the cube method: the vector of
 probabilities moves at random inside the null space of the balancing constraints (number of documents, number of words)
-until all but a few entries are 0 or 1, so both totals of every source stay what they were.  The few units left are
-landed by the subset whose word total is nearest.
+until all but a few entries are 0 or 1, so both totals of every source stay what they were.  The few units left, and HELD
+units of all sizes that are kept out of a source's last flight, are landed by the subset whose word total is nearest:
+a source's total is met closely, but those few units (at most HELD + 2 a source) don't keep their probability.
 
 Distribution: rows are dealt to blocks of about BLOCK units inside each source, so a hot source is many tasks; a block
 leaves at most FEW undecided units, which meet in the next, 128 times smaller level until a source is one block.  Only

@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or, trained from document labels alone.
 
 A text is lower-cased and cut into sentences at . ! ? and line breaks.  A sentence's features are the hashed runs of 4 and of
-7 characters that lie inside it; its score is sigmoid(bias + sum of the weights of its features), and a document's score is
-1 - prod(1 - sentence score).  The gradient of the document likelihood flows back to the sentences, so weights come from
+7 characters that lie inside it; its score is sigmoid(bias + sum of the weights of its features), or 0 if it has no feature that
+was kept, so that length alone adds nothing; a document's score is 1 - prod(1 - sentence score).  The bias is fixed: BASE,
+and 3 more while learning, where gradients would else vanish; the weights are scaled by the ratio of the two.  The gradient of the document likelihood flows back to the sentences, so weights come from
 document labels, and the sentences that carry a document's score are the offending ones (`locate`).  Weights are not
 negative: a harmless sentence can't excuse another one.
 
@@ -149,7 +150,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHA
         g = np.bincount(feat, (p * pull[bag])[sent], minlength=len(kept)) - 0.02 * w - 0.02
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = np.maximum(w + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8), 0)
-    z = BASE + 3 + np.bincount(sent, w[feat], minlength=base)
     w[w < 0.05] = 0
     model.weight[kept] = w * (abs(BASE) / abs(BASE + 3))  # the same sentences stay above 1/2
     return model
