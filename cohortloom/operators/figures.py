@@ -63,3 +63,35 @@ def display_decimals(df: DataFrame, columns: list[str]) -> dict[str, int]:
 
     r = df.agg(*[v for c in columns for v in (F.count_if(F.col(c) != F.floor(c)), F.min(F.when(F.col(c) != 0, F.abs(c))))]).first()
     return {c: 0 if not r[2 * i] else min(4, max(2, math.ceil(-math.log10(r[2 * i + 1])))) for i, c in enumerate(columns)}
+
+
+def smd_forest(df: DataFrame, columns: list[str], threshold: float = 0.1) -> DataFrame:
+    """column, smd, over: standardised differences of train and test, largest first."""
+    from cohortloom.operators.prepare import balance
+
+    return balance(df, columns).withColumn("over", F.abs("smd") >= threshold).orderBy(F.desc(F.abs("smd")), "column")
+
+
+def outcome_relations(df: DataFrame, y: str, column: str, classes: int = 3, bins: int = 25) -> DataFrame:
+    """What shows a column against the outcome: histograms by class (g, bin, low, high, n), or running medians (bin, x, y, n)
+    of an outcome of more than `classes` values."""
+    few = df.select(y).filter(F.col(y).isNotNull()).distinct().limit(classes + 1).count() <= classes
+    return histogram(df.filter(F.col(y).isNotNull()), column, bins, y) if few else running_median(df, column, y)
+
+
+def achievement_bars(df: DataFrame, by: str | None = None) -> DataFrame:
+    """item, level, n, rate of dictionary targets, overall and by group, without the counts on the limits."""
+    from cohortloom.operators.compare import achievement
+
+    return achievement(df, by).select("item", "level", "n", "rate")
+
+
+# fixed values: colours that differ for most eyes, in order of use
+COLOURS = ["#0072B2", "#E69F00", "#009E73", "#CC79A7", "#56B4E9", "#D55E00", "#F0E442", "#999999"]
+
+
+def colours(levels: list[str]) -> dict[str, str]:
+    """A colour for each level, the same in all figures; more than eight levels are refused rather than given one twice."""
+    if len(levels) > len(COLOURS):
+        raise ValueError(f"over {len(COLOURS)} levels: fold the rarer ones")
+    return dict(zip(levels, COLOURS))

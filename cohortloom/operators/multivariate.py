@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
 from cohortloom.operators.compare import categorical_test, mann_whitney
-from cohortloom.operators.places import quantiles_of, value_at
+from cohortloom.operators.places import quantiles, quantiles_of, value_at
+from cohortloom.session import stage
 
 
 def covariance(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -36,6 +37,74 @@ def mahalanobis(df: DataFrame, columns: list[str], alpha: float = 0.001) -> Data
     return df.withColumn("d2", d2).withColumn("d2__outlier", (F.col("d2") > cut).cast("int"))
 
 
+def isolation_forest(df: DataFrame, columns: list[str], row: str, contamination: float = 0.02, trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
+    """row, score, outlier of complete rows: how early random cuts isolate a row; the highest `contamination` are outliers.
+
+    Each tree is grown on the driver from a bounded sample, dealt by a hash of the row; a score is a plain expression, so all
+    rows are scored on the JVM without a shuffle.  Fewer than 20 rows give no rows.
+    """
+    rows = df.select(F.col(f"`{row}`").alias(row), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
+    n = rows.count()
+    if n < 20:
+        return rows.limit(0).select(row, F.lit(0.0).alias("score"), F.lit(0).alias("outlier"))
+    take = rows.withColumn("__h", F.pmod(F.xxhash64(F.lit(seed), row), F.lit(1 << 30))).filter(F.col("__h") < (1 << 30) * min(1.0, 1.2 * trees * sample / n))
+    points = np.array([r[1:-1] for r in take.orderBy("__h").limit(trees * sample).collect()], dtype=float)
+    rng = np.random.default_rng(seed)
+    size = min(sample, len(points))
+    deepest = int(np.ceil(np.log2(max(size, 2))))
+    usual = lambda m: 0.0 if m < 2 else 1.0 if m == 2 else 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+
+    def grown(x: np.ndarray, depth: int):
+        if depth >= deepest or len(x) < 2 or not (np.ptp(x, axis=0) > 0).any():
+            return depth + usual(len(x))
+        j = int(rng.choice(np.flatnonzero(np.ptp(x, axis=0) > 0)))
+        cut = float(rng.uniform(x[:, j].min(), x[:, j].max()))
+        left = x[:, j] < cut
+        return j, cut, grown(x[left], depth + 1), grown(x[~left], depth + 1)
+
+    forest = [grown(points[rng.choice(len(points), size, replace=False)], 0) for _ in range(trees)]
+
+    def flat(tree) -> tuple[list, list, list, list, list]:
+        """A tree as arrays: cut column (-1 in a leaf), cut, places of both sides, length."""
+        column, cut, left, right, length = [], [], [], [], []
+
+        def put(t) -> int:
+            at = len(column)
+            for a, v in ((column, -1), (cut, 0.0), (left, 0), (right, 0), (length, 0.0)):
+                a.append(v)
+            if isinstance(t, tuple):
+                column[at], cut[at] = t[0], t[1]
+                left[at], right[at] = put(t[2]), put(t[3])
+            else:
+                length[at] = float(t)
+            return at
+
+        put(tree)
+        return column, cut, left, right, length
+
+    arrays = [tuple(np.array(a) for a in flat(t)) for t in forest]
+    shared = df.sparkSession.sparkContext.broadcast(arrays)
+    typical, k = usual(size), len(columns)
+
+    def scored(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(k)]) if len(batch) else np.zeros((0, k))
+            total = np.zeros(len(x))
+            for column, cut, left, right, length in shared.value:
+                at = np.zeros(len(x), dtype=int)
+                while (go := np.flatnonzero(column[at] >= 0)).size:
+                    p = at[go]
+                    at[go] = np.where(x[go, column[p]] < cut[p], left[p], right[p])
+                total += length[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(2.0 ** (-total / len(shared.value) / typical))], [row, "score"])
+
+    out = stage(rows.mapInArrow(scored, f"`{row}` {dict(df.dtypes)[row]}, score double"))
+    found = quantiles(out, "score", [1 - contamination]).first()
+    return out.withColumn("outlier", (F.col("score") > F.lit(found.q[0])).cast("int"))
+
+
 def principal_components(df: DataFrame, columns: list[str], most: int = 10) -> dict:
     """Components of the correlation matrix after median imputation: explained shares and loadings."""
     at = quantiles_of(df, {c: F.col(f"`{c}`") for c in columns}, [0.5])

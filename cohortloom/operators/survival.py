@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
-from cohortloom.operators.places import quantiles
+from cohortloom.operators.places import quantiles, quantiles_of, value_at
 from cohortloom.session import release, stage
 
 UNIT_DAYS = {"days": 1.0, "weeks": 7.0, "months": 30.4375, "years": 365.25}
@@ -201,23 +201,89 @@ def logrank_trend(df: DataFrame, duration: str, event: str, by: str, scores: dic
     return {"chi2": u * u / v if v and v > 0 else None, "p": dist.chi2_sf(u * u / v, 1) if v and v > 0 else None}
 
 
-def cox(df: DataFrame, duration: str, event: str, covariates: list[str], penalizer: float = 0.0, rounds: int = 25) -> dict:
+MOST_LEVELS = 10  # of a covariate that becomes dummies
+
+
+def impute(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[dict]]:
+    """df with missing covariates filled: the median of numbers of over two values, else the most frequent value (ties by value).
+
+    Columns without a missing value, or with nothing else, stay as they are.
+    """
+    kinds = dict(df.dtypes)
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")) for c in columns]).first()
+    holes = [c for c, n in zip(columns, counts[1:]) if 0 < n < counts[0]]
+    many = {c for c in holes if kinds[c] not in ("string", "boolean") and df.filter(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`")).distinct().limit(3).count() > 2}
+    at = quantiles_of(df, {c: F.col(f"`{c}`") for c in holes if c in many}, [0.5])
+    out, told = {}, []
+    for c in holes:
+        x = F.col(f"`{c}`")
+        if c in many:
+            value, method = value_at(at[c][1][0]), "median"
+        else:
+            value, method = df.filter(x.isNotNull()).groupBy(x.alias("v")).count().orderBy(F.desc("count"), "v").first().v, "most frequent"
+        out[c] = F.coalesce(x.cast("double") if c in many else x, F.lit(value))
+        told.append({"column": c, "method": method, "value": str(value), "missing": counts[0] - counts[1 + columns.index(c)]})
+    return df.withColumns(out), told
+
+
+def design(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str], dict[str, str], list[str]]:
+    """(df with numeric covariates, their names, reference level of each category, what was left out and why).
+
+    A category becomes dummies against its most frequent level (ties by name); missing stays missing.  Left out are columns
+    that aren't there, with one value, without spread, or of over MOST_LEVELS levels.
+    """
+    kinds, names, reference, dropped, out = dict(df.dtypes), [], {}, [], {}
+    for c in columns:
+        x = F.col(f"`{c}`")
+        if c not in kinds:
+            dropped.append(f"{c}: no such column")
+        elif kinds[c] in ("string", "boolean"):
+            levels = df.filter(x.isNotNull()).groupBy(x.cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(MOST_LEVELS + 1).collect()
+            if len(levels) < 2 or len(levels) > MOST_LEVELS:
+                dropped.append(f"{c}: {'one value' if len(levels) < 2 else f'over {MOST_LEVELS} levels'}")
+                continue
+            reference[c] = levels[0].v
+            for v in sorted(r.v for r in levels[1:]):
+                out[f"{c}={v}"] = (x.cast("string") == v).cast("double")
+                names.append(f"{c}={v}")
+        else:
+            low, high = df.agg(F.min(x.cast("double")), F.max(x.cast("double"))).first()
+            if low is None or low == high:
+                dropped.append(f"{c}: one value")
+            else:
+                names.append(c)
+    return df.withColumns(out), names, reference, dropped
+
+
+def _risk_sets(rows: DataFrame, beta: np.ndarray) -> tuple[DataFrame, dict[str, Column]]:
+    """One row for each tied death of each time (l = 0, 1, ...), and the Efron sums of its risk set as columns."""
+    k = len(beta)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r = F.exp(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
+    term = {"s0": r} | {f"s1_{i}": r * F.col(f"x{i}") for i in range(k)} | {f"s2_{i}_{j}": r * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}
+    died = F.col("e") == 1
+    by_t = rows.groupBy("s", "t").agg(F.sum("e").alias("d"), *[F.sum(v).alias(c) for c, v in term.items()], *[F.coalesce(F.sum(F.when(died, v)), F.lit(0.0)).alias(f"e_{c}") for c, v in term.items()], *[F.coalesce(F.sum(F.when(died, F.col(f"x{i}"))), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
+    w = W.partitionBy("s").orderBy(F.desc("t"))  # over distinct times of a stratum
+    risk = by_t.select("s", "t", "d", *[F.sum(c).over(w).alias(c) for c in term], *[f"e_{c}" for c in term], *[f"z{i}" for i in range(k)]).filter("d > 0")
+    tied = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
+    return tied, {c: F.col(c) - F.col("l") / F.col("d") * F.col(f"e_{c}") for c in term}
+
+
+def _covariates(df: DataFrame, duration: str, event: str, covariates: list[str], strata: str | None) -> tuple[DataFrame, int, int]:
+    """Complete rows as s, t, e, x0 ... with centred covariates; their number and that of their events."""
+    s = F.col(f"`{strata}`").cast("string") if strata else F.lit("all")
+    rows = df.select(s.alias("s"), F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]).dropna()
+    n, events, *means = rows.agg(F.count(F.lit(1)), F.sum("e"), *[F.avg(f"x{i}") for i in range(len(covariates))]).first()
+    return rows.select("s", "t", "e", *[(F.col(f"x{i}") - F.lit(m)).alias(f"x{i}") for i, m in enumerate(means)]), n, events or 0
+
+
+def cox(df: DataFrame, duration: str, event: str, covariates: list[str], penalizer: float = 0.0, rounds: int = 25, strata: str | None = None) -> dict:
     """Efron partial likelihood by Newton steps; each step is one distributed aggregate by time and one over the event table."""
     k = len(covariates)
-    rows = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]).dropna()
-    n, events, *means = rows.agg(F.count(F.lit(1)), F.sum("e"), *[F.avg(f"x{i}") for i in range(k)]).first()
-    rows = rows.select("t", "e", *[(F.col(f"x{i}") - F.lit(m)).alias(f"x{i}") for i, m in enumerate(means)])
+    rows, n, events = _covariates(df, duration, event, covariates, strata)
     beta, pairs, loglik = np.zeros(k), [(i, j) for i in range(k) for j in range(i, k)], -math.inf
     for _ in range(rounds):
-        r = F.exp(sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
-        term = {"s0": r} | {f"s1_{i}": r * F.col(f"x{i}") for i in range(k)} | {f"s2_{i}_{j}": r * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}
-        died = F.col("e") == 1
-        by_t = rows.groupBy("t").agg(F.sum("e").alias("d"), *[F.sum(v).alias(c) for c, v in term.items()], *[F.coalesce(F.sum(F.when(died, v)), F.lit(0.0)).alias(f"e_{c}") for c, v in term.items()], *[F.coalesce(F.sum(F.when(died, F.col(f"x{i}"))), F.lit(0.0)).alias(f"z{i}") for i in range(k)])
-        w = W.orderBy(F.desc("t"))  # over distinct times
-        risk = by_t.select("t", "d", *[F.sum(c).over(w).alias(c) for c in term], *[f"e_{c}" for c in term], *[f"z{i}" for i in range(k)]).filter("d > 0")
-        tied = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
-        share = F.col("l") / F.col("d")
-        a = {c: F.col(c) - share * F.col(f"e_{c}") for c in term}
+        tied, a = _risk_sets(rows, beta)
         score = [F.sum(F.when(F.col("l") == 0, F.col(f"z{i}")).otherwise(0.0) - a[f"s1_{i}"] / a["s0"]) for i in range(k)]
         info = [F.sum(a[f"s2_{i}_{j}"] / a["s0"] - a[f"s1_{i}"] / a["s0"] * a[f"s1_{j}"] / a["s0"]) for i, j in pairs]
         eta = sum((F.col(f"z{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
@@ -232,9 +298,49 @@ def cox(df: DataFrame, duration: str, event: str, covariates: list[str], penaliz
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    se = np.sqrt(np.diag(np.linalg.inv(h)))
+    cov = np.linalg.inv(h)
+    se = np.sqrt(np.diag(cov))
     table = [{"covariate": c, "coef": b, "hr": math.exp(b), "se": s, "p": dist.two_sided(b / s), "low": math.exp(b - 1.959963985 * s), "high": math.exp(b + 1.959963985 * s)} for c, b, s in zip(covariates, beta.tolist(), se.tolist())]
-    return {"n": n, "events": events, "loglik": loglik, "score": float(np.abs(u).max()), "table": table, "few_events": events < 10 * k}
+    return {"n": n, "events": events, "loglik": loglik, "score": float(np.abs(u).max()), "table": table, "few_events": events < 10 * k, "beta": beta.tolist(), "cov": cov.tolist()}
+
+
+def check_ph(df: DataFrame, duration: str, event: str, covariates: list[str], fit: dict, strata: str | None = None) -> list[dict]:
+    """covariate, chi2, p, violated: scaled Schoenfeld residuals against the rank of time, one degree of freedom each.
+
+    Residuals of tied deaths are summed and share their average rank, so one row for each distinct time suffices.
+    """
+    k, beta, cov = len(covariates), np.array(fit["beta"]), np.array(fit["cov"])
+    rows, _, _ = _covariates(df, duration, event, covariates, strata)
+    tied, a = _risk_sets(rows, beta)
+    left = [(F.sum(F.when(F.col("l") == 0, F.col(f"z{i}")).otherwise(0.0) - a[f"s1_{i}"] / a["s0"])).alias(f"u{i}") for i in range(k)]
+    times = tied.groupBy("t").agg(F.count(F.lit(1)).alias("d"), *left)
+    times = times.withColumn("g", F.sum("d").over(W.orderBy("t")) - (F.col("d") - 1) / 2)  # over distinct times
+    n, mean, square, *gu = times.agg(F.sum("d"), F.sum(F.col("d") * F.col("g")) / F.sum("d"), F.sum(F.col("d") * F.col("g") * F.col("g")), *[F.sum(F.col("g") * F.col(f"u{i}")) for i in range(k)], *[F.sum(f"u{i}") for i in range(k)]).first()
+    u = np.array(gu[:k]) - mean * np.array(gu[k:])
+    spread = square - n * mean * mean
+    out = []
+    for i, c in enumerate(covariates):
+        chi2 = float(n * (cov[i] @ u) ** 2 / (cov[i, i] * spread)) if spread > 0 else 0.0
+        p = dist.chi2_sf(chi2, 1)
+        out.append({"covariate": c, "chi2": chi2, "p": p, "violated": p < 0.05})
+    return out
+
+
+def cox_model(df: DataFrame, duration: str, event: str, columns: list[str], strata: str | None = None, screen_p: float | None = 0.1, penalizer: float = 0.0, fill: bool = True) -> dict:
+    """Fill, make dummies, keep covariates whose own model has p < screen_p (all if none has), fit the rest together.
+
+    Says what was filled, left out and screened, how many rows and events complete cases lost, and checks hazards.
+    """
+    known = df.filter(F.col(duration).isNotNull() & F.col(event).isNotNull())
+    filled, told = impute(known, [c for c in columns if c in df.columns]) if fill else (known, [])
+    wide, names, reference, dropped = design(filled, columns)
+    alone = {c: cox(wide, duration, event, [c], penalizer, strata=strata)["table"][0]["p"] for c in names} if screen_p is not None and len(names) > 1 else {}
+    kept = [c for c in names if alone.get(c, 0.0) < screen_p] or names if alone else names
+    if not kept:
+        return {"table": [], "reference": reference, "dropped": dropped, "imputed": told}
+    fit = cox(wide, duration, event, kept, penalizer, strata=strata)
+    n, events = known.agg(F.count(F.lit(1)), F.sum(F.col(event).cast("long"))).first()
+    return fit | {"reference": reference, "dropped": dropped, "imputed": told, "screened": alone, "lost_rows": n - fit["n"], "lost_events": events - fit["events"], "wide": [r["covariate"] for r in fit["table"] if r["high"] / r["low"] > 100], "ph": check_ph(wide, duration, event, kept, fit, strata)}
 
 
 def binary_at(duration: Column, event: Column, tau: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.operators import audit, clean, compare, roles
-from cohortloom.plans import dictionary, orchestrate
+from cohortloom.plans import dictionary, labels, orchestrate
 from cohortloom.plans.catalog import query, rounded
 from cohortloom.plans.catalog_groups import table
 from cohortloom.sources import reader, sheets
@@ -245,3 +245,64 @@ def _run(read):
     got = orchestrate.run(df, "y")
     both = got.books["train"].unionByName(got.books["test"])
     return both.agg(F.count(F.lit(1)).alias("with_outcome"), F.lit(df.count()).alias("n"), F.lit(sum(x["found"] for x in got.leaks)).cast("long").alias("leaks"))
+
+
+# ---- names and texts ---------------------------------------------------------------------------------------------------
+
+_ENGLISH = [("透析前BUN", "Pre-dialysis blood urea nitrogen", "透析前BUN [mg/dL]（透析前）"), ("年齢", "Age", "年齢 [歳]"), ("謎の列", "謎の列", "謎の列"), ("GNRI", "Geriatric nutritional risk index", "GNRI")]
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """Rows as SQL values."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+
+
+@query("english_columns", values(_ENGLISH, 'name, english, label'))
+def _english(read):
+    return table(read, [{"name": n, "english": labels.column_en(n), "label": labels.label(n)} for n, _, _ in _ENGLISH], "name string, english string, label string")
+
+
+_LEVELS = [("A院", "Hospital A"), ("男", "Male"), ("なし", "No"), ("京都病院", "京都病院"), ("Ｂクリニック", "Clinic B")]
+
+
+@query("english_levels", values(_LEVELS, "level, english"))
+def _english_levels(read):
+    return table(read, [{"level": v, "english": labels.level_en(v)} for v, _ in _LEVELS], "level string, english string")
+
+
+@query("binary_names", values([("性別", "男性"), ("糖尿病", "糖尿病"), ("転帰", "死亡")], "name, out"))
+def _binary_names(read):
+    return table(read, [{"name": c, "out": labels.binary_name(c, ones)} for c, ones in (("性別", ["男"]), ("糖尿病", ["あり"]), ("転帰", ["死亡"]))], "name string, out string")
+
+
+@query("target_texts", values([("P", "3.5 ≤ P < 5.5"), ("KtV", "1.4 ≤ KtV"), ("iPTH", "iPTH < 240")], "item, text"))
+def _targets(read):
+    return table(read, [{"item": k, "text": labels.target_text(k)} for k in ("P", "KtV", "iPTH")], "item string, text string")
+
+
+@query("text_tables", values([("列     n|年齢   5|P     12",)], "text"))
+def _text_table(read):
+    return table(read, [{"text": labels.text_table([{"列": "年齢", "n": 5}, {"列": "P", "n": 12}]).replace("\n", "|")}], "text string")
+
+
+@query("masked_messages", values([("v: 1 values may be entry errors (e.g. [...]); the farthest has a robust z of 12", 1, 1)], "text, mark, crlf"))
+def _masked(read):
+    said = labels.entry_messages([{"row": 7, "value": 990.0, "z": 12.0}], "v")
+    sent = labels.attention(said)
+    return table(read, [{"text": labels.masked(said[0]), "mark": int(sent.startswith(b"\xef\xbb\xbf")), "crlf": int(sent.endswith(b"\r\n"))}], "text string, mark long, crlf long")
+
+
+@query("resolved_settings", values([("test", "0.25"), ("seed", "3"), ("told", "1")], "name, value"))
+def _settings(read):
+    out, told = orchestrate.resolved({"seed": 3, "old": 1}, {"seed": 5, "test": 0.25})
+    return table(read, [{"name": "test", "value": str(out["test"])}, {"name": "seed", "value": str(out["seed"])}, {"name": "told", "value": str(len(told))}], "name string, value string")
+
+
+@query("synthetic_cohort", "SELECT 600::BIGINT AS n, 33::BIGINT AS columns, true AS swapped, true AS censored")
+def _cohort(read):
+    from cohortloom.sources.cohort import cohort
+
+    df = cohort(read("region").sparkSession)
+    wrong = F.avg(F.when(c("施設") == "D院", (c("透析後BUN").try_cast("double") > c("透析前BUN").try_cast("double")).cast("double")))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.lit(len(df.columns)).cast("long").alias("columns"), (wrong == 1).alias("swapped"), (F.count_if(c("CRP") == "<0.05") > 20).alias("censored"))

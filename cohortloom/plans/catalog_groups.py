@@ -372,3 +372,58 @@ def _reference(read):
 def _overlap(read):
     df = read("orders")
     return table(read, [prepare.row_overlap(df.filter("o_orderkey % 3 = 0"), df.filter("o_orderkey % 2 = 0"), "o_orderkey")], "overlap long, n long")
+
+
+# ---- regression design, forests, outcome -------------------------------------------------------------------------------
+
+
+@query("cox_design", "SELECT 'g=' || g AS covariate, count(*)::BIGINT AS n FROM (" + _SURV + "SELECT g FROM s) x WHERE g <> (SELECT g FROM (" + _SURV + "SELECT g, count(*) AS c FROM s GROUP BY 1 ORDER BY c DESC, g LIMIT 1)) GROUP BY 1")
+def _design(read):
+    df, names, _, _ = survival.design(_surv(read).withColumn("same", F.lit(1.0)), ["g", "same", "gone"])
+    return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("covariate"), F.col(f"`{n}`").alias("x")) for n in names])).alias("v")).groupBy("v.covariate").agg(F.sum("v.x").cast("long").alias("n"))
+
+
+@query("covariate_fill", _HOLES + "SELECT event_id, round(coalesce(value, (SELECT median(value) FROM h)), 6) AS value, coalesce(props, (SELECT props FROM h WHERE props IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, props LIMIT 1)) AS props FROM h")
+def _fill(read):
+    df, _ = survival.impute(_holes(read), ["value", "props"])
+    return rounded(df.select("event_id", "value", "props"))
+
+
+@query("cox_strata_score", "SELECT 0::DOUBLE AS null_score, 1::BIGINT AS covariates")
+def _strata(read):
+    df = _surv(read).withColumn("early", (F.col("o_orderkey") % 2).cast("double"))
+    fit = survival.cox(df, "t", "e", ["early"], strata="g")
+    return table(read, [{"null_score": abs(fit["score"]), "covariates": len(survival.check_ph(df, "t", "e", ["early"], fit, "g"))}], "null_score double, covariates long", 5)
+
+
+@query("smd_forest", "SELECT c AS \"column\", round(s, 6) AS smd, abs(s) >= 0.1 AS \"over\" FROM (SELECT 'l_quantity' AS c, (avg(l_quantity) FILTER (t) - avg(l_quantity) FILTER (NOT t)) / sqrt((var_samp(l_quantity) FILTER (t) + var_samp(l_quantity) FILTER (NOT t)) / 2) AS s FROM (SELECT *, l_linestatus = 'O' AS t FROM lineitem) UNION ALL SELECT 'l_discount', (avg(l_discount) FILTER (t) - avg(l_discount) FILTER (NOT t)) / sqrt((var_samp(l_discount) FILTER (t) + var_samp(l_discount) FILTER (NOT t)) / 2) FROM (SELECT *, l_linestatus = 'O' AS t FROM lineitem))")
+def _forest(read):
+    return rounded(figures.smd_forest(read("lineitem").withColumn("_split", F.when(F.col("l_linestatus") == "O", "train").otherwise("test")), ["l_quantity", "l_discount"]))
+
+
+@query("outcome_histograms", "WITH m AS (SELECT min(l_quantity) AS a, (max(l_quantity) - min(l_quantity)) / 25 AS w FROM lineitem) SELECT l_linestatus AS g, least(floor((l_quantity - a) / w), 24)::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem, m GROUP BY 1, 2")
+def _outcome(read):
+    return figures.outcome_relations(read("lineitem"), "l_linestatus", "l_quantity").select("g", "bin", "n")
+
+
+@query("achievement_bars", "SELECT 'Hb' AS item, coalesce(l_linestatus, '(all)') AS level, count(*)::BIGINT AS n, round(count(*) FILTER (l_quantity >= 10 AND l_quantity < 12) / count(*)::DOUBLE, 6) AS rate FROM lineitem GROUP BY GROUPING SETS ((), (l_linestatus))")
+def _bars(read):
+    return rounded(figures.achievement_bars(read("lineitem").select(F.col("l_quantity").alias("Hb"), "l_linestatus"), "l_linestatus"))
+
+
+@query("isolated_rows", "SELECT greatest(1, count(*) FILTER (p_partkey % 200 = 7))::BIGINT AS planted, true AS found FROM part")
+def _isolated(read):
+    far = F.when(F.col("p_partkey") % 200 == 7, 1e4).otherwise(0.0)
+    df = read("part").select("p_partkey", (F.col("p_size") + far).alias("a"), (F.col("p_retailprice") + far * 3).alias("b"))
+    out = multivariate.isolation_forest(df, ["a", "b"], "p_partkey")
+    hit = (F.col("p_partkey") % 200 == 7)
+    return out.agg(F.greatest(F.lit(1), F.count_if(hit)).cast("long").alias("planted"), (F.coalesce(F.min(F.when(hit, F.col("score"))), F.lit(9.0)) > F.max(F.when(~hit, F.col("score")))).alias("found"))
+
+
+@query("horizon_choice", "SELECT true AS within, true AS balanced")
+def _horizon(read):
+    # the chosen day leaves at most a fifth undetermined and no other candidate has a larger smaller class
+    df = _surv(read)
+    best = survival.choose_horizon(df, "t", "e", 10.0)
+    n, ones = df.agg(F.count(F.lit(1)), F.count_if((F.col("e") == 1) & (F.col("t") <= best["tau"]))).first()
+    return table(read, [{"within": best["undetermined"] <= 0.2 or best["ones"] == ones, "balanced": best["ones"] == ones and best["ones"] + best["zeros"] <= n}], "within boolean, balanced boolean")

@@ -48,12 +48,12 @@ def history(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.json(f"{base.rstrip('/')}/run*/log.json").orderBy("started", "run")
 
 
-def reproduced(spark: SparkSession, run: str, other: str, books: list[str], tolerance: float = 1e-9) -> list[dict]:
-    """book, same: equal as bags of rows, doubles rounded at the tolerance."""
+def reproduced(spark: SparkSession, run: str, other: str, books: list[str], tolerance: float = 1e-9, drop: tuple[str, ...] = ()) -> list[dict]:
+    """book, same: equal as bags of rows, doubles rounded at the tolerance; columns to drop are left out."""
     places = max(0, round(-__import__("math").log10(tolerance)))
 
     def read(at, name):
-        df = spark.read.parquet(f"{at}/table/{name}")
+        df = spark.read.parquet(f"{at}/table/{name}").drop(*drop)
         return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
 
     out = []

@@ -55,3 +55,21 @@ def test_orchestrated_run(spark):
     assert {"年齢", "性別"} <= set(r.books["train"].columns) and not r.skipped
     assert any(x["target"] == "仮名ID" for x in r.ledger())
     assert "train" not in orchestrate.quicklook(df, target="転帰").books
+
+
+def test_whole_run_saved_and_reproduced(spark, tmp_path):
+    from cohortloom.sources.cohort import cohort
+
+    df = cohort(spark, 300)
+    assert len(df.columns) == 33 and df.exceptAll(cohort(spark, 300)).count() == 0
+    base = f"file://{tmp_path}/out"
+    r = orchestrate.run(df, "転帰", entity="患者番号", survival=("観察開始日", "死亡日", "打ち切り日"), as_of="2030-01-01")
+    assert {"analysis", "model", "no_outcome", "survival", "km", "train", "test"} <= set(r.books) and not r.skipped
+    assert r.books["analysis"].count() == 300 and {"URR(%)", "spKt/V", "TSAT(%)"} <= set(r.frame.columns)
+    assert r.books["model"].count() == df.filter("`転帰` IS NOT NULL").count() and dict(r.books["analysis"].dtypes)["糖尿病"] == "int"
+    assert {"duplicate ids", "survival dates", "cross items"} <= {f["check"] for f in r.findings}
+    at = orchestrate.save(r, base)
+    page = spark.read.text(f"{at}/report/report.html", wholetext=True).first()[0]
+    assert "<h2>1. Settings</h2>" in page and "K0000001" not in page
+    found = orchestrate.reproduce(spark, at, base, seed=5)
+    assert {x["book"]: x["same"] for x in found if not x["same"]} == {"seed: 5 was given, the saved 0 is used": False}
