@@ -13,6 +13,7 @@ from cohortloom.operators import audit, clean, derived, prepare, profile, roles
 from cohortloom.operators.multivariate import imputation_table
 from cohortloom.operators.survival import binary_at, build_survival, choose_horizon, km_at
 from cohortloom.plans import labels, runs
+from cohortloom.session import release, stage
 from cohortloom.sources.sheets import put
 
 
@@ -81,6 +82,8 @@ def run(df: DataFrame, target: str | None = None, row: str = "_row_id", entity:
     if ranges:
         df, out.books["range_violations"], problems = clean.apply_ranges(df, ranges)
         out.messages += problems
+    # cells are read once: what follows works on the cleaned table, not on its expressions
+    df = cleaned = stage(df)
     first = roles.infer(df.drop(row), target)
     days = [c for c, s in first.columns.items() if s.role == "datetime" and dict(df.dtypes)[c] == "string"]
     for d in read_dates(df, days) if days else []:
@@ -90,6 +93,8 @@ def run(df: DataFrame, target: str | None = None, row: str = "_row_id", entity:
             df = df.withColumn(d.column, d.expr)
     df, notes = derived.derive(df)
     out.messages += [n for n in notes if "does not say" in n]
+    df = stage(df)
+    release(cleaned)
     if survival:
         df, target = with_survival(df, out, row, survival, as_of, target, grid)
     inner = [c for c in (row, "reason", "duration", "event") if c in df.columns and (survival or c == row)]

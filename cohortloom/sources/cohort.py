@@ -51,7 +51,7 @@ def cohort(spark: SparkSession, rows: int = 600, seed: int = 0, defects: bool =
             "検体採取日": F.when(hit("era", 0.2), F.concat(F.lit("H"), (F.year(columns["検体採取日"]) - 1988).cast("string"), F.date_format(columns["検体採取日"], "'.'M'.'d"))).when(hit("slash", 0.3), F.date_format(columns["検体採取日"], "yyyy/M/d")).otherwise(text["検体採取日"]),
             "透析前BUN": F.when(text["施設"] == "D院", text["透析後BUN"]).otherwise(text["透析前BUN"]),
             "透析後BUN": F.when(text["施設"] == "D院", text["透析前BUN"]).otherwise(text["透析後BUN"]),
-            "打ち切り日": F.when(hit("both", 0.005), F.date_add(start, 10).cast("string")).otherwise(text["打ち切り日"]),
+            "打ち切り日": F.when(hit("both", 0.03), F.date_add(start, 10).cast("string")).otherwise(text["打ち切り日"]),
             "転帰": F.when(~hit("outcome", 0.02), columns["転帰"]),
         }
     return spark.range(rows).select(*[x.alias(c) for c, x in text.items()])
