@@ -393,7 +393,7 @@ def publication_table(df: DataFrame, columns: list[str], numeric: set[str], by:
             x = F.col(c).cast("double")
             found = quantiles(df, F.abs(x), [0.5]).first()
             whole = not df.filter(x != F.floor(x)).limit(1).count()
-            d = 0 if whole else 2 if found and found.q[0] < 1 else 1
+            d = 0 if whole else 2 if found.n and found.q[0] < 1 else 1
             row = {"row": c}
             for g, rows in groups.items():
                 mean, sd, lo, hi = rows.agg(F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)).first()

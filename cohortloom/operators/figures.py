@@ -41,8 +41,8 @@ def running_median(df: DataFrame, x: str, y: str, bins: int = 12, least: int = 3
     left out, and all of them where there are fewer than ROWS_FOR_BINS rows."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     found = quantiles(rows, F.col(x).cast("double"), [k / bins for k in range(bins + 1)]).first()
-    edges = found.q if found else []
-    if not edges or found.n < ROWS_FOR_BINS:
+    edges = found.q
+    if found.n < ROWS_FOR_BINS:
         return rows.limit(0).select(F.lit(0).alias("bin"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("n"))
     member = F.array_compact(F.array(*[F.when(F.col(x).between(a, b), F.lit(k)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]))
     told = rows.select(F.explode(member).alias("bin"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

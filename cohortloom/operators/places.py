@@ -45,7 +45,7 @@ def neighbours(df: DataFrame, column: str | Column, ps: list[float], by: list[st
         lies = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("ties") <= k)
         low, high = (F.max(F.when(lies(k), F.col("value"))) for k in (F.floor(at), F.ceil(at)))
         aggs.append(F.struct(low.alias("low"), high.alias("high"), F.max(at - F.floor(at)).alias("part")).alias(f"q{i}"))
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
+    return rows.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *aggs)
 
 
 def between(q: Column) -> Column:
@@ -54,7 +54,8 @@ def between(q: Column) -> Column:
 
 
 def quantiles(df: DataFrame, column: str | Column, ps: list[float], by: list[str] = []) -> DataFrame:  # noqa: B006
-    """by..., n, q (array): exact quantiles; a group without values has no row."""
+    """by..., n, q (array): exact quantiles; a group without values has no row, without groups
+    n is then 0 and the quantiles are NULL."""
     found = neighbours(df, column, ps, by)
     return found.select(*by, "n", F.array(*[between(F.col(f"q{i}")) for i in range(len(ps))]).alias("q"))
 

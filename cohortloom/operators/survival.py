@@ -351,7 +351,7 @@ def binary_at(duration: Column, event: Column, tau: float) -> Column:
 def choose_horizon(df: DataFrame, duration: str, event: str, grid: float, most_undetermined: float = 0.2) -> dict | None:
     """tau among 5-95 % quantiles rounded to the grid, up to the median follow-up: most in the smaller class, then most determined, then early."""
     found = quantiles(df, F.col(duration).cast("double"), [x / 100 for x in range(5, 100, 5)] + [0.5]).first()
-    if found is None:
+    if not found.n:
         return None
     *q, middle = found.q
     upper = km_median(df, duration, event).first()["follow_up"]
