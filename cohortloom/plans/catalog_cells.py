@@ -65,7 +65,9 @@ def _intervals(read):
 
 # ---- dates and clocks --------------------------------------------------------------------------------------------------
 
-_D = c("o_orderdate").cast("date")
+def ordered():
+    """The day of an order; made in the query, since a column needs a running session and importing has none."""
+    return c("o_orderdate").cast("date")
 
 
 def days(read, expr, order="auto"):
@@ -75,16 +77,16 @@ def days(read, expr, order="auto"):
 
 @query("date_eras", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def _eras(read):
-    y = F.year(_D) - 1988
+    y = F.year(ordered()) - 1988
     name = F.when(c("o_orderkey") % 2 == 0, F.lit("平成")).otherwise(F.lit("H"))
-    df, d = days(read, F.concat(name, F.when(y == 1, "元").otherwise(y.cast("string")), F.lit("年"), F.month(_D).cast("string"), F.lit("月"), F.dayofmonth(_D).cast("string"), F.lit("日")))
+    df, d = days(read, F.concat(name, F.when(y == 1, "元").otherwise(y.cast("string")), F.lit("年"), F.month(ordered()).cast("string"), F.lit("月"), F.dayofmonth(ordered()).cast("string"), F.lit("日")))
     return df.select("o_orderkey", d.expr.cast("string").alias("day"))
 
 
 @query("date_separators", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def _separators(read):
     k = c("o_orderkey") % 4
-    s = F.when(k == 0, F.date_format(_D, "yyyy M d")).when(k == 1, F.date_format(_D, "yyyy.MM.dd 10:30")).when(k == 2, F.date_format(_D, "[yyyy-M-d]")).otherwise(F.date_format(_D, "yyyy / M / d"))
+    s = F.when(k == 0, F.date_format(ordered(), "yyyy M d")).when(k == 1, F.date_format(ordered(), "yyyy.MM.dd 10:30")).when(k == 2, F.date_format(ordered(), "[yyyy-M-d]")).otherwise(F.date_format(ordered(), "yyyy / M / d"))
     df, d = days(read, s)
     return df.select("o_orderkey", d.expr.cast("string").alias("day"))
 
@@ -92,20 +94,20 @@ def _separators(read):
 @query("date_day_first", "SELECT 'dmy' AS \"order\", count(*)::BIGINT AS n_total, count(*) FILTER (o_orderkey % 10 = 0)::BIGINT AS n_null, count(*) FILTER (o_orderkey % 10 > 1)::BIGINT AS n_parsed, count(*) FILTER (o_orderkey % 10 = 1)::BIGINT AS n_failed, count(DISTINCT CASE WHEN o_orderkey % 10 > 1 THEN o_orderdate::DATE END)::BIGINT AS days FROM orders")
 def _day_first(read):
     k = c("o_orderkey") % 10
-    df, d = days(read, F.when(k == 0, F.lit("未測定")).when(k == 1, F.lit("late")).otherwise(F.date_format(_D, "d-M-yyyy")))
+    df, d = days(read, F.when(k == 0, F.lit("未測定")).when(k == 1, F.lit("late")).otherwise(F.date_format(ordered(), "d-M-yyyy")))
     told = [F.lit(d.order).alias("order"), *[F.lit(getattr(d, x)).cast("long").alias(x) for x in ("n_total", "n_null", "n_parsed", "n_failed")]]
     return df.agg(F.count_distinct(d.expr).alias("days")).select(*told, "days")
 
 
 @query("date_failures", "SELECT 'late ' || (o_orderkey % 3) AS value, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1")
 def _failures(read):
-    df, d = days(read, F.when(c("o_orderkey") % 7 == 0, F.concat(F.lit("late "), (c("o_orderkey") % 3).cast("string"))).otherwise(F.date_format(_D, "yyyy-MM-dd")))
+    df, d = days(read, F.when(c("o_orderkey") % 7 == 0, F.concat(F.lit("late "), (c("o_orderkey") % 3).cast("string"))).otherwise(F.date_format(ordered(), "yyyy-MM-dd")))
     return d.failures(df)
 
 
 @query("date_ambiguous", "SELECT 'ambiguous_dmy_mdy' AS \"order\", 0::BIGINT AS days FROM (SELECT 1)")
 def _ambiguous(read):
-    df, d = days(read, F.concat(F.lit("3/"), F.month(_D).cast("string"), F.lit("/"), F.year(_D).cast("string")))
+    df, d = days(read, F.concat(F.lit("3/"), F.month(ordered()).cast("string"), F.lit("/"), F.year(ordered()).cast("string")))
     return df.agg(F.lit(d.order).alias("order"), F.count(d.expr).alias("days"))
 
 
@@ -117,7 +119,7 @@ def _two_digits(read):
 
 @query("year_months", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS day FROM orders")
 def _year_months(read):
-    df = read("orders").select("o_orderkey", F.date_format(_D, "yyyy年M月").alias("s"))
+    df = read("orders").select("o_orderkey", F.date_format(ordered(), "yyyy年M月").alias("s"))
     return df.select("o_orderkey", dates.read_dates(df, ["s"], allow_year_month=True)[0].expr.cast("string").alias("day"))
 
 
@@ -139,7 +141,7 @@ def _sessions(read):
 
 @query("vintage_years", "SELECT o_orderkey, floor(date_diff('day', DATE '1990-05-05', o_orderdate::DATE) / 365.25)::BIGINT AS years FROM orders")
 def _vintage(read):
-    return rounded(read("orders").select("o_orderkey", dates.years_between(F.lit("1990-05-05").cast("date"), _D).cast("long").alias("years")))
+    return rounded(read("orders").select("o_orderkey", dates.years_between(F.lit("1990-05-05").cast("date"), ordered()).cast("long").alias("years")))
 
 
 # ---- indices -----------------------------------------------------------------------------------------------------------

@@ -1,5 +1,9 @@
 """Figure data, multivariate operators, runs and the orchestrated way."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 from cohortloom.operators import figures, multivariate
 from cohortloom.plans import orchestrate, runs
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def test_figures(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), F.concat(F.lit("L"), (F.col("id") % 7).cast("string")).alias("c"))
@@ -73,3 +79,9 @@ def test_whole_run_saved_and_reproduced(spark, tmp_path):
     assert "<h2>1. Settings</h2>" in page and "K0000001" not in page
     found = orchestrate.reproduce(spark, at, base, seed=5)
     assert {x["book"]: x["same"] for x in found if not x["same"]} == {"seed: 5 was given, the saved 0 is used": False}
+
+
+def test_queries_are_read_without_a_session():
+    # a column made while a module is imported needs a session, which the driver starts only later
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) > 0, done.stderr
