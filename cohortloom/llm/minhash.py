@@ -8,7 +8,8 @@ sketches and verified by exact Jaccard on their full sets.
 
 The aim is components, so a list is not expanded: each set is first verified against one pivot, the smallest id of its
 lists; then, in lists that still hold several components, each component's best estimated pair with another one, again
-and again while most of them are links; at last every remaining pair of different components that passes the estimate.  A long
+and again while they find links; at last every remaining pair of different components that passes the estimate.  A pair is
+verified once, and a list without a pair that passes is over, since merged components leave it fewer pairs.  A long
 list is worked off in blocks of BLOCK members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
 
 Distribution: one pass over the texts makes sketches (about 0.8 kB a document); lists are formed by a hash aggregate with
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.shingles import components, digest, scrambled, shingle_set
-from cohortloom.session import lean, release, ship, sized_join, stage
+from cohortloom.session import lean, release, settle, ship, sized_join, stage
 
 SKETCH = 256  # retained values of a set
 K = 96  # of these, those that key inverted lists
@@ -152,7 +153,7 @@ def compared(sketches: list[np.ndarray], n: np.ndarray, left: np.ndarray, right:
 
 
 def _pairs(percent: int, best: bool):
-    """Rows sorted by (key, i, j) -> pairs of different components that pass; with best, one for each component of a list."""
+    """Rows sorted by (key, i, j) -> key and pairs of different components that pass; with best, one for each component of a list."""
 
     def worked(rows):
         rep, comp, n, block = (np.array([r[c] for r in rows]) for c in ("rep", "comp", "n", "block"))
@@ -189,8 +190,9 @@ def _pairs(percent: int, best: bool):
         def flush():
             found = worked(rows) if len(rows) > 1 else None
             if found and len(found[0]):
+                found = (np.full(len(found[0]), at[0], dtype=np.int64), *found)
                 for k in range(0, len(found[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["key", "a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -207,13 +209,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
     """The pairs (a, b) of classes whose full sets reach the likeness.
 
     A class in many pairs has its set copied once for every PARTNERS of them, and its pairs are dealt over the copies.
+    Sets are the bulk of what moves: they are dealt once, by class and copy, and both joins read them there.
     """
     ends = pairs.select(F.col("a").alias("rep"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(pairs.select(F.col("b").alias("rep"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     ids = ends.groupBy("rep").agg(F.ceil(F.greatest(F.sum("x"), F.sum("y")) / PARTNERS).cast("int").alias("chunks"))
     ids = stage(ids.join(classes.select("rep", F.col("low").alias("doc_id"), "digest"), "rep"))
     texts = sized_join(docs, ids, ["doc_id"], limit=24 << 20)
-    sets = texts.mapInArrow(lean(_sets), "rep long, chunks int, shingles array<long>").dropDuplicates(["rep"])
-    sets = sets.select("rep", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "shingles")
+    sets = texts.mapInArrow(lean(_sets), "rep long, chunks int, shingles array<long>")
+    sets = sets.select("rep", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "shingles").dropDuplicates(["rep", "part"])
     many = ids.filter("chunks > 1").select("rep", "chunks")  # few: a class with more than PARTNERS pairs
     dealt = pairs
     for end, other, part in (("a", "b", "pa"), ("b", "a", "pb")):
@@ -224,9 +227,16 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
     found = dealt.join(x, ["b", "pb"]).join(y, ["a", "pa"]).select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("all"))
     out = stage(found.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"))
     release(ids)
+    settle(docs.sparkSession)
     return out
 
 
+def among(sketches: DataFrame, live: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """The sketches of classes in live, picked by a broadcast of up to limit bytes; beyond that all of them, for the join that follows."""
+    reps = live.select("rep").distinct()
+    return sketches.join(F.broadcast(reps), "rep", "left_semi") if reps.count() * 16 <= limit else sketches
+
+
 def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, text_hash, label, component_id; one row for each row of docs.
 
@@ -245,29 +255,41 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # lists with the same members (by size, smallest one and 128 bits of their hashes) are worked off once
     lists = lists.groupBy("size", "pivot", "h", "g").agg(F.min("key").alias("key")).select("key", "size", "pivot")
     members = stage(postings.join(lists, "key"))
+    settle(docs.sparkSession)
     first = stage(members.filter("rep <> pivot").groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
     links = verified(first, docs, classes, percent)
-    best, labels = True, components(links)
+    best, labels, tested = True, components(links), first
     while True:
         told = stage(members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("comp")))
         mixed = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        left = told.join(mixed, "key").join(classes.select("rep", "n", "sketch"), "rep")
+        live = stage(told.join(mixed, "key"))
+        left = live.join(among(classes.select("rep", "n", "sketch"), live), "rep")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         left = left.select("key", "rep", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = stage(left.mapInArrow(lean(_pairs(percent, best)), "a long, b long").distinct())
-        release(told)
+        pairs = stage(left.mapInArrow(lean(_pairs(percent, best)), "key long, a long, b long").distinct())
         if pairs.isEmpty():
+            release(told, live, pairs)
             break
-        more = verified(pairs, docs, classes, percent)
-        if found := more.count():
-            links = stage(links.unionByName(more).distinct())
-            labels = components(links)
+        settle(docs.sparkSession)
+        fresh = stage(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        found = 0
+        if not fresh.isEmpty():
+            more = verified(fresh, docs, classes, percent)
+            if found := more.count():
+                links = stage(links.unionByName(more).distinct())
+                labels = components(links)
         if not best:
+            release(told, live, pairs, fresh)
             break
         best = found > 0
-    release(members, first)
+        over = members, tested, fresh
+        members = stage(live.select("key", "rep", "size").join(pairs.select("key").distinct(), "key", "left_semi"))
+        tested = stage(tested.unionByName(fresh))
+        release(told, live, pairs, *over)
+    release(members, tested)
+    settle(docs.sparkSession)
     told = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", "low", F.coalesce("label", "rep").alias("label"))
     lowest = told.groupBy("label").agg(F.min("low").alias("component_id"))
     told = told.join(lowest, "label").select("digest", "label", "component_id")

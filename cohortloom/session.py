@@ -89,6 +89,12 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the shuffle files of steps that are over go now: Spark deletes them when the driver has collected their plans,
+    which with a large heap and little garbage comes long after."""
+    spark._jvm.System.gc()
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 8 << 20, salt: int = 16) -> DataFrame:
     """Null-safe join of big with small on columns that both have.
 

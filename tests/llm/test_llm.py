@@ -139,6 +139,27 @@ def test_every_near_pair_is_compared_in_one_list():
     assert len(want) > 200 and set(got) == want and len(got) == len(want), (len(set(got)), len(want))
 
 
+def test_a_pair_is_verified_once(spark, words, monkeypatch):
+    # texts just under the likeness pass the estimate and fail on full sets: later rounds must not fetch these sets again
+    rng, base = random.Random(4), words(1500, 3)
+    texts = []
+    for changed in (0, 2, 2, 2, 28, 27, 28, 29, 27, 28):
+        w = list(base)
+        for k in rng.sample(range(0, 1500, 6), changed):
+            w[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    seen, verified = [], minhash.verified
+
+    def spied(pairs, *more):
+        seen.extend(map(tuple, pairs.collect()))
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(minhash, "verified", spied)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 85)[1]
+    assert len(seen) > len(set(got.values())) > 1 and len(seen) == len(set(seen)), sorted(seen)
+
+
 def test_near_duplicates_odd_rows(spark, words):
     df = documents(spark, odd_rows(words)).withColumn("rep", F.lit(1))
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
