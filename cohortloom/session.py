@@ -15,18 +15,24 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 BATCH_BYTES = 4 << 20  # of an Arrow batch: whole texts are long, so batches are bounded by bytes and not by rows alone
+READ_ROWS = 256  # of Parquet that a task holds as vectors, which have room for twice their texts
+GROUP_BYTES = 16 << 20  # of a row group, which a task that writes holds
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application; bound Arrow batches.
+    """Make this package importable in the Python workers of every executor, once per application; bound batches.
 
-    The bound on batches is set where the session still has Spark's own (64 MB), so a setting of the user's stays.
+    The bounds on Arrow batches and on read vectors are set where the session still has Spark's own (64 MB, 4096 rows), so
+    a setting of the user's stays.
     """
     if spark.conf.get(_BATCH, "64m").rstrip("bB") in ("64m", str(64 << 20)):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if spark.conf.get(_READ, "4096") == "4096":
+        spark.conf.set(_READ, str(READ_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -72,10 +78,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back; survives the loss of executors."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it back; survives the loss of executors.
+
+    Row groups are bounded, since Spark's own (128 MB) of a few tasks fill a heap of 1 GB.
+    """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(to)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(to)
     return spark.read.schema(df.schema).parquet(to)
 
 

@@ -11,9 +11,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from cohortloom import session
 from cohortloom.llm import catalog, chat, embeddings, fingerprint, language, minhash, mixing, pii, quality, segmentation, shingles, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -160,6 +162,26 @@ def test_a_pair_is_verified_once(spark, words, monkeypatch):
     assert len(seen) > len(set(got.values())) > 1 and len(seen) == len(set(seen)), sorted(seen)
 
 
+def test_texts_are_read_and_staged_in_bounded_pieces(spark):
+    # a task of long texts must not hold row groups of 128 MB nor vectors of 4096 texts
+    text = F.expr("concat_ws('', transform(sequence(1, 150), i -> sha2(concat(id, '-', i), 256)))")
+    made = session.stage(spark.range(0, 5000, 1, 1).select("id", text.alias("text")))
+    groups = [m.row_group(k).total_byte_size for f in made.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) > 40e6 and max(groups) < 24e6, groups
+    session.release(made)
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        session.ship(spark)
+        assert int(spark.conf.get(name)) <= 512
+        spark.conf.set(name, "1000")
+        session.ship(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_near_duplicates_odd_rows(spark, words):
     df = documents(spark, odd_rows(words)).withColumn("rep", F.lit(1))
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
