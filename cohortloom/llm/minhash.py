@@ -9,8 +9,9 @@ sketches and verified by exact Jaccard on their full sets.
 The aim is components, so a list is not expanded: each set is first verified against one pivot, the smallest id of its
 lists; then, in lists that still hold several components, each component's best estimated pair with another one, again
 and again while they find links; at last every remaining pair of different components that passes the estimate.  A pair is
-verified once, and a list without a pair that passes is over, since merged components leave it fewer pairs.  A long
-list is worked off in blocks of BLOCK members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
+verified once, and a list without a pair that passes is over, since merged components leave it fewer pairs.  Long
+lists around one class are gathered to one list, since near copies share many; a long list is worked off in blocks of BLOCK
+members or, beyond SIDES of them, in SIDES blocks, so it makes rows in proportion to its members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
 
 Distribution: one pass over the texts makes sketches (about 0.8 kB a document); lists are formed by a hash aggregate with
 partial sums and an equi-join (adaptive skew handling), full sets are fetched only for sets in candidate pairs.
@@ -34,6 +35,7 @@ SKETCH = 256  # retained values of a set
 K = 96  # of these, those that key inverted lists
 SMALL, MIDDLE = 32, 24  # sets up to SMALL key short runs, sets from MIDDLE on key long runs
 BLOCK = 512
+SIDES = 16  # blocks of a list at most: each member is sent that often, larger blocks are compared BLOCK by BLOCK
 COLUMNS = 2048  # shared values compared at once: the memory of a block
 PARTNERS = 64  # pairs of a class that one copy of its set serves
 PERCENT = 85
@@ -155,20 +157,19 @@ def compared(sketches: list[np.ndarray], n: np.ndarray, left: np.ndarray, right:
 def _pairs(percent: int, best: bool):
     """Rows sorted by (key, i, j) -> key and pairs of different components that pass; with best, one for each component of a list."""
 
-    def worked(rows):
-        rep, comp, n, block = (np.array([r[c] for r in rows]) for c in ("rep", "comp", "n", "block"))
-        i, j = rows[0]["i"], rows[0]["j"]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    def tile(rows, left, right):
+        rep, comp, n = (np.array([r[c] for r in rows]) for c in ("rep", "comp", "n"))
         ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :]))
-        if i == j:
+        if left is right:
             ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
         if not ok.any():
             return None
         sketches = [np.frombuffer(r["sketch"], dtype=np.uint32) for r in rows]
         a, b, e = compared(sketches, n, left, right, ok, percent)
         a, b = left[a], right[b]
-        if len(a):
-            # a pair belongs to the smallest list it shares; of lists with the same members the smallest one is left, so it is there
+        if len(a) and not rows[0].get("gathered"):
+            # a pair belongs to the smallest list it shares; of lists with the same members the smallest one is left, so it is
+            # there; a pair of gathered lists is told wherever it is met
             used, at = np.unique(np.r_[a, b], return_inverse=True)
             before = [k[: np.searchsorted(k, rows[0]["key"])] for k in (run_keys(sketches[m][:K].astype(np.uint64), int(n[m]), percent) for m in used)]
             x, y = at[: len(a)], at[len(a) :]
@@ -184,15 +185,24 @@ def _pairs(percent: int, best: bool):
         x, y = rep[a], rep[b]
         return np.minimum(x, y), np.maximum(x, y)
 
+    def worked(rows):
+        i, j = rows[0]["i"], rows[0]["j"]
+        left, right = ([x[k : k + BLOCK] for k in range(0, len(x), BLOCK)] for x in ([r for r in rows if r["block"] == k] for k in (i, j)))
+        for p, x in enumerate(left):
+            if i == j:
+                yield tile(x, at := np.arange(len(x)), at)
+            for y in right[p + 1 if i == j else 0 :]:
+                yield tile(x + y, np.arange(len(x)), np.arange(len(x), len(x) + len(y)))
+
     def run(batches):
         rows, at = [], None
 
         def flush():
-            found = worked(rows) if len(rows) > 1 else None
-            if found and len(found[0]):
-                found = (np.full(len(found[0]), at[0], dtype=np.int64), *found)
-                for k in range(0, len(found[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["key", "a", "b"])
+            for found in worked(rows) if len(rows) > 1 else ():
+                if found and len(found[0]):
+                    found = (np.full(len(found[0]), at[0], dtype=np.int64), *found)
+                    for k in range(0, len(found[0]), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in found], ["key", "a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -237,6 +247,31 @@ def among(sketches: DataFrame, live: DataFrame, limit: int = 8 << 20) -> DataFra
     return sketches.join(F.broadcast(reps), "rep", "left_semi") if reps.count() * 16 <= limit else sketches
 
 
+def gathered(members: DataFrame) -> DataFrame:
+    """Staged (key, rep, size, ...) of lists -> staged key, rep, size, gathered in their place: long lists around one class are one list.
+
+    Near copies share many runs, so they meet in many long lists with much the same members.  Each long list goes to its
+    hub, the class that is in most long lists; the lists of a hub become their union where that has no more pairs than
+    they have together.  The union holds every pair of its lists, so none is lost.
+    """
+    members = members.select("key", "rep", "size", F.lit(False).alias("gathered"))
+    long = members.filter(F.col("size") > BLOCK)
+    if long.isEmpty():
+        return members
+    central = long.groupBy("rep").agg(F.count(F.lit(1)).alias("lists"))
+    hubs = long.join(central, "rep").groupBy("key").agg(F.max("size").alias("size"), F.max(F.struct("lists", (-F.col("rep")).alias("rep"))).alias("m"))
+    hubs = stage(hubs.select("key", "size", (-F.col("m.rep")).alias("hub")))
+    unions = stage(sized_join(long.select("key", "rep"), hubs.select("key", "hub"), ["key"]).select("hub", "rep").distinct())
+    apart = hubs.groupBy("hub").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("lists"), F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    sizes = unions.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    worth = stage(apart.join(sizes, "hub").filter("lists > 1 AND size * size <= pairs").select("hub", "key", "size"))
+    gone = hubs.join(worth.select("hub"), "hub").select("key", F.lit(True).alias("gone"))
+    left = sized_join(members, gone, ["key"], "left").filter("gone IS NULL").drop("gone")
+    out = stage(left.unionByName(sized_join(unions, worth, ["hub"]).select("key", "rep", "size", F.lit(True).alias("gathered"))))
+    release(hubs, unions, worth, members)
+    return out
+
+
 def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, text_hash, label, component_id; one row for each row of docs.
 
@@ -258,15 +293,16 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     settle(docs.sparkSession)
     first = stage(members.filter("rep <> pivot").groupBy(F.col("rep").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
     links = verified(first, docs, classes, percent)
+    members = gathered(members)
     best, labels, tested = True, components(links), first
     while True:
-        told = stage(members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("comp")))
+        told = stage(members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "size", "gathered", F.coalesce("label", "rep").alias("comp")))
         mixed = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         live = stage(told.join(mixed, "key"))
         left = live.join(among(classes.select("rep", "n", "sketch"), live), "rep")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocks = F.least(F.ceil(F.col("size") / BLOCK), F.lit(SIDES)).cast("int")
         left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        left = left.select("key", "rep", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        left = left.select("key", "rep", "comp", "n", "sketch", "gathered", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = stage(left.mapInArrow(lean(_pairs(percent, best)), "key long, a long, b long").distinct())
         if pairs.isEmpty():
@@ -285,7 +321,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         best = found > 0
         over = members, tested, fresh
-        members = stage(live.select("key", "rep", "size").join(pairs.select("key").distinct(), "key", "left_semi"))
+        members = stage(live.select("key", "rep", "size", "gathered").join(pairs.select("key").distinct(), "key", "left_semi"))
         tested = stage(tested.unionByName(fresh))
         release(told, live, pairs, *over)
     release(members, tested)

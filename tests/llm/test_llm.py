@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -162,6 +163,60 @@ def test_a_pair_is_verified_once(spark, words, monkeypatch):
     assert len(seen) > len(set(got.values())) > 1 and len(seen) == len(set(seen)), sorted(seen)
 
 
+def counting(monkeypatch, folder):
+    """Let the step on pairs leave its number of rows in folder; the function tells them all."""
+    made = minhash._pairs
+
+    def spied(*args):
+        run = made(*args)
+
+        def counted(batches):
+            seen = []
+            yield from run(seen.append(b.num_rows) or b for b in batches)
+            with open(f"{folder}/{os.getpid()}-{random.random()}", "w") as f:
+                f.write(str(sum(seen)))
+
+        return counted
+
+    monkeypatch.setattr(minhash, "_pairs", spied)
+    return lambda: sum(int(p.read_text()) for p in folder.iterdir())
+
+
+def test_long_lists_of_near_copies_make_rows_in_proportion(spark, words, monkeypatch, tmp_path):
+    # copies with few to many edits meet in many long lists: each list sent all its members to all its blocks
+    rng, base, texts = random.Random(8), words(60, 6), []
+    for _ in range(250):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randint(1, 5)):
+            w[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = counting(monkeypatch, tmp_path)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = brute_components(texts, 85)[1]
+    assert [got[i] for i in range(250)] == want and len(set(want)) < 250
+    assert rows() < 14_000, rows()  # 19,537 when each long list was on its own
+
+
+def test_blocks_are_compared_piece_by_piece(monkeypatch):
+    # blocks of a very long list are larger than what is compared at once: the pairs stay the same
+    rng, base = np.random.default_rng(6), np.random.default_rng(7).integers(0, 2**32, 60, dtype=np.uint64)
+    rows = []
+    for rep in range(50):
+        s = base.copy()
+        s[: rep % 7] = rng.integers(0, 2**32, rep % 7, dtype=np.uint64)
+        rows.append({"rep": rep, "comp": rep // 2, "n": 60, "sketch": np.unique(s).astype(np.uint32).tobytes(), "gathered": True})
+    blocks = [[r | {"key": 5, "i": i, "j": j, "block": r["rep"] % 2} for r in rows if r["rep"] % 2 in (i, j)] for i, j in ((0, 0), (0, 1), (1, 1))]
+
+    def pairs(best):
+        return sorted((r["a"], r["b"]) for b in blocks for out in minhash._pairs(85, best)([pa.RecordBatch.from_pylist(b)]) for r in out.to_pylist())
+
+    whole, few = pairs(False), set(pairs(True))
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    assert len(whole) > 200 and pairs(False) == whole and len(set(whole)) == len(whole)
+    assert few <= set(whole) and {r // 2 for x in pairs(True) for r in x} == {r // 2 for x in whole for r in x}
+
+
 def test_texts_are_read_and_staged_in_bounded_pieces(spark):
     # a task of long texts must not hold row groups of 128 MB nor vectors of 4096 texts
     text = F.expr("concat_ws('', transform(sequence(1, 150), i -> sha2(concat(id, '-', i), 256)))")
