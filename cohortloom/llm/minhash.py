@@ -9,7 +9,7 @@ sketches and verified by exact Jaccard on their full sets.
 The aim is components, so a list is not expanded: each set is first verified against one pivot, the smallest id of its
 lists; then, in lists that still hold several components, each component's best estimated pair with another one, again
 and again while they find links; at last every remaining pair of different components that passes the estimate.  A pair is
-verified once, and a list without a pair that passes is over, since merged components leave it fewer pairs.  Long
+verified once, and a component without a pair that passes in a list leaves it, since merged components leave it fewer pairs.  Long
 lists around one class are gathered to one list, since near copies share many; a long list is worked off in blocks of BLOCK
 members or, beyond SIDES of them, in SIDES blocks, so it makes rows in proportion to its members.  Equal sets are one class from the start, by digest, so thousands of copies are one member of one list.
 
@@ -272,6 +272,19 @@ def gathered(members: DataFrame) -> DataFrame:
     return out
 
 
+def still_open(live: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Staged (key, rep, size, gathered): of each list in live, the components with a pair that passes, counted anew.
+
+    Each of them has its best pair in pairs; the others found nothing there, and merged components leave them fewer pairs.
+    """
+    ends = pairs.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    found = live.join(ends, ["key", "rep"]).select("key", "comp").distinct()
+    kept = stage(sized_join(live.select("key", "rep", "comp", "gathered"), found, ["key", "comp"], "left_semi").select("key", "rep", "gathered"))
+    out = stage(sized_join(kept, kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")), ["key"]).select("key", "rep", "size", "gathered"))
+    release(kept)
+    return out
+
+
 def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, text_hash, label, component_id; one row for each row of docs.
 
@@ -321,7 +334,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         best = found > 0
         over = members, tested, fresh
-        members = stage(live.select("key", "rep", "size", "gathered").join(pairs.select("key").distinct(), "key", "left_semi"))
+        members = still_open(live, pairs)
         tested = stage(tested.unionByName(fresh))
         release(told, live, pairs, *over)
     release(members, tested)

@@ -198,6 +198,15 @@ def test_long_lists_of_near_copies_make_rows_in_proportion(spark, words, monkeyp
     assert rows() < 14_000, rows()  # 19,537 when each long list was on its own
 
 
+def test_components_without_a_pair_leave_their_list(spark):
+    # list 1 has a pair of components 1 and 3: 5 leaves it, 2 and 4 stay with theirs; list 2 has no pair
+    live = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (1, 5, 5), (2, 1, 1), (2, 5, 5)], "key long, rep long, comp long")
+    live = live.withColumn("size", F.lit(9).cast("long")).withColumn("gathered", F.col("key") == 1)
+    pairs = spark.createDataFrame([(1, 2, 3)], "key long, a long, b long")
+    got = sorted(map(tuple, minhash.still_open(live, pairs).select("key", "rep", "size", "gathered").collect()))
+    assert got == [(1, 1, 4, True), (1, 2, 4, True), (1, 3, 4, True), (1, 4, 4, True)]
+
+
 def test_blocks_are_compared_piece_by_piece(monkeypatch):
     # blocks of a very long list are larger than what is compared at once: the pairs stay the same
     rng, base = np.random.default_rng(6), np.random.default_rng(7).integers(0, 2**32, 60, dtype=np.uint64)
