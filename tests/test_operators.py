@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
-from cohortloom.operators import audit, clean, compare, prepare, profile, roles, series, survival
+from cohortloom.operators import audit, clean, compare, places, prepare, profile, roles, series, survival
 from cohortloom.sources import reader
 
 
@@ -199,3 +199,36 @@ def test_reader(spark, tmp_path):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, "b"), (3, " ")], "_row_id long, x string")
     assert reader.drop_trailing_blank(df).count() == 3
     assert reader.same_rows(df, df.repartition(3)) and not reader.same_rows(df, df.limit(2))
+
+
+def test_places_read_their_input_once(spark, tmp_path):
+    """Bounds and ranges come from one exchange of counts; halving finds the range of each value, in groups too."""
+    spark.range(5000).select(((F.col("id") * 37) % 1013).cast("double").alias("v"), (F.col("id") % 3).alias("g")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    pdf = df.toPandas()
+    for by, few in ((["g"], True), (["g"], False), ([], False)):
+        got = places.quantiles(df, "v", [0.0, 0.1, 0.5, 0.9, 1.0], by, few=few)
+        rows = {r["g"] if by else None: r for r in got.collect()}
+        plan = got._jdf.queryExecution().toString().split("Initial Plan")[0].split("Final Plan")[-1]
+        assert plan.count("FileScan") == 1
+        for k, r in rows.items():
+            v = pdf.v if k is None else pdf.v[pdf.g == k]
+            assert r.n == len(v) and r.q == pytest.approx(list(v.quantile([0.0, 0.1, 0.5, 0.9, 1.0])))
+
+
+def test_places_of_weighted_rows(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 4)], "v double, w long")
+    r = places.quantiles(df, "v", [0.5, 0.6], weight="w").first()
+    assert (r.n, r.q) == (10, pytest.approx([1.5, 4.8]))
+
+
+def test_method_step_ranks_where_medians_differ(spark, monkeypatch):
+    """Ranks (the dear half) are asked for only where the medians differ by 15 %."""
+    asked = []
+    real = audit.mann_whitney
+    monkeypatch.setattr(audit, "mann_whitney", lambda *a: asked.append(a[1]) or real(*a))
+    k = F.col("id")
+    df = spark.range(200).select(F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")).alias("day"), (k % 10 + 1.0).alias("same"), F.when(k >= 100, k % 10 + 5.0).otherwise(k % 10 + 1.0).alias("moved"))
+    assert audit.method_step(df, "day", "same", "2020-04-10")[0]["severity"] == "info"
+    assert audit.method_step(df, "day", "moved", "2020-04-10")[0]["severity"] == "error"
+    assert asked == ["moved"]
