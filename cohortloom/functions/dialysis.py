@@ -41,10 +41,12 @@ def percent_cgr(male: Column, age: Column, bun_pre, bun_post, cr_pre, cr_post, w
     }
     ok = _all(*[~b for b in bad.values()])
     corrected = F.when(ok, (F.ln(cr_post / cr_pre) * -81.622 / (hours * 60) + 0.942) * cr_post)
-    log = F.when(corrected > 0, F.ln(corrected / cr_pre))
+    # ln and try_divide give NULL for what can't be, without a test that repeats the whole term: terms that name others
+    # twice would double at each step
+    log = F.ln(F.try_divide(corrected, cr_pre))
     d = (hours * 0.019 + 0.999) * log - (hours * 0.00367 - 0.0219)
-    a = F.when(d != 0, F.lit(3864.0) + (hours * 7.8 + 411) * log - hours * 1.5 - F.lit(1449.0) / d)
-    total = F.when(a != 0, cr_pre * (F.lit(7056.0) / a + loss / weight_post * 240 / (F.lit(72.0) - hours)))
+    a = F.lit(3864.0) + (hours * 7.8 + 411) * log - hours * 1.5 - F.try_divide(F.lit(1449.0), d)
+    total = cr_pre * (F.try_divide(F.lit(7056.0), a) + F.try_divide(F.try_divide(loss, weight_post) * 240, F.lit(72.0) - hours))
     external = n * n * 7.79 - n * 7.91 + 1.93
     internal = total - external
     reference = F.when(male, F.lit(23.53) - age * 0.15).otherwise(F.lit(19.58) - age * 0.12)

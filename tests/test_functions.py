@@ -98,3 +98,15 @@ def test_names_and_timing():
     r = {x["index"]: x for x in dictionary.requirements(["透析前BUN", "BUN", "Ca", "Alb"])}
     assert r["補正Ca"]["ready"] and r["URR"]["missing"] == ["BUN:post: timing unknown"]
     assert all(lo < hi for _, lo, hi, _ in dictionary.ITEMS.values())
+
+
+def test_percent_cgr_terms_stay_few(spark):
+    """Each step names the one before it once where it can: the whole expression stays small, and no zero divides."""
+    from pyspark.sql import functions as F
+
+    names = ["age", "b1", "b2", "c1", "c2", "w1", "w2", "h"]
+    df = spark.createDataFrame([(60.0, 60.0, 20.0, 12.0, 4.0, 63.0, 60.0, 4.0), (60.0, 60.0, 20.0, 0.0, 4.0, 63.0, 0.0, 72.0)], names)
+    got = df.select(dialysis.percent_cgr(F.lit(True), *[F.col(c) for c in names]).getField("value").alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("ln(") < 20
+    rows = [r.v for r in got.collect()]
+    assert abs(rows[0] - 116.446461) < 1e-5 and rows[1] is None
