@@ -40,14 +40,20 @@ def running_median(df: DataFrame, x: str, y: str, bins: int = 12, least: int = 3
     """bin, x, y medians and n inside quantile bins of x, both ends included; bins of fewer than `least` rows are
     left out, and all of them where there are fewer than ROWS_FOR_BINS rows."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    found = quantiles(rows, F.col(x).cast("double"), [k / bins for k in range(bins + 1)]).first()
+    # edges and bins of x need the counts of its values alone
+    values = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("__n"))
+    found = quantiles(values, "x", [k / bins for k in range(bins + 1)], weight="__n").first()
     edges = found.q
     if found.n < ROWS_FOR_BINS:
         return rows.limit(0).select(F.lit(0).alias("bin"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("n"))
-    member = F.array_compact(F.array(*[F.when(F.col(x).between(a, b), F.lit(k)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]))
-    told = rows.select(F.explode(member).alias("bin"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    mx, my = (quantiles(told, c, [0.5], ["bin"]).select("bin", F.col("q")[0].alias(c), "n") for c in ("x", "y"))
-    return mx.join(my.drop("n"), "bin").select("bin", "x", "y", "n").filter(F.col("n") >= least)
+    # edges ascend, so the bins with a value follow each other
+    first = sum((F.col("x") > b).cast("int") for b in edges[1:])
+    last = sum((F.col("x") >= a).cast("int") for a in edges[:-1]) - 1
+    inside = lambda told: told.withColumn("bin", F.explode(F.when(first <= last, F.sequence(first, last))))
+    mx = quantiles(inside(values), "x", [0.5], ["bin"], "__n", few=True).select("bin", F.col("q")[0].alias("x"), "n")
+    told = inside(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    my = quantiles(told, "y", [0.5], ["bin"], few=True).select("bin", F.col("q")[0].alias("y"))
+    return mx.join(my, "bin").select("bin", "x", "y", "n").filter(F.col("n") >= least)
 
 
 def nullity_correlation(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import dist
-from cohortloom.operators import audit, clean, compare, places, prepare, profile, roles, series, survival
+from cohortloom.operators import audit, clean, compare, figures, places, prepare, profile, roles, series, survival
 from cohortloom.sources import reader
 
 
@@ -232,3 +232,16 @@ def test_method_step_ranks_where_medians_differ(spark, monkeypatch):
     assert audit.method_step(df, "day", "same", "2020-04-10")[0]["severity"] == "info"
     assert audit.method_step(df, "day", "moved", "2020-04-10")[0]["severity"] == "error"
     assert asked == ["moved"]
+
+
+def test_running_median_reads_twice(spark, tmp_path):
+    """Bins of x come from the counts of its values: what runs reads the table once for x and once for y."""
+    spark.range(3000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 31 % 997).cast("double").alias("y")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got, pdf = figures.running_median(df, "x", "y"), df.toPandas()
+    rows = {r.bin: r for r in got.collect()}
+    assert got._jdf.queryExecution().toString().split("Initial Plan")[0].split("Final Plan")[-1].count("FileScan") == 2
+    edges = [pdf.x.quantile(k / 12) for k in range(13)]
+    for k in range(12):
+        part = pdf[(pdf.x >= edges[k]) & (pdf.x <= edges[k + 1])]
+        assert (rows[k].n, rows[k].x, rows[k].y) == (len(part), part.x.median(), part.y.median())
