@@ -30,7 +30,8 @@ def narrow(x: Column) -> Column:
     joined = s
     for pair, one in _VOICED:
         joined = F.replace(joined, F.lit(pair), F.lit(one))
-    return F.when(s.rlike("[\u3099\u309a]"), joined).otherwise(s)
+    # a cell of one byte a character has nothing to narrow
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.when(s.rlike("[\u3099\u309a]"), joined).otherwise(s))
 
 
 def let(x: Column, f) -> Column:
@@ -58,7 +59,26 @@ def censored(x: Column, policy: str = "half") -> Column:
     """struct(value, low, high) of a written number: '<0.1' is low, '>500' is high; policy half, lod or null for low ones."""
     if policy not in ("half", "lod", "null"):
         raise ValueError(f"policy {policy!r}")
-    return let(groups(F.trim(F.replace(narrow(x.cast("string")), F.lit(","), F.lit(""))), _WRITTEN, 3), lambda g: let(_measured(g), lambda m: _by_policy(m, policy)))
+    s = x.cast("string")
+    # most cells are a number and nothing else, which needs no groups
+    bare = F.struct(s.try_cast("double").alias("value"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    return F.when(plain(s), bare).otherwise(let(groups(F.trim(F.replace(narrow(s), F.lit(","), F.lit(""))), _WRITTEN, 3), lambda g: let(_measured(g), lambda m: _by_policy(m, policy))))
+
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "double")
+
+
+def plain(s: Column) -> Column:
+    """Is a text a decimal number and nothing else?  False for NULL."""
+    return F.coalesce(s.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"), F.lit(False))
+
+
+def measured(x: Column, kind: str, policy: str = "half") -> Column:
+    """censored(x) of a column of a known type: numbers aren't written out to be read again; NaN and infinities are NULL."""
+    if kind not in NUMBERS:
+        return censored(x, policy)
+    x = x.cast("double")
+    return F.struct(F.when(F.abs(x) < F.lit(float("inf")), x).alias("value"), F.lit(0).alias("low"), F.lit(0).alias("high"))
 
 
 _WRITTEN = rf"^(<|>|≤|≥|以下|以上|未満)?\s*{NUMBER}\s*(.*)$"

@@ -30,8 +30,10 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
     report.unmatched = [c for c in df.columns if c not in match]
     if not match:
         return df, report
-    read = {c: numeric.censored(F.col(f"`{c}`"), policy) for c in match}
-    held = df.select(*[x.alias(f"s{i}") for i, x in enumerate(read.values())], *[says_missing(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(match)])
+    kinds = dict(df.dtypes)
+    read = {c: numeric.measured(F.col(f"`{c}`"), kinds[c], policy) for c in match}
+    words = {c: F.lit(False) if kinds[c] in numeric.NUMBERS else says_missing(F.col(f"`{c}`")) for c in match}
+    held = df.select(*[x.alias(f"s{i}") for i, x in enumerate(read.values())], *[x.alias(f"m{i}") for i, x in enumerate(words.values())])
     aggs = []
     for i, (c, k) in enumerate(match.items()):
         _, low, high, _ = ITEMS[k]
@@ -42,11 +44,12 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
             aggs.append(F.count_if(v == code).alias(f"c{i}_{j}"))
     r = held.agg(*aggs).first()
     # only a code that occurs often enough inside the possible range is held against the 99 % point of the other values
-    asked = {f"{i}_{j}": F.when(F.col(f"s{i}.value") != code, F.col(f"s{i}.value")) for i, k in enumerate(match.values()) for j, code in enumerate(MISSING_CODES) if code >= 999 and r[f"c{i}_{j}"] >= 3}
+    asked = {f"{i}_{j}": F.when(F.col(f"s{i}.value") != code, F.col(f"s{i}.value")) for i, k in enumerate(match.values()) for j, code in enumerate(MISSING_CODES) if 999 <= code <= ITEMS[k][2] and r[f"c{i}_{j}"] >= 3}
     most = {c: value_at(q[0]) for c, (_, q) in quantiles_of(held, asked, [0.99]).items()}
-    out = {}
+    # each step is a projection of its own, so that no step repeats the one before it
+    steps: list[dict] = [{f"__s{i}": x for i, x in enumerate(read.values())}, {}, {}, {}]
     for i, (c, k) in enumerate(match.items()):
-        unit, low, high, _ = ITEMS[k]
+        _, low, high, _ = ITEMS[k]
         hit = []
         if r[f"m{i}"]:
             report.actions.append({"column": c, "action": "says missing", "value": None, "count": r[f"m{i}"]})
@@ -55,20 +58,27 @@ def clean_numeric(df: DataFrame, policy: str = "half", fix_units: bool = True, a
             if n and (code > high or (code < low and code < 0) or (n >= 3 and code >= 999 and q is not None and q < code)):
                 hit.append(code)
                 report.actions.append({"column": c, "action": "missing code", "value": code, "count": n})
-
-        out[c] = numeric.let(read[c], _cleaner(k, hit, fix_units, apply_plausible))
+        v = F.col(f"__s{i}.value")
+        steps[1][f"__v{i}"] = F.when(~v.isin(hit), v) if hit else v
+        v = F.col(f"__v{i}")
+        steps[2][f"__r{i}"] = numeric.rescaled(v, low, high, UNIT_FACTORS[k]) if fix_units and k in UNIT_FACTORS else v
+        v = F.col(f"__r{i}")
+        steps[3][c] = numeric.plausible(v, low, high) if apply_plausible else v
         if r[f"out{i}"]:
             report.actions.append({"column": c, "action": "outside the possible range", "value": [low, high], "count": r[f"out{i}"]})
         for side, name in (("lo", "low"), ("hi", "high")):
             if r[f"{side}{i}"]:
-                out[f"{c}__{name}"] = read[c][name]
+                steps[3][f"{c}__{name}"] = F.col(f"__s{i}.{name}")
                 report.actions.append({"column": c, "action": f"censored {name}", "value": None, "count": r[f"{side}{i}"]})
-    return df.withColumns(out), report
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*steps[0], *steps[1], *steps[2]), report
 
 
 def says_missing(x) -> Column:
     """Does a cell say in words that there is no value?  False for NULL."""
-    return F.coalesce(numeric.folded(x).isin([folded_name(t) for t in TEXT_MISSING]), F.lit(False))
+    said = F.coalesce(numeric.folded(x).isin([folded_name(t) for t in TEXT_MISSING]), F.lit(False))
+    return F.when(numeric.plain(x.cast("string")), F.lit(False)).otherwise(said)
 
 
 def two_scales(df: DataFrame, column: str, rows: int = 30, decades: float = 0.7) -> dict | None:
@@ -88,18 +98,6 @@ def two_scales(df: DataFrame, column: str, rows: int = 30, decades: float = 0.7)
     return {"low": 10 ** (lo + (a + 1) * width), "high": 10 ** (lo + (a + 1 + size) * width)} if size * width >= decades else None
 
 
-def _cleaner(key: str, codes: list[float], fix_units: bool, apply_plausible: bool):
-    _, low, high, _ = ITEMS[key]
-
-    def cleaned(s):
-        v = s["value"]
-        v = F.when(~v.isin(codes), v) if codes else v
-        v = numeric.rescaled(v, low, high, UNIT_FACTORS[key]) if fix_units and key in UNIT_FACTORS else v
-        return numeric.plausible(v, low, high) if apply_plausible else v
-
-    return cleaned
-
-
 def apply_ranges(df: DataFrame, ranges: dict, row: str | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Human ranges, ends included: (cleaned, violations (column, row as text, value), problems as messages)."""
     problems, out, bad = [], {}, None
