@@ -254,3 +254,15 @@ def test_numbers_are_not_read_as_text(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "transform(" not in plan
     assert [r[0] for r in got.collect()] == [None, None, 12.5, None] and report.actions == []
+
+
+def test_codes_over_the_range_need_no_quantile(spark, monkeypatch):
+    """A code over the possible range is missing whatever the other values are: the 99 % point isn't asked for."""
+    asked = []
+    real = clean.quantiles_of
+    monkeypatch.setattr(clean, "quantiles_of", lambda df, columns, ps: asked.extend(columns) or real(df, columns, ps))
+    df = spark.createDataFrame([(str(v), w) for v, w in zip([9999] * 4 + [11, "<12"], [9999.0] * 4 + [11.0, 12.0])], "Hb string, `フェリチン` double")
+    got, report = clean.clean_numeric(df)
+    assert len(asked) == 1  # ferritin can be 9999
+    assert sorted(r.Hb for r in got.collect() if r.Hb is not None) == [6.0, 11.0]
+    assert sorted((a["column"], a["action"]) for a in report.actions if a["action"] == "missing code") == [("Hb", "missing code"), ("フェリチン", "missing code")]
