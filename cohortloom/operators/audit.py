@@ -31,9 +31,10 @@ def duplicates(df: DataFrame, entity: str | None = None) -> list[dict]:
     return out
 
 
-def missing(df: DataFrame) -> list[dict]:
+def missing(df: DataFrame, profile: list | None = None) -> list[dict]:
+    """profile: the rows of column_profile(df), where they are known."""
     out = []
-    for r in column_profile(df).collect():
+    for r in column_profile(df).collect() if profile is None else profile:
         rate = r["n_null"] / r["n"] if r["n"] else 0
         if rate >= 0.2:
             out.append(finding("missing", "warn" if rate >= 0.5 else "info", f"{r['column']}: {rate:.0%} missing", r["n_null"]))
@@ -135,13 +136,17 @@ def method_step(df: DataFrame, day: str, value: str, change: str) -> list[dict]:
     return [finding("method change", "info", f"{value}: no step at {change}")]
 
 
-def id_candidates(df: DataFrame) -> list[dict]:
-    """Columns that could name rows where no id is given: whole numbers or text, at least 20 values, all different, no dictionary item."""
+def id_candidates(df: DataFrame, profile: list | None = None) -> list[dict]:
+    """Columns that could name rows where no id is given: whole numbers or text, at least 20 values, all different, no dictionary item.
+
+    profile: the rows of column_profile(df), where they are known.
+    """
     kinds = dict(df.dtypes)
     able = [c for c in df.columns if kinds[c] in ("string", "int", "bigint", "smallint", "tinyint") and not item_of(c)]
     if not able:
         return []
-    found = [r["column"] for r in column_profile(df, able).collect() if r["n_distinct"] >= 20 and (r["n_distinct"] == r["n"] - r["n_null"])]
+    rows = column_profile(df, able).collect() if profile is None else [r for r in profile if r["column"] in able]
+    found = [r["column"] for r in rows if r["n_distinct"] >= 20 and (r["n_distinct"] == r["n"] - r["n_null"])]
     return [finding("id candidates", "warn", f"{c} is different in every row") for c in sorted(found)]
 
 
@@ -176,8 +181,9 @@ def audit(df: DataFrame, entity: str | None = None, y: str | None = None, by: st
     (column of days, date of the change).
     """
     numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float") and c not in (entity, y)]
-    out = duplicates(df, entity) + missing(df) + collinear(df, numbers) + pre_post(df) + cross_items(df)
-    out += timings(df) + ([] if entity else id_candidates(df))
+    profile = column_profile(df).collect()
+    out = duplicates(df, entity) + missing(df, profile) + collinear(df, numbers) + pre_post(df) + cross_items(df)
+    out += timings(df) + ([] if entity else id_candidates(df, profile))
     if days and as_of:
         out += date_checks(df, days, as_of)
     if survival:

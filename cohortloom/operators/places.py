@@ -12,13 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cumulated(df: DataFrame, column: str | Column, by: list[str] = [], weight: str | None = None, also: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+def cumulated(df: DataFrame, column: str | Column, by: list[str] = [], weight: str | None = None, also: dict[str, Column] = {}, near=None) -> DataFrame:  # noqa: B006
     """by..., value, ties (rows with it), upto (rows with a value up to it), n (rows of the group with a value).
 
     A null group is a group; rows without a value are left out.  A row stands for `weight` rows where that column is named;
     also are counts of some of the rows of a value, which stand beside it.
+    near gives places (from 0) from a group's n: only ranges of values that hold one of them are ordered and returned.
     """
     rows, sums, g = _ranges(df, column, by, weight, also)
+    if near:
+        sums = sums.filter(_holding(near(F.col("n"))))
     return _placed(rows, sums, by, g, list(also))
 
 
@@ -42,6 +45,13 @@ def _ranges(df: DataFrame, column: str | Column, by: list[str], weight: str | No
     return rows, sums.select(*[F.col(c).alias(f"{c}r") for c in g], F.col("__part").alias("__partr"), "__sum", before.alias("__before"), F.sum("__sum").over(group).alias("n")), g
 
 
+def _holding(places: list[Column]) -> Column:
+    held = F.lit(False)
+    for k in places:
+        held = held | ((F.col("__before") <= k) & (F.col("__before") + F.col("__sum") > k))
+    return held
+
+
 def _below(bounds: str, x: Column, most: int) -> Column:
     """How many of at most `most` ascending bounds are under x, by halving."""
     steps = [1 << k for k in reversed(range(most.bit_length()))]
@@ -64,11 +74,7 @@ def neighbours(df: DataFrame, column: str | Column, ps: list[float], by: list[st
     Only ranges that hold one of these places are ordered; few says that the groups are, so that other ranges go unshuffled.
     """
     rows, sums, g = _ranges(df, column, by, weight)
-    held = F.lit(False)
-    for p in ps:
-        for k in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))):
-            held = held | ((F.col("__before") <= k) & (F.col("__before") + F.col("__sum") > k))
-    sums = sums.filter(held)
+    sums = sums.filter(_holding([f(F.lit(p) * (F.col("n") - 1)) for p in ps for f in (F.floor, F.ceil)]))
     rows = _placed(rows, F.broadcast(sums) if few or not by else sums, by, g, [])
     aggs = []
     for i, p in enumerate(ps):

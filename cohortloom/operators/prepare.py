@@ -35,7 +35,8 @@ def split_random(df: DataFrame, row: str, test: float = 0.25, stratify: str | No
     """
     keys, h = [stratify] if stratify else [], F.xxhash64(F.lit(seed), F.col(row))
     taken = F.round(F.col("n") * test)
-    last = cumulated(df, h, keys).groupBy(*keys).agg(F.max(F.when(F.col("upto") - F.col("ties") < taken, F.col("value"))).alias("__last"))
+    ranked = cumulated(df, h, keys, near=lambda n: [F.greatest(F.round(n * test) - 1, F.lit(0.0))])
+    last = ranked.groupBy(*keys).agg(F.max(F.when(F.col("upto") - F.col("ties") < taken, F.col("value"))).alias("__last"))
     out = beside(df, last, keys, "left")
     return out.withColumn("_split", F.when(h <= F.col("__last"), "test").otherwise("train")).drop("__last")
 

@@ -91,14 +91,18 @@ def run(df: DataFrame, target: str | None = None, row: str = "_row_id", entity:
             out.messages.append(f"{d.column}: left as text, the order of day and month is {d.order}")
         else:
             df = df.withColumn(d.column, d.expr)
+    before = df.columns
     df, notes = derived.derive(df)
     out.messages += [n for n in notes if "does not say" in n]
-    df = stage(df)
-    release(cleaned)
+    # a table to which nothing was added stays as it is, and so do its roles
+    changed = bool(days or notes) or df.columns != before
+    if changed:
+        df = stage(df)
+        release(cleaned)
     if survival:
         df, target = with_survival(df, out, row, survival, as_of, target, grid)
     inner = [c for c in (row, "reason", "duration", "event") if c in df.columns and (survival or c == row)]
-    out.schema = roles.infer(df.drop(*inner), target)
+    out.schema = roles.infer(df.drop(*inner), target) if changed or survival else first
     for c in survival or ():
         out.schema.columns[c].action = "drop"
     if edits:
@@ -124,6 +128,7 @@ def run(df: DataFrame, target: str | None = None, row: str = "_row_id", entity:
     if do_split and target:
         rows = df.filter(F.col(target).isNotNull())
         split = prepare.split_group(rows, entity, test, seed) if entity and rows.groupBy(entity).count().filter("count > 1").limit(1).count() else prepare.split_random(rows, row, test, target if out.schema.columns[target].n_unique <= 10 else None, seed)
+        split = stage(split)  # all that follows reads it
         features = out.schema.features()
         of = lambda role: [c for c in features if out.schema.columns[c].role == role]
         maps = {c: m for c, m in maps.items() if c in features}

@@ -85,3 +85,21 @@ def test_queries_are_read_without_a_session():
     # a column made while a module is imported needs a session, which the driver starts only later
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0 and int(done.stdout) > 0, done.stderr
+
+
+def test_a_run_infers_and_splits_once(spark, monkeypatch):
+    """A table to which cleaning adds nothing keeps its first roles, and both sides are read from one split on disk."""
+    from pyspark.sql import functions as F
+
+    from cohortloom.plans import orchestrate
+
+    asked = []
+    real = orchestrate.roles.infer
+    monkeypatch.setattr(orchestrate.roles, "infer", lambda *a: asked.append(a) or real(*a))
+    k = F.col("id")
+    df = spark.range(200).select(k.alias("_row_id"), (k * 7 % 101 + 0.5).alias("price"), F.when(k % 3 == 0, "a").otherwise("b").alias("s"), F.when(k % 5 != 0, (k % 2).cast("int")).alias("y"))
+    got = orchestrate.run(df, "y")
+    assert len(asked) == 1
+    assert all("xxhash64" not in got.books[b]._jdf.queryExecution().optimizedPlan().toString() for b in ("train", "test"))
+    assert (got.books["train"].count(), got.books["test"].count()) == (120, 40)
+    assert [x["found"] for x in got.leaks] == [0, 0, 0]
